@@ -35,11 +35,11 @@ def increments_by_file(changes: DataFrame) -> DataFrame:
 
 
 def base_session(spark) -> DataFrame:
-    return spark.createDataFrame(
-        [("base", "full", "", "acct0", 0, 0, 0, 1, log.FIRST_POS, "success")],
-        "backup_file_id string, backup_type string, full_backup_file_id string, account_id string, seq long, "
-        "start_no int, start_pos long, end_no int, end_pos long, status string",
-    )
+    values = {
+        "backup_file_id": "base", "backup_type": "full", "full_backup_file_id": "", "account_id": "acct0", "seq": 0,
+        "start_no": 0, "start_pos": 0, "end_no": 1, "end_pos": log.FIRST_POS, "status": "success",
+    }
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items()))
 
 
 def restore_from_chain(base: DataFrame, changes: DataFrame, sessions: DataFrame, key: str, payload: list[str], strategy: str | None = None):

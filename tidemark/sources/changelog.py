@@ -130,10 +130,11 @@ def write_increment(changes: DataFrame, start: Position, end: Position, path: st
     spark = changes.sparkSession
     events = scan_range(changes, start, end, db=db)
     events.hint("rebalance", "log_no").write.partitionBy("log_no").parquet(f"{path}/log")
-    info = spark.createDataFrame(
-        [(db or "", full_id, start[0], start[1], end[0], end[1])],
-        "database string, full_backup_file_id string, start_no int, start_pos long, end_no int, end_pos long",
-    )
+    record = {
+        "database": db or "", "full_backup_file_id": full_id,
+        "start_no": start[0], "start_pos": start[1], "end_no": end[0], "end_pos": end[1],
+    }
+    info = spark.range(1).select(*(F.lit(v).alias(k) for k, v in record.items()))
     info.coalesce(1).write.json(f"{path}/meta")
     return info
 
