@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ordered import plan_bytes
+from tidemark.operators.select import keep_names_on_restore
 
 # changed keys up to this estimate are worth sending to every executor
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -96,12 +97,7 @@ def merge(base: DataFrame, image: DataFrame, key: str, payload: Sequence[str], s
     return joined.select(key, *values)
 
 
-def table_checksum(df: DataFrame) -> DataFrame:
-    """One row that does not depend on row order: the count and two sums of row hashes."""
-    columns = sorted(df.columns)
-    row = df.select(F.xxhash64(*columns).alias("h"), F.hash(*columns).alias("g"))
-    return row.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("sum_h"),
-        F.coalesce(F.sum(F.col("g").cast("long") * F.lit(1)), F.lit(0)).alias("sum_g"),
-    )
+def rename_database(rows: DataFrame, source: str, target: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    """Rows of `source` under the name `target`; table lists go by the source's names."""
+    chosen = keep_names_on_restore(rows.filter(F.col("db") == source), "tbl", include, exclude)
+    return chosen.withColumn("db", F.lit(target))

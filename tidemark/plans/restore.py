@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import catalog, diff
 from tidemark.operators import chain as chains
 from tidemark.operators import restore as ops
+from tidemark.operators.diff import verify_tables
+from tidemark.operators.select import keep_names_on_restore
 from tidemark.plans.registry import query
+from tidemark.session import scratch_dir
 from tidemark.sources import changelog as log
 
 # an event order number for the oracles; their fixtures have one row per event
@@ -62,3 +68,200 @@ def restore_chain(t):
 WITH replayed AS (SELECT * FROM changes), {_LATEST} SELECT pk, val FROM latest WHERE op <> 'D'""")
 def latest_image(t):
     return ops.latest_image(t.changes, "pk", ["val"]).filter("live").select("pk", "val")
+
+
+_START, _END = (1, 304), (8, 504)
+_IN_RANGE = "(log_no > 1 OR (log_no = 1 AND log_pos >= 304)) AND (log_no < 8 OR (log_no = 8 AND log_pos < 504))"
+
+
+@query("log_range", uses="changes", sql=f"SELECT * FROM changes WHERE {_IN_RANGE}")
+def log_range(t):
+    return log.scan_range(t.changes, _START, _END)
+
+
+@query("log_range_db", uses="changes", sql=f"SELECT * FROM changes WHERE {_IN_RANGE} AND db = 'mall'")
+def log_range_db(t):
+    return log.scan_range(t.changes, _START, _END, db="mall")
+
+
+@query("log_range_tables", uses="changes", sql=f"SELECT * FROM changes WHERE {_IN_RANGE} AND tbl IN ('t1', 't2', 't3') AND tbl <> 't2'")
+def log_range_tables(t):
+    return log.scan_range(t.changes, _START, _END, include=["t1", "t2", "t3"], exclude=["t2"])
+
+
+@query("log_range_per_table", uses="changes table_positions", sql="""
+SELECT c.* FROM changes c, table_positions p
+WHERE c.tbl = p.tbl AND (c.log_no > p.start_no OR (c.log_no = p.start_no AND c.log_pos >= p.start_pos))""")
+def log_range_per_table(t):
+    return log.scan_per_table(t.changes, t.table_positions)
+
+
+@query("log_end", uses="changes", sql="""
+SELECT log_no, log_pos + 1 AS log_pos FROM changes ORDER BY log_no DESC, log_pos DESC LIMIT 1""")
+def log_end(t):
+    return log.log_end(t.changes)
+
+
+@query("log_file_order", uses="changes", sql="""
+SELECT DISTINCT log_file, log_no FROM changes WHERE log_file BETWEEN 'binlog.000001' AND (SELECT max(log_file) FROM changes)""")
+def log_file_order(t):
+    files = log.log_files(t.changes)
+    last = files.agg(F.max_by("log_file", "log_no")).first()[0]
+    return log.range_files(files, "binlog.000001", last).orderBy("log_no")
+
+
+@query("increment_write", uses="changes", sql=f"SELECT * FROM changes WHERE {_IN_RANGE} AND db = 'crm'")
+def increment_write(t):
+    path = scratch_dir(t.spark, "increment")
+    log.write_increment(t.changes, _START, _END, path, full_id="base", db="crm")
+    return log.read_range(t.spark, f"{path}/log", _START, _END)
+
+
+@query("union_all", uses="changes", sql=f"SELECT * FROM changes WHERE {_IN_RANGE}")
+def union_all(t):
+    """[a, b) and [b, c), concatenated in log order, are [a, c)."""
+    middle = (4, 1204)
+    parts = [log.scan_range(t.changes, _START, middle), log.scan_range(t.changes, middle, _END)]
+    return log.concat_increments(parts)
+
+
+@query("next_start", uses="sessions", sql="""
+WITH ok AS (SELECT * FROM sessions WHERE status = 'success'),
+inc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id, full_backup_file_id ORDER BY backup_time DESC, seq DESC) AS rn
+                       FROM ok WHERE backup_type = 'increment') x WHERE rn = 1)
+SELECT f.account_id, f.backup_file_id AS full_backup_file_id, i.backup_file_id AS after_increment,
+       coalesce(i.end_no, f.end_no) AS next_no, coalesce(i.end_pos, f.end_pos) AS next_pos, CAST(NULL AS VARCHAR) AS error
+FROM ok f LEFT JOIN inc i ON i.account_id = f.account_id AND i.full_backup_file_id = f.backup_file_id
+WHERE f.backup_type = 'full'""")
+def next_start(t):
+    return chains.next_starts(t.sessions)
+
+
+@query("latest_increment", uses="sessions", sql="""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY account_id, full_backup_file_id ORDER BY backup_time DESC, seq DESC) AS rn
+  FROM sessions WHERE backup_type = 'increment' AND status = 'success') x WHERE rn = 1""")
+def latest_increment(t):
+    return catalog.latest_increments(t.sessions)
+
+
+def _choices(sessions: DataFrame) -> DataFrame:
+    """A restore request per full: the increment with seq % 5 = 3; the whole chain where seq % 3 = 0."""
+    rows = sessions.filter("backup_type = 'increment' AND seq % 5 = 3")
+    return rows.select("full_backup_file_id", F.when(F.col("seq") % 3 != 0, F.col("backup_file_id")).alias("backup_file_id"))
+
+
+@query("chain_prefix", uses="sessions", sql="""
+WITH incs AS (SELECT * FROM sessions WHERE backup_type = 'increment'),
+pick AS (SELECT * FROM incs WHERE seq % 5 = 3)
+SELECT i.* FROM incs i JOIN pick p ON p.full_backup_file_id = i.full_backup_file_id
+WHERE p.seq % 3 = 0 OR i.backup_time < p.backup_time OR (i.backup_time = p.backup_time AND i.seq <= p.seq)""")
+def chain_prefix(t):
+    return chains.chain_prefix(t.sessions, _choices(t.sessions), include_failed=True)
+
+
+_LINKED = """
+linked AS (
+  SELECT *, backup_type = 'full' OR (lag(end_no) OVER w = start_no AND lag(end_pos) OVER w = start_pos) AS ok,
+         lag(end_no) OVER w AS prev_no, lag(end_pos) OVER w AS prev_pos,
+         CASE WHEN backup_type = 'full' THEN backup_file_id ELSE full_backup_file_id END AS chain_id
+  FROM sessions
+  WINDOW w AS (PARTITION BY account_id, CASE WHEN backup_type = 'full' THEN backup_file_id ELSE full_backup_file_id END
+               ORDER BY CASE WHEN backup_type = 'full' THEN 0 ELSE 1 END, start_no, start_pos, seq))"""
+
+
+@query("chain_gaps", uses="sessions", sql=f"WITH {_LINKED} SELECT * EXCLUDE (ok) FROM linked WHERE NOT coalesce(ok, false)")
+def chain_gaps(t):
+    return chains.chain_gaps(t.sessions)
+
+
+@query("unbroken_prefix", uses="sessions", sql=f"""
+WITH {_LINKED}
+SELECT * EXCLUDE (ok, prev_no, prev_pos) FROM linked l WHERE NOT EXISTS (
+  SELECT 1 FROM linked b WHERE b.chain_id = l.chain_id AND NOT coalesce(b.ok, false) AND b.seq <= l.seq)""")
+def unbroken_prefix(t):
+    return chains.unbroken_prefix(t.sessions, include_failed=True)
+
+
+@query("asof_full", uses="sessions targets", sql="""
+WITH f AS (SELECT database, backup_time, max(seq) AS seq FROM sessions WHERE backup_type = 'full' AND status = 'success' GROUP BY ALL)
+SELECT t.database, t.order_id, t.line_no, t.target_time, CAST(f.seq AS VARCHAR) AS full_backup_file_id, f.backup_time AS full_backup_time
+FROM targets t ASOF LEFT JOIN f ON t.database = f.database AND t.target_time >= f.backup_time""")
+def asof_full(t):
+    return chains.baselines_at(t.sessions, t.targets)
+
+
+_PIT = "2024-01-15 12:00:00"
+
+
+@query("restore_pit", uses="changes snapshot", sql=f"""
+WITH replayed AS (SELECT * FROM changes WHERE event_ts <= TIMESTAMP '{_PIT}'), base AS (SELECT * FROM snapshot), {_LATEST} {_MERGED}""")
+def restore_pit(t):
+    changes = t.changes.filter(F.col("event_ts") <= F.lit(datetime.fromisoformat(_PIT)).cast("timestamp_ntz"))
+    return ops.merge(t.snapshot, ops.latest_image(changes, "pk", ["val"]), "pk", ["val"])
+
+
+@query("restore_subset", uses="changes snapshot", sql=f"""
+WITH replayed AS (SELECT * FROM changes WHERE tbl IN ('t1', 't3')),
+base AS (SELECT * FROM snapshot WHERE pk % 4 IN (1, 3)), {_LATEST} {_MERGED}""")
+def restore_subset(t):
+    """The table list applies to the snapshot and to the replayed changes alike."""
+    chosen = ["t1", "t3"]
+    base = t.snapshot.withColumn("tbl", F.concat(F.lit("t"), (F.col("pk") % 4).cast("string")))
+    base = keep_names_on_restore(base, "tbl", chosen)
+    changes = keep_names_on_restore(t.changes, "tbl", chosen)
+    return ops.merge(base, ops.latest_image(changes, "pk", ["val"]), "pk", ["val"])
+
+
+@query("restore_rename", uses="changes", sql="""
+SELECT * REPLACE ('mall_restore' AS db) FROM changes WHERE db = 'mall' AND tbl <> 't0'""")
+def restore_rename(t):
+    return ops.rename_database(t.changes, "mall", "mall_restore", exclude=["t0"])
+
+
+@query("verify_restore", uses="changes snapshot", sql=f"""
+WITH replayed AS (SELECT * FROM changes), base AS (SELECT * FROM snapshot), {_LATEST},
+merged AS ({_MERGED})
+SELECT count(*) AS restored_rows, count(*) AS expected_rows, true AS equal FROM merged""")
+def verify_restore(t):
+    """Replaying the log in one range, or in two, one on top of the other, is the same."""
+    whole = ops.merge(t.snapshot, ops.latest_image(t.changes, "pk", ["val"]), "pk", ["val"], "rebuild")
+    half = ops.merge(t.snapshot, ops.latest_image(t.changes.filter("log_no <= 5"), "pk", ["val"]), "pk", ["val"])
+    rest = ops.latest_image(t.changes.filter("log_no > 5"), "pk", ["val"])
+    return verify_tables(ops.merge(half, rest, "pk", ["val"]), whole)
+
+
+@query("table_diff", uses="orders_v1 orders_v2", sql="""
+WITH both_sides AS (
+  SELECT b.o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' ELSE 'changed' END AS change,
+         a.o_custkey AS a1, CAST(b.o_custkey AS VARCHAR) AS b1, a.o_orderstatus AS a2, b.o_orderstatus AS b2,
+         a.o_totalprice AS a3, CAST(b.o_totalprice AS VARCHAR) AS b3, a.o_orderdate AS a4, b.o_orderdate AS b4,
+         a.o_orderpriority AS a5, b.o_orderpriority AS b5
+  FROM orders_v2 b LEFT JOIN orders_v1 a ON a.o_orderkey = b.o_orderkey)
+SELECT o_orderkey, change, 'o_custkey' AS field, b1 AS new_value FROM both_sides WHERE CAST(a1 AS VARCHAR) IS DISTINCT FROM b1
+UNION ALL SELECT o_orderkey, change, 'o_orderstatus', b2 FROM both_sides WHERE a2 IS DISTINCT FROM b2
+UNION ALL SELECT o_orderkey, change, 'o_totalprice', b3 FROM both_sides WHERE CAST(a3 AS VARCHAR) IS DISTINCT FROM b3
+UNION ALL SELECT o_orderkey, change, 'o_orderdate', strftime(b4, '%Y-%m-%d %H:%M:%S') FROM both_sides WHERE a4 IS DISTINCT FROM b4
+UNION ALL SELECT o_orderkey, change, 'o_orderpriority', b5 FROM both_sides WHERE a5 IS DISTINCT FROM b5""")
+def table_diff(t):
+    return diff.table_diff(t.orders_v1, t.orders_v2, "o_orderkey")
+
+
+@query("table_changes", uses="orders_v1 orders_v2", sql="""
+WITH counted AS (
+  SELECT *, 1 AS n FROM orders_v1 UNION ALL SELECT *, -1 FROM orders_v2)
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, CAST(sum(n) AS BIGINT) AS surplus
+FROM counted GROUP BY ALL HAVING sum(n) <> 0""")
+def table_changes(t):
+    return diff.multiset_diff(t.orders_v1, t.orders_v2)
+
+
+@query("multiset_equal", sql="""
+WITH lists AS (
+  SELECT p_partkey, [p_size % 3, p_size % 4, p_size % 5] AS a, [p_size % 4, p_size % 5, CAST(p_partkey % 3 AS INTEGER)] AS b FROM part)
+SELECT p_partkey, list_sort(a) = list_sort(b) AS equal FROM lists""")
+def multiset_equal(t):
+    size = F.col("p_size")
+    a = F.array(size % 3, size % 4, size % 5)
+    b = F.array(size % 4, size % 5, (F.col("p_partkey") % 3).cast("int"))
+    return t.part.select("p_partkey", diff.arrays_equal(a, b).alias("equal"))

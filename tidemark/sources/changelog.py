@@ -141,3 +141,9 @@ def write_increment(changes: DataFrame, start: Position, end: Position, path: st
 
 def read_increment(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/log")
+
+
+def concat_increments(parts: Sequence[DataFrame]) -> DataFrame:
+    """Increments as one log in position order, whatever order they come in."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return both.orderBy("log_no", "log_pos", "sub")
