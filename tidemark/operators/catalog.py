@@ -79,7 +79,7 @@ def job_instance_names(jobs: DataFrame, instances: DataFrame) -> DataFrame:
 
 def fulls_with_increments(sessions: DataFrame) -> DataFrame:
     """Full records that any increment names, whatever became of either."""
-    parents = increments(sessions, include_failed=True).select(F.col("full_backup_file_id").alias("backup_file_id"))
+    parents = increments(sessions, include_failed=True).select(F.col("full_backup_file_id").alias("backup_file_id")).distinct()
     return fulls(sessions, include_failed=True).join(parents, "backup_file_id", "left_semi")
 
 
@@ -99,7 +99,7 @@ def free_full_jobs(jobs: DataFrame, editing: str | None = None, current_link: st
     links = jobs.filter((F.col("backup_type") == "incremental") & (F.trim("linked_full_backup_job_id") != ""))
     if editing:
         links = links.filter(F.col("id") != editing)
-    taken = links.select(F.trim("linked_full_backup_job_id").alias("id"))
+    taken = links.select(F.trim("linked_full_backup_job_id").alias("id")).distinct()
     if current_link:
         taken = taken.filter(F.col("id") != current_link.strip())
     return jobs.filter(F.col("backup_type") == "full").join(taken, "id", "left_anti")
@@ -113,23 +113,19 @@ def check_job_links(jobs: DataFrame, instances: DataFrame) -> DataFrame:
     """
     link, account = "linked_full_backup_job_id", "account_id"
     known = instances.select(F.col("id").alias("db_instance_id"), account, F.lit(True).alias("_instance"))
+    checked = jobs.join(known, ["db_instance_id", account], "left")
+    instance_missing = F.when(F.col("_instance").isNull(), "instance_missing")
+    is_linked = F.col("backup_type") == "incremental"
+    # only incremental jobs have a link; the others would all meet under an empty one
+    linked, others = checked.filter(is_linked), checked.filter(~is_linked)
     full_ids = jobs.filter(F.col("backup_type") == "full").select(F.col("id").alias(link), account, F.lit(True).alias("_full"))
-    uses = (
-        jobs.filter((F.col("backup_type") == "incremental") & (F.col(link) != ""))
-        .groupBy(account, link).agg(F.count(F.lit(1)).alias("_uses"))
+    uses = jobs.filter(is_linked).groupBy(account, link).agg(F.count(F.lit(1)).alias("_uses"))
+    error = F.when(F.trim(link) == "", "missing_link").otherwise(
+        F.coalesce(instance_missing, F.when(F.col("_full").isNull(), "link_invalid"), F.when(F.col("_uses") > 1, "link_taken"))
     )
-    linked = F.col("backup_type") == "incremental"
-    error = (
-        F.when(linked & (F.trim(link) == ""), "missing_link")
-        .when(F.col("_instance").isNull(), "instance_missing")
-        .when(linked & F.col("_full").isNull(), "link_invalid")
-        .when(linked & (F.col("_uses") > 1), "link_taken")
-    )
-    return (
-        jobs.join(known, ["db_instance_id", account], "left")
-        .join(full_ids, [link, account], "left")
-        .join(uses, [link, account], "left")
-        .select(*jobs.columns, error.alias("link_error"))
+    linked = linked.join(full_ids, [link, account], "left").join(uses, [link, account], "left")
+    return linked.select(*jobs.columns, error.alias("link_error")).unionByName(
+        others.select(*jobs.columns, instance_missing.alias("link_error"))
     )
 
 
@@ -139,7 +135,7 @@ def jobs_without_instance(jobs: DataFrame, instances: DataFrame) -> DataFrame:
 
 
 def instances_in_use(instances: DataFrame, jobs: DataFrame) -> DataFrame:
-    used = jobs.select(F.col("db_instance_id").alias("id"), "account_id")
+    used = jobs.select(F.col("db_instance_id").alias("id"), "account_id").distinct()
     return instances.join(used, ["id", "account_id"], "left_semi")
 
 
@@ -223,10 +219,11 @@ def unique_by(rows: DataFrame, key: str, order: str) -> DataFrame:
 def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """Incoming records replace those of equal key. Among the incoming the highest
     `order` wins; replaced or new, they list before all others (`batch` descending)."""
-    both = current.withColumn("batch", F.lit(0)).unionByName(incoming.withColumn("batch", F.lit(1)))
-    kept = [c for c in both.columns if c != key]
-    last = both.groupBy(key).agg(F.max_by(F.struct(*kept), F.struct("batch", order)).alias("_last"))
-    return last.select(key, "_last.*").select(both.columns)
+    kept = [c for c in incoming.columns if c != key]
+    last = incoming.groupBy(key).agg(F.max_by(F.struct(*kept), F.col(order)).alias("_last"))
+    fresh = last.select(key, "_last.*").withColumn("batch", F.lit(1))
+    stale = current.join(incoming.select(key).distinct(), key, "left_anti").withColumn("batch", F.lit(0))
+    return stale.unionByName(fresh)
 
 
 # ---- retention

@@ -102,21 +102,21 @@ def baselines_at(sessions: DataFrame, targets: DataFrame, include_failed: bool =
     """For each target (`database`, `target_time`, any other columns) the latest full at
     or before it.
 
-    Fulls and targets are put in one order per database and the last full seen is
-    carried along: no non-equi join, and a hot database is scanned in slices.
+    Fulls and the distinct target times are put in one order per database and the last
+    full seen is carried along: no non-equi join, and a hot database is scanned in
+    slices. Targets then look their time up, so many of one time cost no more than few.
     """
+    at = ["database", "target_time"]
+    times = targets.select(*at).distinct()
     full = F.struct("backup_file_id", "backup_time")
     rows = fulls(sessions, include_failed).select(
-        "database", F.col("backup_time").alias("_time"), F.col("seq").alias("_seq"), full.alias("_full")
-    )
-    extra = [c for c in targets.columns if c not in ("database", "target_time")]
-    # targets sort after the fulls of the same moment; their own ties do not matter
-    wanted = targets.select(
-        "database", F.col("target_time").alias("_time"), F.lit((1 << 62) - 1).cast("long").alias("_seq"), *extra, F.lit(True).alias("_target")
+        "database", F.col("backup_time").alias("target_time"), F.col("seq").alias("_seq"), full.alias("_full")
     )
+    # a target sorts after the fulls of the same moment
+    wanted = times.select(*at, F.lit((1 << 62) - 1).cast("long").alias("_seq"), F.lit(True).alias("_target"))
     both = rows.unionByName(wanted, allowMissingColumns=True)
-    seen = ordered_scan(both, ["database"], "_time", "_seq", carries={"_last": F.col("_full")}, **scan_options)
-    return seen.filter("_target").select(
-        "database", *extra, F.col("_time").alias("target_time"),
-        F.col("_last.backup_file_id").alias("full_backup_file_id"), F.col("_last.backup_time").alias("full_backup_time"),
+    seen = ordered_scan(both, ["database"], "target_time", "_seq", carries={"_last": F.col("_full")}, **scan_options)
+    found = seen.filter("_target").select(
+        *at, F.col("_last.backup_file_id").alias("full_backup_file_id"), F.col("_last.backup_time").alias("full_backup_time")
     )
+    return targets.join(found, at, "left")

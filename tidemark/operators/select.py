@@ -57,9 +57,9 @@ def with_phase(objects: DataFrame) -> DataFrame:
 
 def list_intersect(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """Rows of `left` named in `right`; order column and duplicates of `left` stay."""
-    return left.join(right.select(column), column, "left_semi")
+    return left.join(right.select(column).distinct(), column, "left_semi")
 
 
 def list_minus(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """Rows of `left` not named in `right`; order column and duplicates of `left` stay."""
-    return left.join(right.select(column), column, "left_anti")
+    return left.join(right.select(column).distinct(), column, "left_anti")

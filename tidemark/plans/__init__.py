@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidemark.plans import restore  # noqa: F401
+from tidemark.plans import catalog, objects, restore  # noqa: F401
 from tidemark.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
