@@ -1,7 +1,8 @@
 """Five-field cron texts: expansion, next runs, validation.
 
 Everything is computed within a job's own row by array functions: no calendar table, no
-join and no shuffle, whatever the number of jobs.
+join and no shuffle, whatever the number of jobs. The expressions are SQL text, which
+Spark parses at once, where the same built from Column calls takes seconds to assemble.
 """
 
 from __future__ import annotations
@@ -17,61 +18,61 @@ from tidemark.functions.values import strip
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 6))
 # runs are searched for this long from the next full minute on
 SEARCH_DAYS = 2 * 365
+# most schedules run this soon; only the others are tested against the whole calendar
+NEAR_DAYS = 40
 
-_BIG = 1 << 31
+# the forms of a part: a value or *, with an optional step; a range, with an optional step
+_SINGLE, _RANGE = "^([*]|[0-9]+)(/[0-9]+)?$", "^[0-9]+-[0-9]+(/[0-9]+)?$"
 
 
-def cron_parts(text: Column) -> Column:
-    return F.split(strip(text), r"\s+")
-
-
-def _number(text: Column, pattern: str, group: int) -> Column:
-    """Digits as a number; more digits than a long holds are out of any range anyway."""
-    digits = F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-    return F.when(digits.isNotNull(), F.coalesce(digits.try_cast("long"), F.lit(_BIG)))
+def _number(text: str) -> str:
+    """Digits as a number, null for no digits; too many for a long are out of range anyway."""
+    return f"if({text} = '', NULL, coalesce(try_cast({text} AS BIGINT), 2147483648L))"
 
 
-def _steps(start: Column, end: Column, step: Column) -> Column:
-    """start, start + step, ... up to end; empty where start lies beyond."""
-    capped = F.least(step, F.lit(_BIG).cast("long"))
-    return F.when(start <= end, F.sequence(start, F.greatest(start, end), capped))
+def _values(field: str, low: int, high: int) -> str:
+    """The sorted values a field stands for; empty if it stands for none.
 
-
-def _expand_part(part: Column, low: int, high: int) -> Column:
-    low_, high_ = F.lit(low).cast("long"), F.lit(high).cast("long")
-    single, span = r"^([*]|[0-9]+)(?:/([0-9]+))?$", r"^([0-9]+)-([0-9]+)(?:/([0-9]+))?$"
-
-    start = F.when(F.startswith(part, F.lit("*")), low_).otherwise(_number(part, single, 1))
-    step = _number(part, single, 2)
-    one = F.when(
-        start.between(low, high), F.when(step > 0, _steps(start, high_, F.when(step > 0, step))).otherwise(F.array(start))
-    )
-
-    step = F.coalesce(_number(part, span, 3), F.lit(1))
-    first, last = F.greatest(low_, _number(part, span, 1)), F.least(high_, _number(part, span, 2))
-    many = F.when(step > 0, _steps(first, last, F.when(step > 0, step)))
-
-    # any other text counts as the whole number it begins with
-    lead = _number(part, r"^\+?([0-9]+)", 1)
-    other = F.when(lead.between(low, high), F.array(lead))
-    values = F.when(part.rlike(single), one).when(part.rlike(span), many).otherwise(other)
-    return F.coalesce(values, F.array().cast("array<bigint>"))
+    Each part first becomes first value, last value and step, then the values between.
+    A step of 0 leaves a single value alone and makes a range empty; any text of another
+    form counts as the whole number it begins with.
+    """
+    head, step = "split_part(p, '/', 1)", _number("split_part(p, '/', 2)")
+    start = f"if(startswith(p, '*'), {low}L, {_number(head)})"
+    lead = _number("regexp_extract(p, '^[+]?([0-9]+)', 1)")
+    bounds = f"""CASE
+      WHEN p RLIKE '{_SINGLE}' THEN if({step} > 0, named_struct('a', {start}, 'b', {high}L, 's', {step}),
+                                       named_struct('a', {start}, 'b', {start}, 's', 1L))
+      WHEN p RLIKE '{_RANGE}' THEN named_struct(
+        'a', greatest({low}L, {_number(f"split_part({head}, '-', 1)")}),
+        'b', if({step} = 0, -1L, least({high}L, {_number(f"split_part({head}, '-', 2)")})), 's', coalesce(nullif({step}, 0L), 1L))
+      ELSE named_struct('a', {lead}, 'b', {lead}, 's', 1L) END"""
+    listed = f"""array_sort(array_distinct(flatten(transform(
+      transform(filter(split({field}, ','), p -> p <> ''), p -> {bounds}),
+      r -> if(r.a BETWEEN {low} AND {high} AND r.a <= r.b, sequence(r.a, greatest(r.a, r.b), r.s), CAST(array() AS ARRAY<BIGINT>))))))"""
+    return f"if({field} = '*', sequence({low}L, {high}L), {listed})"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """`body` over `value` computed once per row. Spark would otherwise put the whole
+    expression where it is used, which inside a lambda means once per array element."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _fields(schedule: str) -> str:
+    """A struct of the five value lists, null unless the text has five fields."""
+    lists = ", ".join(f"'{name}', {_values(f'x[{i}]', low, high)}" for i, (name, low, high) in enumerate(FIELDS))
+    return _let("x", rf"split(btrim({schedule}, ' \t\n\r'), '\\s+')", f"if(size(x) = 5, named_struct({lists}), NULL)")
 
 
-def cron_values(field: Column, low: int, high: int) -> Column:
-    """The sorted values a field stands for; empty if it stands for none."""
-    every = F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))
-    parts = F.filter(F.split(field, ","), lambda p: p != "")
-    listed = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: _expand_part(p, low, high)))))
-    return F.when(field == "*", every).otherwise(listed)
+def cron_parts(text: Column) -> Column:
+    return F.split(strip(text), r"\s+")
 
 
 def expand(jobs: DataFrame, schedule: str = "schedule") -> DataFrame:
     """Add one array column per field; all null unless the text has five fields."""
-    parts = cron_parts(F.col(schedule))
-    jobs = jobs.withColumn("_parts", F.when(F.size(parts) == 5, parts))
-    values = {name: cron_values(F.get("_parts", F.lit(i)), low, high) for i, (name, low, high) in enumerate(FIELDS)}
-    return jobs.withColumns(values).drop("_parts")
+    jobs = jobs.withColumn("_fields", F.expr(_fields(schedule)))
+    return jobs.withColumns({name: F.col(f"_fields.{name}") for name, _, _ in FIELDS}).drop("_fields")
 
 
 def _search_start(now: datetime) -> datetime:
@@ -86,29 +87,23 @@ def with_next_runs(jobs: DataFrame, now: datetime, count: int, schedule: str = "
     """
     start = _search_start(now)
     end = start + timedelta(days=SEARCH_DAYS)
-    begin, stop = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
-    rows = expand(jobs, schedule)
-
-    def fits(day: Column) -> Column:
-        return (
-            F.array_contains("day", F.dayofmonth(day).cast("long"))
-            & F.array_contains("month", F.month(day).cast("long"))
-            & F.array_contains("weekday", (F.dayofweek(day) - 1).cast("long"))
-        )
-
-    calendar = F.sequence(F.lit(start.date()), F.lit(end.date()))
-    # minutes of a matching day; the first day may already be over, hence count + 1 days
-    times = F.flatten(F.transform("hour", lambda h: F.transform("minute", lambda m: h * 60 + m)))
-    rows = rows.withColumns({"_times": times, "_days": F.slice(F.filter(calendar, fits), 1, count + 1)})
-
-    def runs_of(day: Column) -> Column:
-        midnight = day.cast("timestamp_ntz")
-        moments = F.transform("_times", lambda m: midnight + F.make_dt_interval(mins=m.cast("int")))
-        return F.slice(F.filter(moments, lambda x: (x >= begin) & (x < stop)), 1, count)
-
-    runs = F.slice(F.flatten(F.transform("_days", runs_of)), 1, count)
-    readable = (F.size("minute") > 0) & (F.size("hour") > 0)
-    return rows.withColumn("runs", F.when(readable, runs)).drop("_times", "_days", *(name for name, _, _ in FIELDS))
+
+    def days(last: datetime) -> str:
+        # the first day may already be over, hence one more than the runs wanted
+        return f"""slice(filter(sequence(DATE '{start:%Y-%m-%d}', DATE '{last:%Y-%m-%d}'), d ->
+          array_contains(f.weekday, CAST(dayofweek(d) - 1 AS BIGINT)) AND array_contains(f.day, CAST(day(d) AS BIGINT))
+          AND array_contains(f.month, CAST(month(d) AS BIGINT))), 1, {count + 1})"""
+
+    near = min(end, start + timedelta(days=max(NEAR_DAYS, count)))
+    chosen = _let("n", days(near), f"if(size(n) > {count}, n, {days(end)})")
+    minutes = "flatten(transform(f.hour, h -> transform(f.minute, m -> CAST(h * 60 + m AS INT))))"
+    moments = f"""slice(filter(
+      transform(p.minutes, m -> CAST(d AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, m)),
+      t -> t >= TIMESTAMP_NTZ '{start}' AND t < TIMESTAMP_NTZ '{end}'), 1, {count})"""
+    runs = f"slice(flatten(transform(p.days, d -> {moments})), 1, {count})"
+    planned = _let("p", f"named_struct('days', {chosen}, 'minutes', {minutes})", runs)
+    readable = f"if(size(f.minute) > 0 AND size(f.hour) > 0, {planned}, NULL)"
+    return jobs.withColumn("runs", F.expr(_let("f", _fields(schedule), f"if(f IS NULL, NULL, {readable})")))
 
 
 def next_runs(jobs: DataFrame, now: datetime, count: int = 5, schedule: str = "schedule") -> DataFrame:

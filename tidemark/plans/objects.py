@@ -129,9 +129,7 @@ meta AS (
 
 
 def _meta_objects(t):
-    sections = _metadata_text(t)
-    files = sections.select("file", "session_no").distinct()
-    return dumps.metadata_objects(sections).join(files, "file").drop("file")
+    return dumps.metadata_objects(_metadata_text(t)).drop("file")
 
 
 @query("metadata_objects", sql=f"WITH {_META_OBJECTS} SELECT * FROM meta")
@@ -234,6 +232,7 @@ def restore_modes(t):
                 raise
             outcome = "refused"
         results.append((mode, outcome, t.spark.table(f"{target}.orders").count()))
+    t.spark.sql(f"DROP DATABASE {target} CASCADE")
     return t.spark.createDataFrame(results, "mode string, outcome string, rows long")
 
 

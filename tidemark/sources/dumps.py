@@ -71,8 +71,9 @@ def metadata_objects(sections: DataFrame) -> DataFrame:
     real_name = F.coalesce(F.nullif(_setting(F.col("body"), "real_table_name"), F.lit("")), name)
     rows = F.coalesce(_setting(F.col("body"), "rows").try_cast("long"), F.lit(0).cast("long"))
     is_view = F.coalesce(_setting(F.col("body"), "is_view") == "1", F.lit(False))
+    carried = [c for c in sections.columns if c not in ("header", "body")]
     return tables.select(
-        "file", schema.alias("schema"), name.alias("name"), real_name.alias("real_table_name"), rows.alias("rows"),
+        *carried, schema.alias("schema"), name.alias("name"), real_name.alias("real_table_name"), rows.alias("rows"),
         F.when(is_view, "view").otherwise("table").alias("kind"),
     )
 

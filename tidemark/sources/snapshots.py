@@ -50,12 +50,13 @@ def write_snapshot(
 
     def write(name: str) -> tuple:
         df = tables[name]
-        # the count comes with the write itself, no second pass over the rows
-        seen = Observation()
-        rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        rows = df
         if name in shard_keys:
             rows = rows.repartitionByRange(shard_keys[name]).sortWithinPartitions(shard_keys[name])
-        writer = rows.write.option("compression", codec)
+        # the count comes with the write itself, no second pass over the rows; it sits
+        # above the exchange, whose sampling reads the input as well
+        seen = Observation()
+        writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", codec)
         if shard_rows:
             writer = writer.option("maxRecordsPerFile", shard_rows)
         writer.parquet(f"{root}/data/{name}")
