@@ -101,3 +101,10 @@ def rename_database(rows: DataFrame, source: str, target: str, include: Sequence
     """Rows of `source` under the name `target`; table lists go by the source's names."""
     chosen = keep_names_on_restore(rows.filter(F.col("db") == source), "tbl", include, exclude)
     return chosen.withColumn("db", F.lit(target))
+
+
+def latest_events(events: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
+    """The last event of each key with its position, deletes included, for folding later."""
+    kept = [*payload, "op", "log_no", "log_pos", "sub"]
+    last = F.max_by(F.struct(*kept), F.struct("log_no", "log_pos", "sub")).alias("_last")
+    return events.groupBy(key).agg(last).select(key, "_last.*")
