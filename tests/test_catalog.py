@@ -1,0 +1,231 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import catalog as ops
+from tidemark.operators import chain, paging, select
+
+SESSION = (
+    "backup_file_id string, backup_type string, full_backup_file_id string, account_id string, job_id string, database string, "
+    "backup_time timestamp_ntz, seq long, start_no int, start_pos long, end_no int, end_pos long, status string"
+)
+
+
+def at(minute):
+    return dt.datetime(2026, 1, 1) + dt.timedelta(minutes=minute)
+
+
+def full(name, minute, pos, status="success", **more):
+    return (name, "full", "", "a", "j1", "db", at(minute), more.get("seq", minute), 0, 0, 1, pos, status)
+
+
+def inc(name, of, minute, start, end, status="success", **more):
+    return (name, "increment", of, "a", "j2", "db", at(minute), more.get("seq", minute), 1, start, 1, end, status)
+
+
+# the life of one database: a full, three increments, a new full, two more
+TIMELINE = [
+    full("f1", 0, 1000), inc("i1", "f1", 10, 1000, 2000), inc("i2", "f1", 20, 2000, 2600), inc("i3", "f1", 30, 2600, 3100),
+    full("f2", 40, 3500), inc("i4", "f2", 50, 3500, 4200), inc("i5", "f2", 60, 4200, 4800),
+]
+
+
+def sessions(spark, rows):
+    return spark.createDataFrame(rows, SESSION)
+
+
+def ids(df, column="backup_file_id"):
+    return sorted(r[column] for r in df.collect())
+
+
+def test_the_timeline_has_no_gaps_and_known_next_starts(spark):
+    rows = sessions(spark, TIMELINE)
+    assert chain.chain_gaps(rows).isEmpty()
+    assert {r["full_backup_file_id"]: r["next_pos"] for r in chain.next_starts(rows).collect()} == {"f1": 3100, "f2": 4800}
+
+
+def test_a_full_without_increments_starts_at_its_own_position(spark):
+    got = chain.next_starts(sessions(spark, TIMELINE[:1])).first()
+    assert (got["next_pos"], got["after_increment"], got["error"]) == (1000, None, None)
+
+
+def test_missing_positions_are_errors(spark):
+    rows = sessions(spark, [full("f1", 0, 1000), inc("i1", "f1", 1, 1000, 0), full("f2", 2, 0)])
+    got = {r["full_backup_file_id"]: (r["next_pos"], r["error"]) for r in chain.next_starts(rows).collect()}
+    assert got == {"f1": (None, "increment_without_end"), "f2": (None, "full_without_position")}
+
+
+def test_failed_runs_neither_serve_as_baseline_nor_move_the_end(spark):
+    rows = sessions(spark, [full("f1", 0, 1000), inc("i1", "f1", 1, 1000, 2000), inc("i2", "f1", 2, 2000, 9000, "failed"), full("f2", 3, 7, "failed")])
+    assert [(r["full_backup_file_id"], r["next_pos"]) for r in chain.next_starts(rows).collect()] == [("f1", 2000)]
+    assert {r["full_backup_file_id"]: r["next_pos"] for r in chain.next_starts(rows, include_failed=True).collect()} == {"f1": 9000, "f2": 7}
+
+
+def test_a_gap_ends_the_restorable_prefix(spark):
+    rows = sessions(spark, [r for r in TIMELINE if r[0] != "i2"])
+    assert ids(chain.chain_gaps(rows)) == ["i3"]
+    assert ids(chain.unbroken_prefix(rows)) == ["f1", "f2", "i1", "i4", "i5"]
+
+
+def test_prefix_with_forced_slices_is_the_same(spark):
+    rows = sessions(spark, [full("f", 0, 0)] + [inc(f"i{n}", "f", n, 10 * (n - 1) + (n == 150), 10 * n) for n in range(1, 200)])
+    options = dict(small_bytes=0, share=0.01, min_rows=5, rows_per_slice=20)
+    assert ids(chain.unbroken_prefix(rows)) == ids(chain.unbroken_prefix(rows, **options))
+    assert len(ids(chain.unbroken_prefix(rows, **options))) == 150
+
+
+def test_chain_prefix(spark):
+    rows = sessions(spark, TIMELINE)
+    choices = spark.createDataFrame([("f1", "i2"), ("f2", None)], "full_backup_file_id string, backup_file_id string")
+    assert ids(chain.chain_prefix(rows, choices)) == ["i1", "i2", "i4", "i5"]
+    wrong = spark.createDataFrame([("f1", "i4")], choices.schema)
+    assert ids(chain.unknown_choices(rows, wrong)) == ["i4"] and chain.chain_prefix(rows, wrong).isEmpty()
+    assert chain.unknown_choices(rows, choices).isEmpty()
+
+
+def test_equal_times_follow_the_insertion_number(spark):
+    rows = sessions(spark, [full("f", 0, 1), inc("a", "f", 5, 1, 2, seq=1), inc("b", "f", 5, 2, 3, seq=2)])
+    assert ids(ops.latest_increments(rows)) == ["b"]
+    one = spark.createDataFrame([("f", "a")], "full_backup_file_id string, backup_file_id string")
+    assert ids(chain.chain_prefix(rows, one)) == ["a"]
+
+
+def test_baselines_are_inclusive_and_may_be_missing(spark):
+    rows = sessions(spark, TIMELINE)
+    targets = spark.createDataFrame([("db", at(-1), 1), ("db", at(0), 2), ("db", at(39), 3), ("db", at(40), 4), ("x", at(99), 5)],
+                                    "database string, target_time timestamp_ntz, n int")
+    expected = {1: None, 2: "f1", 3: "f1", 4: "f2", 5: None}
+    for options in ({}, dict(small_bytes=0, share=0.01, min_rows=1, rows_per_slice=2)):
+        got = chain.baselines_at(rows, targets, **options).collect()
+        assert {r["n"]: r["full_backup_file_id"] for r in got} == expected
+
+
+def test_orphans_and_cascade(spark):
+    rows = sessions(spark, TIMELINE)
+    assert ids(ops.orphan_increments(rows, rows.filter("backup_file_id = 'f2'"))) == ["i1", "i2", "i3"]
+    assert ids(ops.delete_cascade(rows, rows.filter("backup_file_id = 'f2'"))) == ["f2", "i4", "i5"]
+
+
+def test_scope_and_search(spark):
+    rows = spark.createDataFrame([("a", "Mall_1%"), ("b", "crm"), (None, None)], "account_id string, name string")
+    assert ops.scope(rows, "").isEmpty() and ops.scope(rows, None).isEmpty()
+    assert ids(ops.scope(rows, " a "), "name") == ["Mall_1%"]
+    assert ids(ops.search(rows, "L_1%", ["name"]), "name") == ["Mall_1%"]
+    assert ops.search(rows, "l%1", ["name"]).isEmpty()
+    assert ops.search(rows, "  ", ["name"]).count() == 3
+
+
+def test_status_filter_only_for_0_and_1(spark):
+    rows = spark.createDataFrame([(0,), (1,), (2,)], "status int")
+    assert ops.list_filtered(rows, status="1").count() == 1
+    assert ops.list_filtered(rows, status="2").count() == 3 == ops.list_filtered(rows, status=None).count()
+
+
+JOB = "id string, account_id string, backup_type string, linked_full_backup_job_id string, db_instance_id string"
+
+
+def test_job_link_errors(spark):
+    jobs = spark.createDataFrame([
+        ("f1", "a", "full", "", "d"), ("f2", "b", "full", "", "d2"), ("f3", "a", "full", "", "gone"),
+        ("i1", "a", "incremental", "", "gone"), ("i2", "a", "incremental", "f2", "d"), ("i3", "a", "incremental", "f1", "d"),
+        ("i4", "a", "incremental", "f1", "d"), ("i5", "a", "incremental", "f3", "d"), ("i6", "a", "incremental", "i3", "d"),
+    ], JOB)
+    instances = spark.createDataFrame([("d", "a", "n"), ("d2", "b", "m")], "id string, account_id string, name string")
+    assert {r["id"]: r["link_error"] for r in ops.check_job_links(jobs, instances).collect()} == {
+        "f1": None, "f2": None, "f3": "instance_missing", "i1": "missing_link", "i2": "link_invalid",
+        "i3": "link_taken", "i4": "link_taken", "i5": None, "i6": "link_invalid",
+    }
+    assert ids(ops.free_full_jobs(jobs), "id") == []
+    assert ids(ops.free_full_jobs(jobs, editing="i5"), "id") == ["f3"]
+    assert ids(ops.free_full_jobs(jobs, editing="i3", current_link="f1"), "id") == ["f1"]
+    assert ids(ops.jobs_without_instance(jobs, instances), "id") == ["f3", "i1"]
+
+
+def test_first_wins(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (2, 2, "b"), (3, 3, "c"), (4, 1, "d"), (5, None, "e"), (6, None, "f")], "ord int, id int, v string")
+    assert ids(ops.unique_by(rows, "id", "ord"), "v") == ["a", "b", "c", "e"]
+
+
+def test_upsert_replaces_by_key_and_leaves_others_alone(spark):
+    current = spark.createDataFrame([("x", 1, 1), ("y", 2, 2), ("z", 3, 3), ("z", 4, 4)], "dirName string, seq int, size int")
+    incoming = spark.createDataFrame([("y", 5, 50), ("y", 6, 60), ("w", 7, 70)], current.schema)
+    got = sorted((r["dirName"], r["size"], r["batch"]) for r in ops.upsert(current, incoming, "dirName", "seq").collect())
+    assert got == [("w", 70, 1), ("x", 1, 0), ("y", 60, 1), ("z", 3, 0), ("z", 4, 0)]
+
+
+def test_keep_newest_limits_before_the_exchange(spark):
+    rows = sessions(spark, [full(f"f{i}", i, i) for i in range(50)])
+    kept = ops.keep_newest(rows, ["account_id", "job_id"], 20)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    assert ids(kept) == sorted(f"f{i}" for i in range(30, 50))
+
+
+def test_retention(spark):
+    day = 24 * 60
+    rows = sessions(spark, [
+        full("old", 0, 1), full("edge", 3 * day, 1), full("new", 9 * day, 1), inc("i_old", "old", 1, 1, 2), full("bad", 10 * day, 1, "failed"),
+    ])
+    other = rows.filter("backup_file_id = 'old'").withColumns({"database": F.lit("db_x"), "backup_file_id": F.lit("other")})
+    policy = spark.createDataFrame([("db", 7), ("db_x", 7)], "database string, clean_days int")
+    now = at(10 * day)
+    assert ids(ops.retention(rows.unionByName(other), policy, now)) == ["i_old", "old"]
+    assert ids(ops.retention(rows, policy, now, fulls_only=True)) == ["old"]
+    # exactly as old as the limit is kept, and so is the newest finished full at any age
+    assert "edge" not in ids(ops.retention(rows, policy, now)) and ops.retention(other, policy, now).isEmpty()
+    for off in (0, None):
+        assert ops.retention(rows, spark.createDataFrame([("db", off)], policy.schema), now).isEmpty()
+
+
+def test_smart_mode(spark):
+    rows = sessions(spark, [full("f", 0, 1)])
+    monday = dt.datetime(2026, 1, 5, 2)
+    runs = spark.createDataFrame([("j1", "a", monday), ("j1", "a", monday + dt.timedelta(1)), ("j9", "a", monday + dt.timedelta(1)), ("j1", "a", at(-5))],
+                                 "id string, account_id string, run_at timestamp_ntz")
+    got = {(r["id"], r["run_at"]): r["mode"] for r in ops.smart_mode(runs, rows).collect()}
+    assert list(got.values()).count("increment") == 1 and got[("j1", monday + dt.timedelta(1))] == "increment"
+
+
+def test_selection_rules(spark):
+    names = ["a", "b", "c"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    assert ids(select.keep_names(rows, "name", ["b", "c", "zz"], ["c"]), "name") == ["b"]
+    assert ids(select.keep_names_on_restore(rows, "name", ["b", "c"], ["c"]), "name") == ["b", "c"]
+    assert ids(select.keep_names_on_restore(rows, "name", [], ["c"]), "name") == ["a", "b"]
+    assert select.select_names(names, ["c", "a"], ["a"]) == ["c"]
+    with pytest.raises(select.EmptySelection):
+        select.select_names(names, ["A"])
+
+
+def test_list_arithmetic_keeps_order_and_duplicates(spark):
+    left = spark.createDataFrame(list(enumerate(["b", "a", "b", "c"])), "ord long, name string")
+    right = spark.createDataFrame([("b",), ("b",), ("x",)], "name string")
+    assert [r["name"] for r in select.list_intersect(left, right, "name").orderBy("ord").collect()] == ["b", "b"]
+    assert [r["name"] for r in select.list_minus(left, right, "name").orderBy("ord").collect()] == ["a", "c"]
+
+
+@pytest.mark.parametrize("given,expected", [((1, 10), (1, 10)), ((0, 0), (1, 10)), (("-3", "500"), (1, 100)), (("x", None), (1, 10)), (("2", "-1"), (2, 1))])
+def test_page_bounds(given, expected):
+    assert paging.page_bounds(*given) == expected
+
+
+def test_pages(spark):
+    rows = spark.range(25).select((F.col("id") * 7 % 25).alias("n"))
+    pages = [[(r["n"], r["total"]) for r in paging.page(rows, [F.asc("n")], p, 10).collect()] for p in (1, 3, 4)]
+    assert pages == [[(i, 25) for i in range(10)], [(i, 25) for i in range(20, 25)], []]
+    assert [r["n"] for r in paging.page_after(rows, [("n", False)], [9], 3).collect()] == [10, 11, 12]
+    plan = paging.page(rows, [F.asc("n")], 2, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_typed_sort(spark):
+    def ordered(values, descending=False):
+        rows = spark.createDataFrame([(v,) for v in values], "v string").repartition(3)
+        return [r["v"] for r in paging.typed_sort(rows, "v", descending).collect()]
+
+    assert ordered(["10", "9", "-1", "2.5"]) == ["-1", "2.5", "9", "10"]
+    assert ordered(["item 10", "Item 9", "item 009x", "étude", "Eta"]) == ["Eta", "étude", "Item 9", "item 009x", "item 10"]
+    assert ordered(["b", "a", "3"], descending=True) == ["b", "a", "3"]
+    rows = spark.createDataFrame([(True,), (False,)], "v boolean")
+    assert [r["v"] for r in paging.typed_sort(rows, "v").collect()] == [False, True]
+    assert paging.typed_sort(rows, "unknown") is rows

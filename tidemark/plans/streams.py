@@ -64,12 +64,11 @@ SELECT tbl, CAST(min(poll_no) AS BIGINT) AS done_poll FROM places WHERE equal >=
 def stream_stable_tables(t):
     source, root = scratch_dir(t.spark, "polls"), scratch_dir(t.spark, "done")
     rows = t.polls.select("tbl", "poll_no", F.col("size_bytes").cast("string").alias("fingerprint"))
-    # one file per stretch of polls, read in that order
+    # polls arrive in two deliveries; the second run goes on from the first one's state
     for low in (0, 20):
-        rows.filter(F.col("poll_no").between(low, low + 19)).coalesce(1).write.mode("append").parquet(source)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    found = completion.stable_tables_stream(stream, completion.stable_rounds(2, 0.5))
-    found.writeStream.format("parquet").option("path", root).option("checkpointLocation", f"{root}-state").trigger(
-        availableNow=True
-    ).start().awaitTermination()
+        rows.filter(F.col("poll_no").between(low, low + 19)).write.mode("append").parquet(source)
+        polls = t.spark.readStream.schema(rows.schema).parquet(source)
+        found = completion.stable_tables_stream(polls, completion.stable_rounds(2, 0.5))
+        writer = found.writeStream.format("parquet").option("path", root).option("checkpointLocation", f"{root}-state")
+        writer.trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(found.schema).parquet(root)

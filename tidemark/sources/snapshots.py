@@ -8,7 +8,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -65,8 +65,7 @@ def write_snapshot(
     written: list[tuple] = []
     for phase in (1, 2):
         group = [n for n in names if phase_of[n] == phase]
-        with ThreadPoolExecutor(THREADS) as pool:
-            written += pool.map(inheritable_thread_target(spark)(write), group)
+        written += _at_once(spark, write, group)
     manifest = spark.createDataFrame(written, _MANIFEST).coalesce(1)
     manifest.write.parquet(f"{root}/meta/tables")
     options = {"tables_include": ",".join(include), "tables_exclude": ",".join(exclude)}
@@ -126,5 +125,11 @@ def restore_full(
             df.write.mode("errorifexists").format("parquet").saveAsTable(target)
         return row["name"]
 
+    return _at_once(spark, load, chosen)
+
+
+def _at_once(spark: SparkSession, work: Callable, items: Sequence) -> list:
+    """A few independent jobs at a time, in order of `items`. Each gets its own copy of
+    the caller's job settings: jobs sharing one would overwrite each other's ids."""
     with ThreadPoolExecutor(THREADS) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(load), chosen))
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(work), item) for item in items]]

@@ -51,7 +51,8 @@ def stable_tables(
 def stable_tables_stream(polls: DataFrame, rounds: int) -> DataFrame:
     """The streaming form over (tbl, poll_no, fingerprint): each table once, when done.
 
-    The state of a table is its last fingerprint and how long it has stood still.
+    The state of a table is its last fingerprint and how long it has stood still. Polls
+    may come in any order within a micro-batch, but not across micro-batches.
     """
 
     def follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
