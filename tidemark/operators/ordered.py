@@ -75,18 +75,18 @@ def ordered_scan(
 
     # a bounded list (see hot_groups), so broadcasting it is safe at any data size
     fields = [f for f in df.schema.fields if f.name in keys]
-    schema = T.StructType([T.StructField(f"_hot_{f.name}", f.dataType) for f in fields] + [T.StructField("_hot", T.IntegerType())])
+    schema = T.StructType([T.StructField(f"__hot_{f.name}", f.dataType) for f in fields] + [T.StructField("__hot", T.IntegerType())])
     listed = df.sparkSession.createDataFrame([(*(row[f.name] for f in fields), i) for i, row in enumerate(hot)], schema)
     same = F.lit(True)
     for f in fields:
-        same &= F.col(f.name).eqNullSafe(F.col(f"_hot_{f.name}"))
-    marked = df.join(F.broadcast(listed), same, "left").drop(*(f"_hot_{f.name}" for f in fields))
+        same &= F.col(f.name).eqNullSafe(F.col(f"__hot_{f.name}"))
+    marked = df.join(F.broadcast(listed), same, "left").drop(*(f"__hot_{f.name}" for f in fields))
 
     hot_rows = sum(row["_rows"] for row in hot)
     slices = min(MAX_SLICES, max(2, math.ceil(hot_rows / rows_per_slice)))
-    sliced = add_slices(marked.filter(F.col("_hot").isNotNull()), order, tie, slices)
+    sliced = add_slices(marked.filter(F.col("__hot").isNotNull()), order, tie, slices)
     result = _sliced_scan(sliced, order, tie, lags, list(carries), number)
-    return windowed(marked.filter(F.col("_hot").isNull()).drop("_hot")).unionByName(result)
+    return windowed(marked.filter(F.col("__hot").isNull()).drop("__hot")).unionByName(result)
 
 
 def add_slices(df: DataFrame, order: str, tie: str, slices: int) -> DataFrame:
@@ -142,30 +142,30 @@ def _scan(df, keys, order, tie, lags, carries, number) -> DataFrame:
 
 
 def _sliced_scan(df, order, tie, lags, carries, number) -> DataFrame:
-    part = ["_hot", "_slice", "_sub"]
+    part = ["__hot", "_slice", "_sub"]
     at = F.struct(order, tie)
     # one row per slice: its last row, its last non-null values and its row count
-    summary = [F.count(F.lit(1)).alias("_n")]
-    summary += [F.max_by(F.struct(column), at).alias(f"_end_{out}") for out, column in lags.items()]
-    summary += [F.expr(f"max_by({name}, struct({order}, {tie})) FILTER (WHERE {name} IS NOT NULL)").alias(f"_end_{name}") for name in carries]
+    summary = [F.count(F.lit(1)).alias("__before")]
+    summary += [F.max_by(F.struct(column), at).alias(f"__end_{out}") for out, column in lags.items()]
+    summary += [F.expr(f"max_by({name}, struct({order}, {tie})) FILTER (WHERE {name} IS NOT NULL)").alias(f"__end_{name}") for name in carries]
     edges = df.groupBy(*part).agg(*summary)
-    w = Window.partitionBy("_hot").orderBy("_slice", "_sub")
+    w = Window.partitionBy("__hot").orderBy("_slice", "_sub")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(
         *part,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
-        *(F.lag(f"_end_{out}").over(w).alias(f"_end_{out}") for out in lags),
-        *(F.last(f"_end_{name}", ignorenulls=True).over(before).alias(f"_end_{name}") for name in carries),
+        F.coalesce(F.sum("__before").over(before), F.lit(0)).alias("__before"),
+        *(F.lag(f"__end_{out}").over(w).alias(f"__end_{out}") for out in lags),
+        *(F.last(f"__end_{name}", ignorenulls=True).over(before).alias(f"__end_{name}") for name in carries),
     )
     w = Window.partitionBy(*part).orderBy(order, tie)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = {"_row": F.row_number().over(w).cast("long")}
+    local = {"__row": F.row_number().over(w).cast("long")}
     local |= {out: F.lag(column).over(w) for out, column in lags.items()}
     local |= {name: F.last(name, ignorenulls=True).over(so_far) for name in carries}
     joined = df.withColumns(local).join(edges, part, "left")
-    final = {out: F.when(F.col("_row") > 1, F.col(out)).otherwise(F.col(f"_end_{out}")[column]) for out, column in lags.items()}
-    final |= {name: F.coalesce(F.col(name), F.col(f"_end_{name}")) for name in carries}
+    final = {out: F.when(F.col("__row") > 1, F.col(out)).otherwise(F.col(f"__end_{out}")[column]) for out, column in lags.items()}
+    final |= {name: F.coalesce(F.col(name), F.col(f"__end_{name}")) for name in carries}
     if number:
-        final[number] = F.col("_row") + F.col("_n")
-    helpers = [*part, "_row", "_n", *(f"_end_{name}" for name in [*lags, *carries])]
+        final[number] = F.col("__row") + F.col("__before")
+    helpers = [*part, "__row", "__before", *(f"__end_{name}" for name in [*lags, *carries])]
     return joined.withColumns(final).drop(*helpers)
