@@ -211,13 +211,27 @@ def test_page_bounds(given, expected):
 
 def test_pages(spark):
     rows = spark.range(25).select((F.col("id") * 7 % 25).alias("n"))
-    pages = [[(r["n"], r["total"]) for r in paging.page(rows, [F.asc("n")], p, 10).collect()] for p in (1, 3, 4)]
+    pages = [[(r["n"], r["total"]) for r in paging.page(rows, [("n", False)], p, 10).collect()] for p in (1, 3, 4)]
     assert pages == [[(i, 25) for i in range(10)], [(i, 25) for i in range(20, 25)], []]
     assert [r["n"] for r in paging.page_after(rows, [("n", False)], [9], 3).collect()] == [10, 11, 12]
-    plan = paging.page(rows, [F.asc("n")], 2, 10)._jdf.queryExecution().executedPlan().toString()
+    plan = paging.page(rows, [("n", False)], 2, 10)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
 
 
+@pytest.mark.parametrize("descending", [(False, False), (True, True), (True, False)])
+def test_deep_pages_are_exact(spark, monkeypatch, descending):
+    monkeypatch.setattr(paging, "TOP_ROWS", 30)
+    monkeypatch.setattr(paging, "PAGE_SLICES", 8)
+    t = F.when(F.col("id") % 3 == 0, 50).when(F.col("id") % 50 != 1, F.col("id") * 37 % 101)
+    rows = spark.range(1500).select(t.cast("int").alias("t"), "id")
+    order = list(zip(("t", "id"), descending))
+    expected = [tuple(r) for r in rows.orderBy(*(F.desc(n) if d else F.asc(n) for n, d in order)).collect()]
+    for number in (1, 40, 99, 150):
+        got = [(r["t"], r["id"]) for r in paging.page(rows, order, number, 10).collect()]
+        assert got == expected[(number - 1) * 10:number * 10]
+    assert paging.page(rows, order, 200, 10).isEmpty()
+
+
 def test_typed_sort(spark):
     def ordered(values, descending=False):
         rows = spark.createDataFrame([(v,) for v in values], "v string").repartition(3)

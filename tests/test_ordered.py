@@ -52,6 +52,8 @@ def test_a_hot_group_is_spread_over_slices(spark):
 def test_only_large_groups_are_hot(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, -1).otherwise(F.col("id")).alias("k"))
     assert [r["k"] for r in ordered.hot_groups(df, ["k"], share=0.1, min_rows=50)] == [-1]
+    assert ordered.hot_groups(df, ["k"], share=0.1, min_rows=500) == []
+    assert len(ordered.hot_groups(df, ["k"], share=0.1, min_rows=0)) == 10
 
 
 def test_small_inputs_start_no_job(spark):

@@ -1,5 +1,7 @@
 """Every registered query against its oracle."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -14,6 +16,12 @@ def test_query_matches_oracle(spark, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
     assert len(set(df.columns)) == len(df.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # nothing pairs all rows with all rows, and no window runs without a group
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    for window in re.findall(r"Window \[.*", plan):
+        assert re.search(r"\], \[[^\[\]]+\], \[[^\[\]]+\]$", window.strip()), window
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     if name in ORACLES:
         assert mismatch(df.columns, rows, *oracle_rows(ORACLES[name], SF)) is None
 

@@ -50,6 +50,23 @@ def test_fixed_width_payload_hashes_without_sorting(spark):
     assert "HashAggregate" in plan and "Sort" not in plan and "Window" not in plan
 
 
+def test_short_and_long_position_numbers_agree(spark, monkeypatch):
+    log = events(
+        spark, (1, 10, 0, "U", 1, 1, "a"), (1, 10, 7, "U", 1, 2, "b"), (1, 9, 9, "U", 1, 3, "c"),
+        (3, 1, 0, "D", 2, None, None), (2, 2**32 - 1, 3, "I", 2, 5, "x"),
+    )
+    expected = [(1, 2, "b", True), (2, None, None, False)]
+    for limit in (0, 1 << 80):
+        monkeypatch.setattr(ops, "PACK_BYTES", limit)
+        for payload in (["a"], ["a", "b"]):
+            got = ops.latest_image(log, "pk", payload).select("pk", *payload, "live")
+            assert rows_of(got) == [(r[0], *r[1:1 + len(payload)], r[3]) for r in expected]
+    huge = log.withColumn("log_pos", F.col("log_pos") + F.lit(2**62))
+    monkeypatch.setattr(ops, "PACK_BYTES", 0)
+    assert dict(huge.select(ops.position_number(huge).alias("n")).dtypes)["n"].startswith("decimal")
+    assert dict(log.select(ops.position_number(log).alias("n")).dtypes)["n"] == "bigint"
+
+
 def test_partial_images(spark):
     log = events(
         spark,

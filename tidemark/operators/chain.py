@@ -82,10 +82,10 @@ def chain_gaps(sessions: DataFrame, include_failed: bool = True, **scan_options)
 def unbroken_prefix(sessions: DataFrame, include_failed: bool = False, **scan_options) -> DataFrame:
     """Members of each chain before its first break: what may be restored."""
     links = chain_links(sessions, include_failed, **scan_options)
-    place = F.struct("_at", "seq")
-    breaks = links.filter(~F.col("linked")).groupBy("account_id", "chain_id").agg(F.min(place).alias("_break"))
-    kept = links.join(breaks, ["account_id", "chain_id"], "left").filter(F.col("_break").isNull() | (place < F.col("_break")))
-    return kept.drop("_at", "_break", "linked", "prev_no", "prev_pos")
+    # the same groups in the same order, so this scan needs no further exchange or sort
+    broken = F.when(~F.col("linked"), F.lit(True))
+    marked = ordered_scan(links, ["account_id", "chain_id"], "_at", "seq", carries={"_broken": broken}, **scan_options)
+    return marked.filter(F.col("_broken").isNull()).drop("_at", "_broken", "linked", "prev_no", "prev_pos")
 
 
 def chain_span(members: DataFrame) -> tuple[Position, Position] | None:

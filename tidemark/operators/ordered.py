@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 SMALL_BYTES = 128 * 1024 * 1024
 # fewer than 1 / HOT_SHARE groups can each hold more than this share of all rows
 HOT_SHARE = 0.001
-HOT_ROWS = 2_000_000
-ROWS_PER_SLICE = 500_000
+# a task scans about a million rows a second, so smaller groups are left whole
+HOT_ROWS = 20_000_000
+ROWS_PER_SLICE = 5_000_000
 MAX_SLICES = 5_000
 
 
@@ -30,13 +31,13 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def hot_groups(df: DataFrame, keys: list[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> list:
-    """Keys of groups above `share` of all rows and above `min_rows`, with their counts.
+    """Keys of the largest groups above `min_rows`, with their counts.
 
-    At most 1 / share rows reach the driver. Only the key columns are read.
+    At most 1 / share of them, which is at least every group above `share` of all rows,
+    as there cannot be more of those. Only the key columns are read.
     """
-    limit = max(min_rows, math.floor(df.count() * share))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.filter(F.col("_rows") > limit).collect()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > min_rows)
+    return counts.orderBy(F.desc("_rows")).limit(math.ceil(1 / share)).collect()
 
 
 def ordered_scan(
@@ -95,32 +96,40 @@ def add_slices(df: DataFrame, order: str, tie: str, slices: int) -> DataFrame:
     Bounds are quantiles, so they follow the data. A value of `order` frequent enough to
     be several bounds gets a slice of its own, divided further by `tie`.
     """
-    df = df.withColumn("_order", _as_number(df, order)).withColumn("_tie", _as_number(df, tie))
-    points = [F.lit(i / slices) for i in range(1, slices)]
-    bounds = df.agg(
-        F.percentile_approx("_order", F.array(*points), 10 * slices + 10_000).alias("o"),
-        F.percentile_approx("_tie", F.array(*points), 10 * slices + 10_000).alias("t"),
-    ).first()
-    order_bounds, tie_bounds = bounds["o"] or [], bounds["t"] or []
-    frequent = {a for a, b in zip(order_bounds, order_bounds[1:]) if a == b}
-    splits = sorted(set(order_bounds) | {math.nextafter(v, math.inf) for v in frequent})
+    df = df.withColumn("_order", _as_number(df, order))
+    bounds = _quantiles(df, "_order", slices)
+    frequent = {a for a, b in zip(bounds, bounds[1:]) if a == b}
+    splits = _finite(set(bounds) | {math.nextafter(v, math.inf) for v in frequent})
     df = _bucket(df, "_order", "_slice", splits)
     if frequent:
-        df = _bucket(df, "_tie", "_sub", sorted(set(tie_bounds)))
-        own = [splits.index(v) + 1 for v in frequent]
+        df = df.withColumn("_tie", _as_number(df, tie))
+        df = _bucket(df, "_tie", "_sub", _finite(_quantiles(df, "_tie", slices))).drop("_tie")
+        own = [splits.index(v) + 1 if v > -math.inf else 0 for v in frequent]
         df = df.withColumn("_sub", F.when(F.col("_slice").isin(own), F.col("_sub")).otherwise(0))
     else:
         df = df.withColumn("_sub", F.lit(0))
-    return df.drop("_order", "_tie")
+    return df.drop("_order")
+
+
+def _finite(values: Iterable[float]) -> list[float]:
+    return sorted(v for v in set(values) if math.isfinite(v))
+
+
+def _quantiles(df: DataFrame, column: str, parts: int) -> list[float]:
+    points = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    return df.agg(F.percentile_approx(column, points, 10 * parts + 10_000)).first()[0] or []
 
 
 def _as_number(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    return F.col(name).cast("double")
+        number = F.unix_date(name)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        number = F.unix_micros(F.col(name).cast("timestamp"))
+    else:
+        number = F.col(name)
+    # null sorts before everything, here as in a window
+    return F.coalesce(number.cast("double"), F.lit(-math.inf))
 
 
 def _bucket(df: DataFrame, source: str, target: str, splits: Iterable[float]) -> DataFrame:

@@ -7,8 +7,15 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators.ordered import add_slices
 
 MAX_PAGE_SIZE = 100
+# a top-k of more rows than this is first brought nearer
+TOP_ROWS = 10_000
+PAGE_SLICES = 200
+_SLICEABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def page_bounds(page: Any, page_size: Any, default_size: int = 10) -> tuple[int, int]:
@@ -22,18 +29,54 @@ def page_bounds(page: Any, page_size: Any, default_size: int = 10) -> tuple[int,
     return max(1, number(page, 1)), min(MAX_PAGE_SIZE, max(1, number(page_size, default_size)))
 
 
-def page(rows: DataFrame, order: Sequence[Column], page: Any = 1, page_size: Any = 10) -> DataFrame:
-    """One page with the total beside each row; past the end it is empty.
+def page(rows: DataFrame, order: Sequence[tuple[str, bool]], page: Any = 1, page_size: Any = 10) -> DataFrame:
+    """One page in (column, descending) order, the total beside each row; past the end it
+    is empty.
 
-    A page is a top-k: each task keeps offset + size rows, nothing is sorted whole. Deep
-    into a large list use `page_after`, whose cost does not grow with the offset.
+    A page is a top-k: each task keeps offset + size rows, nothing is sorted whole. Far
+    from the start the rows before the page are first passed over by counts.
     """
     number, size = page_bounds(page, page_size)
     total = rows.agg(F.count(F.lit(1)).alias("total")).scalar()
-    chosen = rows.orderBy(*order).offset((number - 1) * size).limit(size)
+    near, offset = _skip_ahead(rows, order, (number - 1) * size, size)
+    chosen = near.orderBy(*_sort_keys(order)).offset(offset).limit(size)
     return chosen.withColumn("total", total)
 
 
+def _sort_keys(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.desc(name) if descending else F.asc(name) for name, descending in order]
+
+
+def _skip_ahead(rows: DataFrame, order: Sequence[tuple[str, bool]], offset: int, size: int) -> tuple[DataFrame, int]:
+    """The part of `rows` that holds the page, and the page's offset in it.
+
+    Rows are cut into slices of their order, of which only the counts are collected; the
+    slices before the page are left out, and this repeats until a top-k suffices. Needs a
+    leading column that is numeric or a time, as does a second one; else it does nothing.
+    """
+    (lead, lead_desc), (tie, tie_desc) = order[0], order[min(1, len(order) - 1)]
+    if not all(isinstance(rows.schema[c].dataType, _SLICEABLE) for c in (lead, tie)):
+        return rows, offset
+    while offset + size > TOP_ROWS:
+        sliced = add_slices(rows, lead, tie, PAGE_SLICES)
+        counts = {(r["_slice"], r["_sub"]): r["n"] for r in sliced.groupBy("_slice", "_sub").agg(F.count(F.lit(1)).alias("n")).collect()}
+        kept, before, seen = [], 0, 0
+        for part in sorted(counts, key=lambda p: (-p[0] if lead_desc else p[0], -p[1] if tie_desc else p[1])):
+            if seen + counts[part] <= offset:
+                before = seen + counts[part]
+            elif seen < offset + size:
+                kept.append(part)
+            seen += counts[part]
+        if not before or not kept:
+            # past the end, or all rows in one place: nothing can be left out
+            return (rows, offset) if kept else (rows.limit(0), 0)
+        wanted = F.lit(False)
+        for slice_no, sub in kept:
+            wanted |= (F.col("_slice") == slice_no) & (F.col("_sub") == sub)
+        rows, offset = sliced.filter(wanted).drop("_slice", "_sub"), offset - before
+    return rows, offset
+
+
 def page_after(rows: DataFrame, order: Sequence[tuple[str, bool]], last: Sequence[Any], page_size: Any = 10) -> DataFrame:
     """The rows that follow `last` in (column, descending) order; the columns are unique together."""
     _, size = page_bounds(1, page_size)
@@ -45,8 +88,7 @@ def page_after(rows: DataFrame, order: Sequence[tuple[str, bool]], last: Sequenc
     # the leading column alone bounds the scan, so this part reaches the reader
     (first, descending), bound = order[0], F.lit(last[0]).cast(rows.schema[order[0][0]].dataType)
     near = F.col(first) <= bound if descending else F.col(first) >= bound
-    keys = [F.desc(name) if desc else F.asc(name) for name, desc in order]
-    return rows.filter(near).filter(beyond).orderBy(*keys).limit(size)
+    return rows.filter(near).filter(beyond).orderBy(*_sort_keys(order)).limit(size)
 
 
 def number_key(text: Column) -> Column:
@@ -78,7 +120,7 @@ def typed_sort(rows: DataFrame, column: str, descending: bool = False) -> DataFr
     direction = F.desc if descending else F.asc
     if dict(rows.dtypes)[column] != "string":
         return rows.orderBy(direction(column))
-    number, words = number_key(F.col(column)), text_key(F.col(column))
-    return rows.orderBy(
-        direction(number.isNull()), direction(number), direction(F.collate(words, "UNICODE_CI_AI"))
-    )
+    # as columns, since a sort would compute an expression anew for every comparison
+    keyed = rows.withColumns({"__number": number_key(F.col(column)), "__words": F.collate(text_key(F.col(column)), "UNICODE_CI_AI")})
+    keys = [direction(F.col("__number").isNull()), direction("__number"), direction("__words")]
+    return keyed.orderBy(*keys).drop("__number", "__words")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,8 @@ from tidemark.operators.select import keep_names_on_restore
 
 # changed keys up to this estimate are worth sending to every executor
 BROADCAST_BYTES = 64 * 1024 * 1024
+# above this estimate it pays to look for the shortest position number first
+PACK_BYTES = 1024**3
 
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -21,29 +23,42 @@ def latest_image(changes: DataFrame, key: str, payload: Sequence[str], *, partia
     """The last event of each key, deletes included: key, payload, `live`.
 
     An aggregate rather than `row_number`: each task sends one row per key, so a key with
-    most of the events costs no more than any other. With fixed-width columns the state
-    updates in place and the aggregate hashes; otherwise Spark sorts within each task.
+    most of the events costs no more than any other. Fixed-width columns are kept one by
+    one by a numeric position, which the aggregate updates in place and hashes; others
+    travel as one struct, for which Spark sorts within each task.
 
     partial: events carry only the changed columns, absent ones are null; then each
     column takes its last present value since the key's last delete or insert.
     """
-    at = _order_number() if _fixed_width(changes, payload) else F.struct("log_no", "log_pos", "sub")
     if partial:
         return _partial_image(changes, key, payload)
-    picked = [F.max_by(column, at).alias(column) for column in payload]
+    at = position_number(changes)
     # the op code as a number keeps the aggregate's state fixed-width
-    last_op = F.max_by(F.ascii("op"), at)
-    rows = changes.groupBy(key).agg(*picked, last_op.alias("_op"))
+    op = F.ascii("op").alias("_op")
+    if all(isinstance(changes.schema[c].dataType, _FIXED_WIDTH) for c in payload):
+        rows = changes.groupBy(key).agg(*(F.max_by(c, at).alias(c) for c in payload), F.max_by(op, at).alias("_op"))
+    else:
+        rows = changes.groupBy(key).agg(F.max_by(F.struct(*payload, op), at).alias("_last")).select(key, "_last.*")
     return rows.withColumn("live", F.col("_op") != F.ascii(F.lit("D"))).drop("_op")
 
 
-def _fixed_width(changes: DataFrame, payload: Sequence[str]) -> bool:
-    return all(isinstance(changes.schema[c].dataType, _FIXED_WIDTH) for c in payload)
+def position_number(changes: DataFrame) -> Column:
+    """(log_no, log_pos, sub) as one exact number that sorts the same way.
 
-
-def _order_number():
-    """(log_no, log_pos, sub) as one exact number: 10 digits of sub, 13 of position."""
-    no, pos, sub = (F.col(c).cast("decimal(15,0)") for c in ("log_no", "log_pos", "sub"))
+    A large input is first asked for its highest values, one read of three narrow columns:
+    if their bits fit a long together, aggregates run about twice as fast as by decimals.
+    """
+    names = ("log_no", "log_pos", "sub")
+    if plan_bytes(changes) > PACK_BYTES:
+        highest = changes.agg(*(F.max(n) for n in names), *(F.min(n) for n in names)).first()
+        tops, lows = highest[:3], highest[3:]
+        if None not in tops and min(lows) >= 0:
+            bits = [int(top).bit_length() for top in tops]
+            if sum(bits) <= 63:
+                no, pos, sub = (F.col(n).cast("long") for n in names)
+                return F.shiftleft(no, bits[1] + bits[2]) + F.shiftleft(pos, bits[2]) + sub
+    # 10 digits of sub and 13 of position leave 15 for the file
+    no, pos, sub = (F.col(n).cast("decimal(15,0)") for n in names)
     return (no * F.lit(10**13).cast("decimal(14,0)") + pos) * F.lit(10**10).cast("decimal(11,0)") + sub
 
 

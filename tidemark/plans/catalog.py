@@ -180,7 +180,13 @@ def list_sessions(t):
 @query("page_list", uses="sessions", sql="""
 SELECT *, (SELECT count(*) FROM sessions) AS total FROM sessions ORDER BY backup_time DESC, seq DESC LIMIT 100 OFFSET 200""")
 def page_list(t):
-    return paging.page(t.sessions, [F.desc("backup_time"), F.desc("seq")], page=3, page_size=500)
+    return paging.page(t.sessions, [("backup_time", True), ("seq", True)], page=3, page_size=500)
+
+
+@query("page_deep", uses="sessions", sql="""
+SELECT *, (SELECT count(*) FROM sessions) AS total FROM sessions ORDER BY backup_time DESC, seq DESC LIMIT 100 OFFSET 12300""")
+def page_deep(t):
+    return paging.page(t.sessions, [("backup_time", True), ("seq", True)], page=124, page_size=100)
 
 
 @query("page_after", uses="sessions", sql="""

@@ -11,17 +11,17 @@ from tidemark.streaming import completion, increments
 from tidemark.streaming.image import LiveImage
 
 
-def _stored_log(t) -> str:
+def _log_stream(t):
+    """The change log stored by log file, and read back as a stream."""
     path = scratch_dir(t.spark, "log")
     t.changes.hint("rebalance", "log_no").write.partitionBy("log_no").parquet(path)
-    return path
+    return increments.read_log_stream(t.spark, path, files_per_trigger=50, schema=t.changes.schema)
 
 
 @query("stream_increments", uses="changes", sql="SELECT * FROM changes WHERE db = 'mall'")
 def stream_increments(t):
     root = scratch_dir(t.spark, "increments")
-    log = increments.read_log_stream(t.spark, _stored_log(t), files_per_trigger=4)
-    increments.start_increments(log, root, f"{root}/checkpoint", db="mall").awaitTermination()
+    increments.start_increments(_log_stream(t), root, f"{root}/checkpoint", db="mall").awaitTermination()
     return increments.read_increments(t.spark, root).drop("batch")
 
 
@@ -31,7 +31,7 @@ def stream_image(t):
     root = scratch_dir(t.spark, "image")
     image = LiveImage(t.spark, root, "pk", ["val"], compact_every=2)
     image.load_base(t.snapshot)
-    image.start(increments.read_log_stream(t.spark, _stored_log(t), files_per_trigger=4), f"{root}/checkpoint").awaitTermination()
+    image.start(_log_stream(t), f"{root}/checkpoint").awaitTermination()
     return image.read()
 
 

@@ -1,8 +1,8 @@
 """Snapshots: tables written as sharded, compressed Parquet, schema and data apart.
 
     <root>/data/<table>/   the rows
-    <root>/meta/tables/    one row per table: rows written, codec, phase, schema
-    <root>/meta/options/   the selection the snapshot was made with
+    <root>/meta/tables/    one row per table: rows written, codec, phase, schema, and the
+                           selection the snapshot was made with
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from tidemark.operators.select import UNVERSIONED_ENGINE, keep_names_on_restore,
 THREADS = 4
 DROP_MODES = ("DROP", "TRUNCATE", "DELETE", "NONE", "FAIL")
 
-_MANIFEST = "name string, phase int, rows long, codec string, schema_json string"
+_MANIFEST = "name string, phase int, rows long, codec string, schema_json string, tables_include string, tables_exclude string"
 
 
 def write_snapshot(
@@ -60,16 +61,16 @@ def write_snapshot(
         if shard_rows:
             writer = writer.option("maxRecordsPerFile", shard_rows)
         writer.parquet(f"{root}/data/{name}")
-        return name, phase_of[name], seen.get["rows"], codec, df.schema.json()
+        return name, phase_of[name], seen.get["rows"], codec, df.schema.json(), ",".join(include), ",".join(exclude)
 
     written: list[tuple] = []
     for phase in (1, 2):
         group = [n for n in names if phase_of[n] == phase]
         written += _at_once(spark, write, group)
-    manifest = spark.createDataFrame(written, _MANIFEST).coalesce(1)
-    manifest.write.parquet(f"{root}/meta/tables")
-    options = {"tables_include": ",".join(include), "tables_exclude": ",".join(exclude)}
-    spark.range(1).select(*(F.lit(v).alias(k) for k, v in options.items())).write.json(f"{root}/meta/options")
+    # by Arrow, which needs no Python worker for a few rows
+    columns = [field.split()[0] for field in _MANIFEST.split(", ")]
+    rows = pa.Table.from_pylist([dict(zip(columns, row)) for row in written])
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{root}/meta/tables")
     return read_manifest(spark, root)
 
 

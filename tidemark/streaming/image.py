@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.restore import latest_events
+from tidemark.operators.ordered import plan_bytes
+from tidemark.operators.restore import BROADCAST_BYTES, latest_events
 
 
 class LiveImage:
@@ -57,12 +58,28 @@ class LiveImage:
 
         bases = wanted(self._finished("base/upto"), -2)
         base = max(bases, default=-2)
-        paths = [f"{self.root}/delta/batch={n}" for n in wanted(self._finished("delta/batch"), base)]
-        if bases:
-            paths.append(f"{self.root}/base/upto={base}")
-        if not paths:
+        folders = [f"{self.root}/delta/batch={n}" for n in wanted(self._finished("delta/batch"), base)]
+        if not bases and not folders:
             raise ValueError("neither a base nor a batch has been written")
-        return latest_events(self.spark.read.parquet(*paths), self.key, self.payload)
+        old = self.spark.read.parquet(f"{self.root}/base/upto={base}") if bases else None
+        if not folders:
+            return old
+        new = self.spark.read.parquet(*folders)
+        return self._fold(new) if old is None else self._lay_over(old, new)
+
+    def _fold(self, events: DataFrame) -> DataFrame:
+        return latest_events(events, self.key, self.payload)
+
+    def _lay_over(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """Few changed keys are broadcast, and the rows they do not touch stay where they
+        are; otherwise all rows meet in one aggregate."""
+        keys = new.select(self.key).distinct()
+        if plan_bytes(keys) > BROADCAST_BYTES:
+            return self._fold(old.unionByName(new))
+        keys = F.broadcast(keys)
+        touched = old.join(keys, self.key, "left_semi")
+        untouched = old.join(keys, self.key, "left_anti")
+        return untouched.unionByName(self._fold(touched.select(new.columns).unionByName(new)))
 
     def _finished(self, prefix: str) -> list[int]:
         """Numbers of completely written outputs; others lack the writer's marker."""

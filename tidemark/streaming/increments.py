@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidemark.sources.changelog import packed_position
 
 _MANIFEST = "start_at long, end_at long, events long, late boolean"
 
 
-def read_log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+def read_log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, schema: StructType | None = None) -> DataFrame:
     """A stored log, partitioned by log_no, as a stream of its files."""
-    schema = spark.read.parquet(path).schema
+    schema = schema or spark.read.parquet(path).schema
     options = {"maxFilesPerTrigger": files_per_trigger} if files_per_trigger else {}
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
