@@ -68,6 +68,12 @@ def test_a_gap_ends_the_restorable_prefix(spark):
     assert ids(chain.unbroken_prefix(rows)) == ["f1", "f2", "i1", "i4", "i5"]
 
 
+def test_an_increment_without_a_directory_breaks_the_chain(spark):
+    rows = sessions(spark, TIMELINE).withColumn("backupDir", F.when(F.col("backup_file_id") != "i2", "/b").otherwise(" "))
+    assert ids(chain.chain_gaps(rows)) == ["i2"]
+    assert ids(chain.unbroken_prefix(rows)) == ["f1", "f2", "i1", "i4", "i5"]
+
+
 def test_prefix_with_forced_slices_is_the_same(spark):
     rows = sessions(spark, [full("f", 0, 0)] + [inc(f"i{n}", "f", n, 10 * (n - 1) + (n == 150), 10 * n) for n in range(1, 200)])
     options = dict(small_bytes=0, share=0.01, min_rows=5, rows_per_slice=20)

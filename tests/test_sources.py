@@ -169,6 +169,7 @@ def test_selection_and_engines(spark, tables):
     root = scratch_dir(spark, "t")
     manifest = snapshots.write_snapshot(spark, tables, root, exclude=["empty"], engines={"log": "MEMORY"}, ignore_engines=["MEMORY"])
     assert [r["name"] for r in manifest.collect()] == ["users"]
+    assert snapshots.selection(spark, root) == ([], ["empty"])
     with pytest.raises(EmptySelection):
         snapshots.write_snapshot(spark, tables, scratch_dir(spark, "t"), include=["nobody"])
 

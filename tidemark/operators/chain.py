@@ -61,7 +61,8 @@ def unknown_choices(sessions: DataFrame, choices: DataFrame, include_failed: boo
 
 def chain_links(sessions: DataFrame, include_failed: bool = True, **scan_options) -> DataFrame:
     """Every member of every chain in log order, with its predecessor's end and whether
-    it starts exactly there (`linked`). The full opens its chain."""
+    it starts exactly there (`linked`). The full opens its chain. Where records have a
+    `backupDir`, an increment without one cannot be replayed and so links to nothing."""
     is_full = F.col("backup_type") == "full"
     rows = sessions if include_failed else sessions.filter(F.col("status") == "success")
     rows = rows.withColumn("chain_id", F.when(is_full, F.col("backup_file_id")).otherwise(F.col("full_backup_file_id")))
@@ -71,6 +72,8 @@ def chain_links(sessions: DataFrame, include_failed: bool = True, **scan_options
         rows, ["account_id", "chain_id"], "_at", "seq", lags={"prev_no": "end_no", "prev_pos": "end_pos"}, **scan_options
     )
     meets = (F.col("prev_no") == F.col("start_no")) & (F.col("prev_pos") == F.col("start_pos"))
+    if "backupDir" in scanned.columns:
+        meets &= F.trim("backupDir") != ""
     return scanned.withColumn("linked", is_full | F.coalesce(meets, F.lit(False)))
 
 

@@ -216,7 +216,7 @@ _AS_OF = datetime(1998, 8, 2)
 
 
 @query("retention", uses="sessions jobs", sql=f"""
-WITH policy AS (SELECT db_instance_id AS database, min(clean_days) AS clean_days FROM jobs WHERE backup_type = 'full' GROUP BY ALL),
+WITH policy AS (SELECT db_instance_id AS database, max(clean_days) AS clean_days FROM jobs WHERE backup_type = 'full' GROUP BY ALL),
 current AS (SELECT * FROM (
   SELECT database, backup_file_id, row_number() OVER (PARTITION BY database ORDER BY backup_time DESC, seq DESC) AS rn
   FROM sessions WHERE backup_type = 'full' AND status = 'success') x WHERE rn = 1)
@@ -225,6 +225,6 @@ WHERE p.clean_days > 0 AND s.backup_time < TIMESTAMP '{_AS_OF}' - to_days(p.clea
 def retention(t):
     policy = (
         t.jobs.filter("backup_type = 'full'").groupBy(F.col("db_instance_id").alias("database"))
-        .agg(F.min("clean_days").alias("clean_days"))
+        .agg(F.max("clean_days").alias("clean_days"))
     )
     return ops.retention(t.sessions, policy, _AS_OF)

@@ -78,6 +78,13 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_MANIFEST).parquet(f"{root}/meta/tables")
 
 
+def selection(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """The include and exclude lists of a snapshot; increments on top of it inherit them."""
+    row = read_manifest(spark, root).select("tables_include", "tables_exclude").first()
+    include, exclude = ([n for n in text.split(",") if n] for text in (row or ("", "")))
+    return include, exclude
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     row = read_manifest(spark, root).filter(F.col("name") == name).first()
     if row is None:
