@@ -89,6 +89,18 @@ def test_strategies_agree(spark):
     assert rows_of(patch) == rows_of(rebuild)
 
 
+def test_a_large_estimate_is_counted_before_choosing(spark, monkeypatch):
+    t = Tables(spark, SF)
+    image = ops.latest_image(t.changes, "pk", ["val"])
+    expected = rows_of(ops.merge(t.snapshot, image, "pk", ["val"]))
+    monkeypatch.setattr(ops, "BROADCAST_BYTES", 20_000)
+    for keys, join in ((1_000_000, "LeftAnti"), (10, "FullOuter")):
+        monkeypatch.setattr(ops, "BROADCAST_KEYS", keys)
+        merged = ops.merge(t.snapshot, image, "pk", ["val"])
+        assert join in merged._jdf.queryExecution().executedPlan().toString()
+        assert rows_of(merged) == expected
+
+
 def test_patch_never_shuffles_the_base(spark):
     t = Tables(spark, SF)
     plan = ops.merge(t.snapshot, ops.latest_image(t.changes, "pk", ["val"]), "pk", ["val"])._jdf.queryExecution().executedPlan().toString()

@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 
 from tidemark.operators.ordered import plan_bytes
 from tidemark.operators.select import keep_names_on_restore
+from tidemark.session import materialize
 
-# changed keys up to this estimate are worth sending to every executor
-BROADCAST_BYTES = 64 * 1024 * 1024
+# changed keys up to this estimate, or this count, are worth sending to every executor
+BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_KEYS = 2_000_000
 # above this estimate it pays to look for the shortest position number first
 PACK_BYTES = 1024**3
 
@@ -81,22 +83,24 @@ def merge(base: DataFrame, image: DataFrame, key: str, payload: Sequence[str], s
     """The snapshot with an image laid over it: changed rows replaced, deleted ones gone.
 
     "patch":   unchanged base rows by anti join, then the live image rows. The changed
-               keys are broadcast when small, and the base is then never shuffled.
-    "rebuild": one full outer join, where the image is too large for that.
-    By default the estimated size of the changed keys decides.
+               keys are broadcast when few, and the base is then never shuffled.
+    "rebuild": one full outer join, where there are too many of them for that.
+    By default the number of changed keys decides. An estimate cannot tell how few keys
+    a long log comes down to, so a large image is written out first and then counted.
     """
     columns = [key, *payload]
     carried = "continues" in image.columns
+    few = plan_bytes(image.select(key)) <= BROADCAST_BYTES
     if strategy is None:
-        small = plan_bytes(image.select(key)) <= BROADCAST_BYTES
-        strategy = "patch" if small and not carried else "rebuild"
+        if not few and not carried:
+            image = materialize(image, "image")
+            few = image.count() <= BROADCAST_KEYS and plan_bytes(image.select(key)) <= BROADCAST_BYTES
+        strategy = "patch" if few and not carried else "rebuild"
     if strategy == "patch":
         if carried:
             raise ValueError("partial images need the base row: use the rebuild strategy")
         changed = image.select(key)
-        if plan_bytes(changed) <= BROADCAST_BYTES:
-            changed = F.broadcast(changed)
-        kept = base.select(columns).join(changed, key, "left_anti")
+        kept = base.select(columns).join(F.broadcast(changed) if few else changed, key, "left_anti")
         return kept.unionByName(image.filter("live").select(columns))
     if strategy != "rebuild":
         raise ValueError(f"unknown strategy: {strategy}")
