@@ -93,7 +93,7 @@ def layout_pick(t):
 
 
 def _metadata_text(t):
-    """Metadata files as a dump tool writes them, 200 tables of `part` per session."""
+    """Metadata files as a dump tool writes them, 500 tables of `part` per session."""
     key = F.col("p_partkey")
     head = F.concat(F.lit("[`mall`.`t"), key.cast("string"), F.lit("`]"))
     rows = (
@@ -106,14 +106,14 @@ def _metadata_text(t):
     # a section of the database and one that belongs to no table
     extra = F.concat_ws("\n", F.lit("[`mall`]"), F.lit("rows = 5"), F.lit("[config]"), F.lit("rows = 6"))
     source = F.concat_ws(
-        "\n", F.when(key % 400 == 0, F.lit("[source]")).otherwise(F.lit("[SOURCE]")),
+        "\n", F.when(key % 1000 == 0, F.lit("[source]")).otherwise(F.lit("[SOURCE]")),
         F.concat(F.lit('# SOURCE_LOG_FILE = "binlog.'), F.lpad(key.cast("string"), 6, "0"), F.lit('"')),
-        F.when(key % 1000 != 400, F.concat(F.lit("source_log_pos = "), (key * 100).cast("string"))).otherwise(F.lit("# none")),
+        F.when(key % 2500 != 500, F.concat(F.lit("source_log_pos = "), (key * 100).cast("string"))).otherwise(F.lit("# none")),
     )
-    part = t.part.withColumn("session_no", F.floor(key / 200).cast("int"))
+    part = t.part.withColumn("session_no", F.floor(key / 500).cast("int"))
     sections = part.select("session_no", section.alias("value"))
     # once per session, beside its first table
-    fixed = part.filter(key % 200 == 0).select("session_no", F.explode(F.array(extra, source)).alias("value"))
+    fixed = part.filter(key % 500 == 0).select("session_no", F.explode(F.array(extra, source)).alias("value"))
     path = scratch_dir(t.spark, "metadata")
     sections.unionByName(fixed).write.partitionBy("session_no").text(path)
     return dumps.read_sections(t.spark, path).withColumn(
@@ -123,7 +123,7 @@ def _metadata_text(t):
 
 _META_OBJECTS = """
 meta AS (
-  SELECT CAST(floor(p_partkey / 200) AS INTEGER) AS session_no, 'mall' AS schema, concat('t', CAST(p_partkey AS VARCHAR)) AS name,
+  SELECT CAST(floor(p_partkey / 500) AS INTEGER) AS session_no, 'mall' AS schema, concat('t', CAST(p_partkey AS VARCHAR)) AS name,
     CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE concat('t', CAST(p_partkey AS VARCHAR)) END AS real_table_name,
     CASE WHEN p_partkey % 13 = 0 OR p_partkey % 11 = 0 THEN 0 ELSE p_partkey * 3 END AS rows,
     CASE WHEN p_size % 10 = 0 THEN 'view' ELSE 'table' END AS kind FROM part)"""
@@ -139,8 +139,8 @@ def metadata_objects(t):
 
 
 @query("metadata_source_pos", sql="""
-WITH firsts AS (SELECT p_partkey AS k, p_partkey % 1000 <> 400 AND p_partkey > 0 AS ok FROM part WHERE p_partkey % 200 = 0)
-SELECT CAST(floor(k / 200) AS INTEGER) AS session_no, CASE WHEN ok THEN concat('binlog.', lpad(CAST(k AS VARCHAR), 6, '0')) END AS log_file,
+WITH firsts AS (SELECT p_partkey AS k, p_partkey % 2500 <> 500 AND p_partkey > 0 AS ok FROM part WHERE p_partkey % 500 = 0)
+SELECT CAST(floor(k / 500) AS INTEGER) AS session_no, CASE WHEN ok THEN concat('binlog.', lpad(CAST(k AS VARCHAR), 6, '0')) END AS log_file,
   CASE WHEN ok THEN k * 100 END AS log_pos, CASE WHEN ok THEN NULL ELSE 'no_source_position' END AS error
 FROM firsts""")
 def metadata_source_pos(t):
