@@ -115,6 +115,22 @@ def test_tables_are_done_after_equal_polls(spark):
     assert done("running", small_bytes=0, share=0.01, min_rows=1, rows_per_slice=2) == stable
 
 
+def test_standstill_is_carried_over_batches(spark):
+    polls = spark.createDataFrame(POLLS, "tbl string, poll_no int, size int").withColumn("fingerprint", F.col("size").cast("string"))
+    expected = {(r["tbl"], r["done_poll"]) for r in completion.stable_tables(polls, F.col("size"), 2).collect()}
+    for options in ({}, dict(small_bytes=0, share=0.01, min_rows=1, rows_per_slice=2)):
+        for cuts in ([3, 4, 7],) if options else ([7], [1, 2, 3, 4, 5, 6, 7], [3, 4, 7]):
+            root, low = scratch_dir(spark, "done"), 0
+            for batch_id, high in enumerate(cuts):
+                part = polls.filter((F.col("poll_no") >= low) & (F.col("poll_no") < high))
+                for _ in range(2 if high == 4 else 1):
+                    completion.follow_batch(part, batch_id, root, 2, **options)
+                low = high
+            assert {(r["tbl"], r["done_poll"]) for r in completion.completed_so_far(spark, root).collect()} == expected
+        if not options:
+            assert completion.completed_so_far(spark, scratch_dir(spark, "none")).isEmpty()
+
+
 def test_fingerprint_ignores_file_order_and_sees_every_change(spark):
     rows = [("t", 1, "f1", 5, 100), ("t", 1, "f2", 6, 100), ("t", 2, "f2", 6, 100), ("t", 2, "f1", 5, 100), ("t", 3, "f1", 5, 101), ("t", 3, "f2", 6, 100), ("t", 4, "f1", 5, 101)]
     files = spark.createDataFrame(rows, "tbl string, poll_no int, name string, size long, modified long")

@@ -68,7 +68,5 @@ def stream_stable_tables(t):
     for low in (0, 20):
         rows.filter(F.col("poll_no").between(low, low + 19)).write.mode("append").parquet(source)
         polls = t.spark.readStream.schema(rows.schema).parquet(source)
-        found = completion.stable_tables_stream(polls, completion.stable_rounds(2, 0.5))
-        writer = found.writeStream.format("parquet").option("path", root).option("checkpointLocation", f"{root}-state")
-        writer.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(found.schema).parquet(root)
+        completion.start_completion(polls, root, f"{root}/checkpoint", completion.stable_rounds(2, 0.5)).awaitTermination()
+    return completion.completed_so_far(t.spark, root)

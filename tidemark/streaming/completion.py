@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.ordered import ordered_scan
+from tidemark.streaming.versions import finished
 
 
 def stable_rounds(stable_seconds: float = 2, poll_seconds: float = 0.5) -> int:
@@ -48,24 +47,47 @@ def stable_tables(
     return found.filter(F.col("done_poll").isNotNull()).withColumn("done_by", F.lit("stable"))
 
 
-def stable_tables_stream(polls: DataFrame, rounds: int) -> DataFrame:
-    """The streaming form over (tbl, poll_no, fingerprint): each table once, when done.
+_STATE = "tbl string, poll_no long, fingerprint string, equal long, done_poll long"
 
-    The state of a table is its last fingerprint and how long it has stood still. Polls
-    may come in any order within a micro-batch, but not across micro-batches.
-    """
 
-    def follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, equal, done = state.get if state.exists else (None, 0, False)
-        rows = pd.concat(list(chunks)).sort_values("poll_no")
-        for poll, fingerprint in zip(rows["poll_no"], rows["fingerprint"]):
-            equal = equal + 1 if fingerprint == last else 0
-            last = fingerprint
-            if equal >= rounds and not done:
-                done = True
-                yield pd.DataFrame({"tbl": [key[0]], "done_poll": [poll]})
-        state.update((last, equal, done))
-
-    return polls.groupBy("tbl").applyInPandasWithState(
-        follow, "tbl string, done_poll long", "last string, equal long, done boolean", "append", GroupStateTimeout.NoTimeout
+def start_completion(polls: DataFrame, root: str, checkpoint: str, rounds: int) -> StreamingQuery:
+    """The streaming form over (tbl, poll_no, fingerprint), until the polls are used up."""
+    return (
+        polls.writeStream.foreachBatch(lambda batch, batch_id: follow_batch(batch, batch_id, root, rounds))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def follow_batch(batch: DataFrame, batch_id: int, root: str, rounds: int, **scan_options) -> None:
+    """Carry each table's standstill on over one batch of polls.
+
+    The state is one row per table: its last poll and fingerprint, for how many polls that
+    has stood still, and when the table was first done. It joins the batch as a poll from
+    before, so the batch form's scan does the rest and a table with most of the polls is
+    divided as there. Written per batch, hence a repeated batch gives the same state.
+    """
+    spark = batch.sparkSession
+    rows = batch.select("tbl", F.col("poll_no").cast("long").alias("poll_no"), "fingerprint")
+    if batch_id:
+        before = spark.read.schema(_STATE).parquet(f"{root}/state/batch={batch_id - 1}")
+        rows = rows.unionByName(before.withColumn("known", F.lit(True)), allowMissingColumns=True)
+    else:
+        rows = rows.selectExpr("*", "CAST(NULL AS LONG) AS equal", "CAST(NULL AS LONG) AS done_poll", "CAST(NULL AS BOOLEAN) AS known")
+    rows = ordered_scan(rows, ["tbl"], "poll_no", "poll_no", lags={"_before": "fingerprint"}, number="_n", **scan_options)
+    moved = F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("fingerprint"))
+    begun = F.when(F.col("known"), F.col("_n") - F.col("equal")).when(moved, F.col("_n"))
+    rows = ordered_scan(rows, ["tbl"], "poll_no", "poll_no", carries={"_since": begun}, **scan_options)
+    equal = F.col("_n") - F.col("_since")
+    done = F.min(F.when(F.col("known").isNull() & (equal >= rounds), F.col("poll_no")))
+    last = F.max(F.struct("poll_no", "fingerprint", equal.alias("equal")))
+    state = rows.groupBy("tbl").agg(last.alias("_last"), F.coalesce(F.min("done_poll"), done).alias("done_poll"))
+    state.select("tbl", "_last.*", "done_poll").write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
+
+
+def completed_so_far(spark: SparkSession, root: str) -> DataFrame:
+    """Tables found complete up to the last finished batch: `tbl`, `done_poll`."""
+    batches = finished(spark, f"{root}/state/batch")
+    if not batches:
+        return spark.createDataFrame([], _STATE).select("tbl", "done_poll")
+    state = spark.read.schema(_STATE).parquet(f"{root}/state/batch={batches[-1]}")
+    return state.filter(F.col("done_poll").isNotNull()).select("tbl", "done_poll")

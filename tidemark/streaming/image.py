@@ -11,7 +11,6 @@ repeated batch, or one out of order, changes nothing.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.ordered import plan_bytes
 from tidemark.operators.restore import BROADCAST_BYTES, latest_events
+from tidemark.streaming.versions import finished
 
 
 class LiveImage:
@@ -56,9 +56,9 @@ class LiveImage:
         def wanted(numbers: list[int], above: int) -> list[int]:
             return [n for n in numbers if n > above and (upto is None or n <= upto)]
 
-        bases = wanted(self._finished("base/upto"), -2)
+        bases = wanted(finished(self.spark, f"{self.root}/base/upto"), -2)
         base = max(bases, default=-2)
-        folders = [f"{self.root}/delta/batch={n}" for n in wanted(self._finished("delta/batch"), base)]
+        folders = [f"{self.root}/delta/batch={n}" for n in wanted(finished(self.spark, f"{self.root}/delta/batch"), base)]
         if not bases and not folders:
             raise ValueError("neither a base nor a batch has been written")
         old = self.spark.read.parquet(f"{self.root}/base/upto={base}") if bases else None
@@ -80,10 +80,3 @@ class LiveImage:
         touched = old.join(keys, self.key, "left_semi")
         untouched = old.join(keys, self.key, "left_anti")
         return untouched.unionByName(self._fold(touched.select(new.columns).unionByName(new)))
-
-    def _finished(self, prefix: str) -> list[int]:
-        """Numbers of completely written outputs; others lack the writer's marker."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{prefix}=*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
-        return [int(re.search(r"=(-?\d+)/_SUCCESS$", str(f.getPath())).group(1)) for f in found]
