@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import restore as ops
 from tidemark.plans.fixtures import Tables
 from tidemark.plans.restore import base_session, increments_by_file, restore_from_chain
+from tidemark.session import scratch_dir
+from tidemark.sources.snapshots import write_keyed
 
 SF = "/root/testdata/sf0.01"
 EVENT = "log_no int, log_pos long, sub int, op string, pk long, a int, b string"
@@ -107,6 +109,29 @@ def test_patch_never_shuffles_the_base(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_a_keyed_snapshot_is_not_shuffled(spark):
+    t = Tables(spark, SF)
+    base = write_keyed(t.snapshot, "keyed_base", "pk", 8, scratch_dir(spark, "keyed"))
+    try:
+        image = ops.latest_image(t.changes, "pk", ["val"])
+        merged = ops.merge(base, image, "pk", ["val"], "rebuild")
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        # the events are exchanged by key, for their aggregate or for the join; the base is not
+        assert "Bucketed: true" in plan
+        assert not any("Exchange" in line for line in above(plan, "Bucketed: true"))
+        assert rows_of(merged) == rows_of(ops.merge(t.snapshot, image, "pk", ["val"]))
+    finally:
+        spark.sql("DROP TABLE keyed_base")
+
+
+def above(plan, text):
+    """The operators between a scan and the join it feeds."""
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if text in line)
+    join = max(i for i in range(at) if "Join" in lines[i])
+    return lines[join + 1:at]
+
+
 def test_replay_at_once_equals_replay_in_pieces(spark):
     t = Tables(spark, SF)
     whole = ops.merge(t.snapshot, ops.latest_image(t.changes, "pk", ["val"]), "pk", ["val"])

@@ -13,8 +13,9 @@ from tidemark.operators import restore as ops
 from tidemark.operators.diff import verify_tables
 from tidemark.operators.select import keep_names_on_restore
 from tidemark.plans.registry import query
-from tidemark.session import scratch_dir
+from tidemark.session import materialize, scratch_dir
 from tidemark.sources import changelog as log
+from tidemark.sources.snapshots import write_keyed
 
 # an event order number for the oracles; their fixtures have one row per event
 _LATEST = """
@@ -70,6 +71,19 @@ def latest_image(t):
     return ops.latest_image(t.changes, "pk", ["val"]).filter("live").select("pk", "val")
 
 
+@query("restore_keyed", uses="changes snapshot", sql=f"""
+WITH replayed AS (SELECT * FROM changes), base AS (SELECT * FROM snapshot), {_LATEST} {_MERGED}""")
+def restore_keyed(t):
+    """The same restore onto a snapshot bucketed by key, which then stays in place."""
+    path = scratch_dir(t.spark, "keyed")
+    table = "tidemark_" + path.rsplit("-", 1)[1]
+    base = write_keyed(t.snapshot, table, "pk", 8, path)
+    merged = ops.merge(base, ops.latest_image(t.changes, "pk", ["val"]), "pk", ["val"], "rebuild")
+    result = materialize(merged, "restored")
+    t.spark.sql(f"DROP TABLE {table}")
+    return result
+
+
 _START, _END = (1, 304), (8, 504)
 _IN_RANGE = "(log_no > 1 OR (log_no = 1 AND log_pos >= 304)) AND (log_no < 8 OR (log_no = 8 AND log_pos < 504))"
 

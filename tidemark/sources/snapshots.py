@@ -102,6 +102,17 @@ def shard_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def write_keyed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> DataFrame:
+    """A snapshot as a table bucketed and sorted by a unique key, one file per bucket.
+
+    The shuffle is paid once here: later merges of an image onto it move only the image,
+    provided `buckets` is not below the session's number of shuffle partitions.
+    """
+    rows = df.repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def restore_full(
     spark: SparkSession,
     root: str,
