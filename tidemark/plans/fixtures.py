@@ -119,10 +119,10 @@ FIXTURES: dict[str, str] = {
     # files of run directories
     "run_files": """
         SELECT CAST(floor(event_id/50) AS BIGINT) AS session_no,
-               CASE CAST(floor(user_id%7) AS INT) WHEN 0 THEN 'data/metadata' WHEN 1 THEN 'data/metadata.partial'
+               CASE (event_id*7+user_id)%97 WHEN 0 THEN 'data/metadata' WHEN 1 THEN 'data/metadata.partial'
                     WHEN 2 THEN 'metadata' WHEN 3 THEN 'metadata.partial' ELSE concat('data/f', CAST(event_id AS {S})) END AS rel_path,
                CAST(100+event_id%977 AS BIGINT) AS size_bytes
-        FROM {events} WHERE event_id%5=0""",
+        FROM {events}""",
     # text of exported log files, 20 lines per file
     "export_lines": """
         SELECT concat('binlog.', lpad(CAST(CAST(floor(event_id/20) AS BIGINT) AS {S}),6,'0'), '.sql') AS file_name,

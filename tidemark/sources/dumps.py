@@ -132,8 +132,7 @@ def discover_tables(files: DataFrame, file_name: str, database: str) -> DataFram
     """Table names of one database, from schema files and data files, each once."""
     name = F.col(file_name)
     rest = F.substring(name, F.lit(len(database) + 2), F.length(name))
-    table = F.when(F.endswith(name, F.lit(SCHEMA_SUFFIX)), F.expr(f"left({file_name}, length({file_name}) - {len(SCHEMA_SUFFIX)})"))
-    table = F.when(table.isNotNull(), F.substring(table, F.lit(len(database) + 2), F.length(table))).otherwise(
+    table = F.when(F.endswith(rest, F.lit(SCHEMA_SUFFIX)), F.regexp_replace(rest, r"-schema\.sql\.zst$", "")).otherwise(
         F.regexp_replace(rest, r"\.[0-9]+\.sql\.zst$", "")
     )
     mine = files.filter(F.startswith(name, F.lit(f"{database}.")) & F.endswith(name, F.lit(DUMP_SUFFIX)))
