@@ -95,3 +95,17 @@ def test_concatenation_is_in_position_order(spark, changes):
     parts = [log.scan_range(changes, (2, 4), (3, 4)), log.scan_range(changes, (1, 4), (2, 4)).drop("val")]
     rows = [(r["log_no"], r["log_pos"]) for r in log.concat_increments(parts).collect()]
     assert rows == sorted(rows) and len(rows) == 2000
+
+
+def test_a_chain_reads_as_one_log(spark, changes, tmp_path):
+    paths = [str(tmp_path / f"inc{i}") for i in range(4)]
+    ends = [(1, 4), (2, 504), (2, 504), (4, 4)]
+    for path, start, end in zip(paths, ends, ends[1:]):
+        log.write_increment(changes, start, end, path)
+    # the second covers nothing and the last was never written
+    rows = log.read_chain(spark, paths, changes.schema)
+    assert positions(rows) == positions(log.scan_range(changes, ends[0], ends[-1]))
+    assert sorted(rows.columns) == sorted(changes.columns)
+    assert log.read_chain(spark, paths[3:], changes.schema).isEmpty()
+    info = log.read_increment_info(spark, *paths[:3]).collect()
+    assert sorted((r["start_no"], r["end_no"]) for r in info) == [(1, 2), (2, 2), (2, 4)]

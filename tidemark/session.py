@@ -45,6 +45,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of whatever file system holds the path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write once to the shared folder and read back.
 

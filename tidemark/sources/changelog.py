@@ -11,8 +11,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators.select import keep_names
+from tidemark.session import folder_exists
 
 Position = tuple[int, int]
 # the first event of a log file starts here, after the file's magic number
@@ -143,6 +145,21 @@ def read_increment(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/log")
 
 
+def read_increment_info(spark: SparkSession, *paths: str) -> DataFrame:
+    """The info records of increments, one row each."""
+    schema = "database string, full_backup_file_id string, start_no int, start_pos long, end_no int, end_pos long"
+    return spark.read.schema(schema).json([f"{p}/meta" for p in paths])
+
+
+def read_chain(spark: SparkSession, paths: Sequence[str], schema: StructType) -> DataFrame:
+    """The events of a chain's increments, a scan each; position order is a sort away.
+
+    An increment without a log folder, or without events in it, counts as empty.
+    """
+    parts = [spark.read.schema(schema).parquet(f"{p}/log") for p in paths if folder_exists(spark, f"{p}/log")]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
 def concat_increments(parts: Sequence[DataFrame]) -> DataFrame:
     """Increments as one log in position order, whatever order they come in."""
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
