@@ -43,6 +43,15 @@ def test_timestamps_as_order(spark):
     assert plain == sliced
 
 
+def test_orders_too_close_for_a_double_stay_in_order(spark):
+    df = spark.range(2000).select(
+        F.lit("one").alias("k"), (F.lit(1 << 60) + F.col("id") % 5).alias("t"), ((F.col("id") * 7919) % 2000).alias("u"),
+        (F.col("id") % 17).cast("int").alias("v"),
+    )
+    plain, sliced = both(df, rows_per_slice=100)
+    assert plain == sliced
+
+
 def test_a_hot_group_is_spread_over_slices(spark):
     df = spark.range(10_000).select(F.lit(5).alias("t"), F.col("id").alias("u"))
     sizes = ordered.add_slices(df, "t", "u", 20).groupBy("_slice", "_sub").count().collect()

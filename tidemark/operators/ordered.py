@@ -105,6 +105,9 @@ def add_slices(df: DataFrame, order: str, tie: str, slices: int) -> DataFrame:
         df = df.withColumn("_tie", _as_number(df, tie))
         df = _bucket(df, "_tie", "_sub", _finite(_quantiles(df, "_tie", slices))).drop("_tie")
         own = [splits.index(v) + 1 if v > -math.inf else 0 for v in frequent]
+        # neighbours too close for a double share a slice; `tie` divides single values only
+        spread = df.filter(F.col("_slice").isin(own)).groupBy("_slice").agg(F.min(order).eqNullSafe(F.max(order)).alias("one"))
+        own = [r["_slice"] for r in spread.filter("one").collect()]
         df = df.withColumn("_sub", F.when(F.col("_slice").isin(own), F.col("_sub")).otherwise(0))
     else:
         df = df.withColumn("_sub", F.lit(0))
