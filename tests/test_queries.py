@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import mismatch, oracle_rows
+from tidemark.plans import REGISTRY
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = dict(REGISTRY), {name: query.sql for name, query in REGISTRY.items() if query.sql}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -30,6 +31,11 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry_gives_the_restored_table(spark):
     df = entry.entry(spark)
     assert df.columns == ["pk", "val"]
