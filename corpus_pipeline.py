@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, packing, pii, quality
-from tidemark.llm.cluster import by_ids, prepare
+from tidemark.llm.cluster import by_ids, free_name, prepare
 from tidemark.llm.queries import VOCABULARY, table
 from tidemark.session import materialize, scratch_dir
 
@@ -19,7 +19,8 @@ from tidemark.session import materialize, scratch_dir
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, scored by a model fitted on the labelled ones."""
     model = quality.fit_labelled(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=docs.columns).where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    name = free_name(docs, "score")
+    return quality.score(docs, model, keep=docs.columns, name=name).where(F.col(name) >= quality.THRESHOLD).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

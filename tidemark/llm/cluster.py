@@ -41,4 +41,12 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = ids.select(F.col(key).alias("_key"))
-    return rows.join(F.broadcast(chosen) if few else chosen, rows[key].eqNullSafe(F.col("_key")), how)
+    return rows.join(F.broadcast(chosen) if few else chosen, rows[key].eqNullSafe(chosen["_key"]), how)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

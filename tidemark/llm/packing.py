@@ -197,9 +197,9 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     within = Window.partitionBy("length", "_part").orderBy("_row")
     numbered = kept.withColumn("_n", F.row_number().over(within) - 1).join(begins.drop("n"), ["length", "_part"]).withColumn("_n", F.col("_n") + F.col("base"))
     # a few entries for each length: its size hangs on the capacity alone
-    placed = numbered.join(F.broadcast(plan), (numbered["length"] == plan["length"]) & F.expr("_n >= low AND _n < low + times"))
+    placed = numbered.join(F.broadcast(plan), (numbered["length"] == plan["length"]) & (F.col("_n") >= plan["low"]) & (F.col("_n") < plan["low"] + plan["times"]))
     return placed.select(
-        *(numbered[c] for c in cut.columns), (F.col("first_sequence") + F.col("_n") - F.col("low")).alias("sequence_id"), F.col("at").alias("offset"),
+        *(numbered[c] for c in cut.columns), (plan["first_sequence"] + F.col("_n") - plan["low"]).alias("sequence_id"), plan["at"].alias("offset"),
     )
 
 

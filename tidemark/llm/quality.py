@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.cluster import free_name
 from tidemark.llm.words import MARKED, U64, Words, chained, words
 
 BITS = 18
@@ -21,7 +22,7 @@ BITS = 18
 SAMPLE_ROWS = 16_000
 SHARDS = 4
 EPOCHS = 3
-#: words of a text in one scoring step; the sums of the steps are added
+#: step size and regularisation
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.0005
 THRESHOLD = 0.7
 
@@ -114,16 +115,16 @@ def scores(found: Words, model: Model) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(dot, -30, 30)))
 
 
-def score(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns of `keep` and `score`, 0 to 1, higher for better texts; a null or empty text has the bias alone."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
+def score(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns of `keep` and the score, 0 to 1, higher for better texts; a null or empty text has the bias alone."""
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
 
     def run(batches):
         for batch in batches:
-            own = [scores(found, model) for found in words(batch.column("_text"), MARKED)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.concatenate(own) if own else [], pa.float64())], [*keep, "score"])
+            own = [scores(found, model) for found in words(batch.column(len(keep)), MARKED)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(np.concatenate(own) if own else [], pa.float64())], [*keep, name])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias(free_name(docs, "_text"))).mapInArrow(run, schema)
 
 
 def held_out(id_col: str):
