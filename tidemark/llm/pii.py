@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.cluster import free_name
 from tidemark.llm.spans import matches, rendered, sha
 
 #: the order of kinds in results; the first four are the strict ones
@@ -198,7 +199,7 @@ def _features(row: dict) -> list[str]:
 
 
 def decided(found: Column, model: Model) -> Column:
-    """The candidates that are kept: strict ones, and others the classifier takes for personal data and no strict one overlaps."""
+    """The candidates that are kept: strict ones, and others the classifier takes for personal data."""
     table = F.create_map(*(F.lit(x) for f, w in sorted(model.weights.items()) for x in (f, float(w)))) if model.weights else F.expr("cast(map() as map<string, double>)")
 
     def weight(name: Column) -> Column:
@@ -213,30 +214,38 @@ def decided(found: Column, model: Model) -> Column:
         return out
 
     bar = math.log(DECIDE / (1 - DECIDE))
-    strict = F.filter(found, lambda c: c["base"])
-    added = F.filter(found, lambda c: ~c["base"] & (logit(c) >= bar) & ~F.exists(strict, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return F.concat(strict, added)
+    kept = F.filter(found, lambda c: c["base"] | (logit(c) >= bar))
+    # where spans overlap, strict ones and then the kinds listed first prevail over added ones
+    return F.transform(F.array(kept), lambda k: F.filter(k, lambda c: c["base"] | ~F.exists(
+        k, lambda b: (b["base"] | (b["rank"] < c["rank"])) & (b["start"] < c["end"]) & (c["start"] < b["end"]),
+    )))[0]
 
 
 def _short(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base")))
 
 
-def find(docs: DataFrame, model: Model | None = None, *, text_col: str = "text") -> DataFrame:
+_NONE = "cast(array() as array<struct<start: long, rank: int, end: long, kind: string, base: boolean>>)"
+
+
+def find(docs: DataFrame, model: Model | None = None, *, text_col: str = "text", name: str = "pii") -> DataFrame:
     """The input's columns and `pii`, the spans (start, rank, end, kind, base) in order; code points, ends exclusive.
 
-    A null or empty text has none. Without a model one is fitted on all texts first. An input column named `pii` is replaced.
+    A null or empty text has none. Without a model one is fitted on all texts first. An input column of that name is
+    replaced.
     """
     model = model or fit(count_votes(docs, text_col))
-    with_all = docs.withColumn("pii", candidates(F.coalesce(F.col(text_col), F.lit(""))))
-    with_all = with_all.withColumn("pii", F.when(F.size("pii") > 0, F.array_sort(_short(decided(F.col("pii"), model)))).otherwise(F.expr("cast(array() as array<struct<start: long, rank: int, end: long, kind: string, base: boolean>>)")))
-    return with_all
+    every = docs.withColumn(name, candidates(F.coalesce(F.col(text_col), F.lit(""))))
+    return every.withColumn(name, F.when(F.size(name) > 0, F.array_sort(_short(decided(F.col(name), model)))).otherwise(F.expr(_NONE)))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts by strict kind, the digest of the strict spans, and all spans, for each row of `find`."""
     base = F.filter("pii", lambda s: s["base"])
-    count = lambda kind: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
     return found.select("doc_id", *map(count, KINDS[:4]), sha(rendered(base)).alias("base_sha256"), rendered(F.col("pii")).alias("spans"))
 
 
@@ -245,14 +254,14 @@ def redact(docs: DataFrame, model: Model | None = None, *, text_col: str = "text
 
     A null text stays null. `n_chars`, if there, is the new length.
     """
-    text = F.col(text_col)
+    text, name = F.col(text_col), free_name(docs, "pii")
     pieces = F.aggregate(
-        F.col("pii"), F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
+        F.col(name), F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
         lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(F.struct(
             s["end"].alias("at"),
             F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"),
         )),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, (a["at"] + 1).cast("int"), F.length(text))),
     )
-    out = find(docs, model, text_col=text_col).withColumn(text_col, F.when(F.size("pii") > 0, pieces).otherwise(text)).drop("pii")
+    out = find(docs, model, text_col=text_col, name=name).withColumn(text_col, F.when(F.size(name) > 0, pieces).otherwise(text)).drop(name)
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out

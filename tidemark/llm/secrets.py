@@ -110,14 +110,23 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source",
     secret = F.struct(*(F.col(f"c.{x}").alias(x) for x in ("start", "rank", "end", "kind", "base")), "n_documents", "n_owners", "verdict")
     by_row = judged.groupBy("row").agg(F.collect_list(secret).alias("secrets"))
     kind = by_row.schema["secrets"].dataType.simpleString()
-    lone = F.array_sort(F.filter("secrets", lambda s: s["base"] | ~F.exists("secrets", lambda b: b["base"] & (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    # where spans overlap, strict ones and then the kinds listed first prevail over others
+    lone = F.array_sort(F.filter("secrets", lambda s: s["base"] | ~F.exists(
+        "secrets", lambda b: (b["base"] | (b["rank"] < s["rank"])) & (b["start"] < s["end"]) & (s["start"] < b["end"]),
+    )))
     return kept.select("row", "doc_id").join(by_row, "row", "left").withColumn("secrets", F.coalesce(lone, F.expr(f"cast(array() as {kind})")))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
     """Counts by strict kind, the digest of the strict spans, all spans, and how many look live or copied."""
+    def short(spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    def count(field: str, value: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s[field] == value)).cast("long").alias(f"n_{value}")
+
     base = F.filter("secrets", lambda s: s["base"])
-    short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    verdict = lambda v: F.size(F.filter("secrets", lambda s: s["verdict"] == v)).cast("long").alias(f"n_{v}")
-    return scanned.select("doc_id", *map(count, KINDS[:3]), sha(rendered(short(base))).alias("base_sha256"), rendered(short(F.col("secrets"))).alias("spans"), verdict("live"), verdict("copied"))
+    return scanned.select(
+        "doc_id", *(count("kind", k) for k in KINDS[:3]), sha(rendered(short(base))).alias("base_sha256"), rendered(short(F.col("secrets"))).alias("spans"),
+        *(count("verdict", v) for v in ("live", "copied")),
+    )
