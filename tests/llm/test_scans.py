@@ -1,0 +1,145 @@
+"""Personal data and secrets: strict spans against plain regular expressions, and what the methods add."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from tidemark.llm import pii, secrets
+from tidemark.llm.queries import op7_pii, op8_secrets
+
+SF = "/root/testdata/sf0.001"
+
+
+def luhn(value):
+    total = 0
+    for k, c in enumerate(reversed(re.sub("[^0-9]", "", value))):
+        d = int(c) * (1 + k % 2)
+        total += d // 10 + d % 10
+    return total % 10 == 0
+
+
+def plain_pii(text):
+    out = []
+    for rank, (kind, pattern, fits) in enumerate([
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(p) <= 255 for p in v.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda v: 14 <= len(re.sub("[^0-9]", "", v)) <= 19 and luhn(v)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 10 <= len(re.sub("[^0-9]", "", v)) <= 15),
+    ]):
+        out += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text or "") if fits(m.group())]
+    return sorted(out)
+
+
+def plain_secrets(text):
+    out = []
+    for rank, (kind, pattern, fits) in enumerate([
+        ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(2)) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 20),
+        ("hex", r"[0-9a-f]+", lambda m: len(m.group()) >= 24),
+    ]):
+        out += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text or "") if fits(m)]
+    return sorted(out)
+
+
+def told(spans):
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in spans)
+
+
+PII = [
+    None, "", "a@b.c", "a@b.c_d@e.f.g", "x@y z@w.com,", "a@b@c.d", "@b.c", "a@b.", "éa@b.c🙂d@e-f.g.", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1 001.02.3.255", "1.2.3", "..1.2.3.4..",
+    "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111 4111111111111111", "🙂4111 1111 1111 1111x", "12 34  5678", "0" * 14, "0" * 20, "+1 (017) 555-7713", "+1+22 333 4444 55 66", "+49 1 (2)(3)(4)(5)(6)(7)(8)(9) 0",
+    "+1234567890)", "+1234567890123456", "call me at bob [at] mail [dot] com or 030 1234 5678", "iban DE89 3704 0044 0532 0130 00.", "ssn 123-45-6789", "9" * 30_000, "a" * 30_000, "a." * 20_000 + "@", "1 " * 20_000, "+1" * 9000, "1." * 20_000,
+]
+SECRETS = [
+    None, "", "token = \"f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda\"", "secret=token:abcdefgh", "Password:'hunter22'", "password: hun", "API_KEY=abc.def/ghi", "apikey  ==  abcdefg", "api_key\" : \"x_y-z=1", "AKIA" + "A1" * 8, "AKIAAKIA" + "1" * 11,
+    "AKIA123", "xAKIA" + "Z" * 30 + "q", "deadbeef" * 3, "deadbeef" * 2 + "deadbee", "g" + "0" * 24 + "G", "tokentoken:tokentoken:tokentoken", "é passwd=ñabcdef passwd=abcdefñ", "ghp_" + "aB3dE5gH7jK9" * 3, "a" * 30_000, "token" * 6000,
+]
+
+
+def scrambled(parts, seed, n=120):
+    rnd = random.Random(seed)
+    short = [p for p in parts if p and len(p) < 100] + [" ", ".", "+", "@", "1", "12", "-", "=", ":", "x", "\n"]
+    return ["".join(rnd.choices(short, k=rnd.randint(1, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_strict_personal_data(spark, seed):
+    texts = PII + scrambled(PII, seed)
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, PII[2], "x"), (3, texts[3], "x")]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string, votes string")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        spans = [(s["start"], s["rank"], s["end"], s["kind"]) for s in r["pii"]]
+        assert [s for s, full in zip(spans, r["pii"], strict=True) if full["base"]] == plain_pii(r["text"]), r["text"]
+        assert spans == sorted(spans)
+
+
+def test_labelers_decide(spark):
+    sure = "contact mail bob [at] mail [dot] com please"
+    texts = [sure] * 5 + ["tel 030 1234 5678"] * 5 + ["iban DE89 3704 0044 0532 0130 00"] * 5 + ["version 1.2.3.400 and build 300.1.1.1"] * 20 + [f"x{i}@mail.com +1 (017) 555-7713" for i in range(20)]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kinds = Counter(s["kind"] for r in found for s in r["pii"])
+    assert kinds["email_spelled"] == kinds["phone_local"] == kinds["iban"] == 5 and kinds["ip"] == 0 and kinds["email"] == kinds["phone"] == 20
+
+
+def test_expectation_maximisation_finds_reliable_labelers():
+    rnd, rows = random.Random(1), Counter()
+    for _ in range(4000):
+        truth = rnd.random() < 0.5
+        good = lambda p: (1 if truth else -1) * (1 if rnd.random() < p else -1)  # noqa: B023, E731
+        rows[good(0.95), good(0.9), good(0.85), good(0.55)] += 1
+    model = pii.fit([dict(zip(pii.LABELERS, votes, strict=True), kind="iban", base=False, size=3, n=n) for votes, n in rows.items()])
+    right = [model.reliability[f"{name}:right:1"] for name in pii.LABELERS]
+    assert right[0] > 0.9 and right[1] > 0.85 and right[2] > 0.8 and right[3] < 0.65
+    assert model.weights["pattern=1"] > model.weights["edges=1"] and pii.fit([]).weights == {}
+
+
+def test_redaction(spark):
+    rows = [(1, "mail a@b.c now", 99, 5), (2, None, 0, 5), (3, "none", 4, 5), (4, "+1 (017) 555-7713, 1.2.3.4", 1, 5)]
+    out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, pii int"))
+    assert out.columns == ["doc_id", "text", "n_chars", "pii"]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+    assert got == {1: ("mail [EMAIL] now", 16), 2: (None, None), 3: ("none", 4), 4: ("[PHONE], [IP]", 13)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_strict_secrets(spark, seed):
+    texts = SECRETS + scrambled(SECRETS, seed)
+    rows = [(i, t, f"s{i % 3}", "x") for i, t in enumerate(texts)] + [(None, SECRETS[2], None, "x"), (3, texts[3], "s0", "x")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, owner string")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        text = SECRETS[2] if r["doc_id"] is None else texts[r["doc_id"]]
+        assert [(s["start"], s["rank"], s["end"], s["kind"]) for s in r["secrets"] if s["base"]] == plain_secrets(text), text
+
+
+def test_ownership(spark):
+    live, copied, often = ("sk_live_" + c * 3 + "a1B2c3D4e5F6g7H8" for c in "xyz")
+    rows = [(1, f"key {live} and {copied}", "a"), (2, copied, "b"), (3, copied, "c"), (4, f"token={'q' * 8}", "a")]
+    rows += [(10 + i, often, "a") for i in range(30)] + [(10, often, "a")] * 3
+    got = {}
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        got.setdefault(r["doc_id"], []).append([(s["kind"], s["n_documents"], s["n_owners"], s["verdict"]) for s in r["secrets"]])
+    assert got[1] == [[("prefixed", 1, 1, "live")]] and got[2] == [[]] and got[4] == [[("assign", 1, 1, "live")]] and got[10] == [[]] * 4
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert pii.find(none).collect() == [] and secrets.scan(none).collect() == []
+
+
+@pytest.mark.parametrize(("query", "plain", "kinds"), [(op7_pii, plain_pii, pii.KINDS[:4]), (op8_secrets, plain_secrets, secrets.KINDS[:3])])
+def test_queries(spark, query, plain, kinds):
+    df = query(spark, SF)
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    rows = df.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in kinds] == [sum(s[3] == k for s in base) for k in kinds]
+        assert r["base_sha256"] == hashlib.sha256(told(base).encode()).hexdigest()
+        assert set(filter(None, told(base).split(","))) <= set(r["spans"].split(","))
