@@ -98,3 +98,42 @@ def test_map_values_travel_as_json(spark):
     old, new = (record(spark, "k int, m array<struct<a:int>>", (1, [(n,)])) for n in (1, 2))
     ((_, _, field, value),) = changes(old, new)
     assert field == "m" and json.loads(value) == [{"a": 2}]
+
+
+NESTED = "k int, a array<int>, s array<struct<x: int, y: int>>, m map<string, int>, n map<string, array<int>>, t struct<p: int, q: map<string, int>>, b array<array<boolean>>"
+NESTED_ROWS = [
+    (1, [1], [(1, None)], {"a": 1}, {"a": [1]}, (1, {"z": None}), [[]]),
+    (1, [1, None], [(1, None)], {"a": 1}, {"a": [1]}, (1, {"z": None}), [[]]),
+    (1, [], [(1, None)], {"a": 1}, {"a": [1]}, (1, {"z": None}), [[]]),
+    (1, [None], [(1, None)], {"a": 1}, {"a": [1]}, (1, {"z": None}), [[]]),
+    (1, None, [(1, None)], {"a": 1}, {"a": [1]}, (1, {"z": None}), [[]]),
+    (1, [1], [(None, 1)], {"a": 1}, {"a": [1]}, (1, {"z": None}), [[]]),
+    (1, [1], [None], {"a": 1}, {"a": [1]}, (1, {"z": None}), [[]]),
+    (1, [1], [(1, None)], {"a": None}, {"a": [1]}, (1, {"z": None}), [[]]),
+    (1, [1], [(1, None)], {}, {"a": [1]}, (1, {"z": None}), [[]]),
+    (1, [1], [(1, None)], {"a": 1}, {"a": [1, None]}, (1, {"z": None}), [[]]),
+    (1, [1], [(1, None)], {"a": 1}, {"a": [1]}, (1, {}), [[]]),
+    (1, [1], [(1, None)], {"a": 1}, {"a": [1]}, (None, {"z": None}), [[]]),
+    (1, [1], [(1, None)], {"a": 1}, {"a": [1]}, (1, {"z": None}), [[], [], []]),
+    (1, [1], [(1, None)], {"a": 1}, {"a": [1]}, (1, {"z": None}), [[False]]),
+]
+
+
+def test_inner_nulls_and_maps_are_seen(spark):
+    """Both strategies and the check of whole tables tell all of these rows apart."""
+    for i, left in enumerate(NESTED_ROWS):
+        for j, right in enumerate(NESTED_ROWS):
+            if j > 3 and i not in (0, j) and (i + j) % 4:
+                continue
+            a, b = (spark.createDataFrame([r], NESTED) for r in (left, right))
+            direct, digest = (sorted(r["field"] for r in diff.table_diff(a, b, "k", strategy=s).collect()) for s in ("direct", "digest"))
+            assert direct == digest and bool(direct) == (i != j), (left, right)
+            assert diff.verify_tables(a, b).first()["equal"] is (i == j)
+
+
+def test_keys_of_several_columns(spark):
+    old = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 3)], "k int, l string, v int")
+    new = spark.createDataFrame([(1, "a", 1), (1, "b", 5), (3, "a", 3)], "k int, l string, v int")
+    for how in ("direct", "digest"):
+        rows = diff.table_diff(old, new, ["k", "l"], include_removed=True, strategy=how).collect()
+        assert sorted(map(tuple, rows)) == [(1, "b", "changed", "v", "5"), (2, "a", "removed", None, None), (3, "a", "added", "v", "3")]
