@@ -16,7 +16,7 @@ def carry():
 
 def both(df, **options):
     plain = ordered.ordered_scan(df, ["k"], "t", "u", carries=carry(), **SCAN)
-    sliced = ordered.ordered_scan(df, ["k"], "t", "u", carries=carry(), **SCAN, small_bytes=0, share=0.05, min_rows=10, **options)
+    sliced = ordered.ordered_scan(df, ["k"], "t", "u", carries=carry(), **SCAN, small_bytes=0, min_rows=10, **options)
     order = sorted(plain.columns)
     return sorted(plain.select(order).collect(), key=repr), sorted(sliced.select(order).collect(), key=repr)
 
@@ -60,9 +60,9 @@ def test_a_hot_group_is_spread_over_slices(spark):
 
 def test_only_large_groups_are_hot(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, -1).otherwise(F.col("id")).alias("k"))
-    assert [r["k"] for r in ordered.hot_groups(df, ["k"], share=0.1, min_rows=50)] == [-1]
-    assert ordered.hot_groups(df, ["k"], share=0.1, min_rows=500) == []
-    assert len(ordered.hot_groups(df, ["k"], share=0.1, min_rows=0)) == 10
+    assert [r["k"] for r in ordered.hot_groups(df, ["k"], min_rows=50)] == [-1]
+    assert ordered.hot_groups(df, ["k"], min_rows=500) == []
+    assert len(ordered.hot_groups(df, ["k"], min_rows=0)) == df.select("k").distinct().count()
 
 
 def test_small_inputs_start_no_job(spark):

@@ -51,8 +51,7 @@ def test_find_gives_the_first_match_and_its_root(spark):
     assert {r["name"]: r["root_label"] for r in tree.find_first(rows, level=1).collect()}["item"] == "list"
 
 
-def test_cycles_are_an_error_and_orphans_are_left_out(spark, monkeypatch):
-    monkeypatch.setattr(tree, "MAX_ROUNDS", 4)
+def test_cycles_are_an_error_and_orphans_are_left_out(spark):
     with pytest.raises(ValueError, match="cycle"):
         tree.depth_first(nodes(spark, [("a", "b"), ("b", "a"), ("r", None)]))
     assert names(tree.depth_first(nodes(spark, [("r", None), ("o", "nowhere"), ("p", "o")]))) == ["r"]
@@ -79,3 +78,16 @@ def test_children_come_in_bounded_rows(spark):
     assert [len(r["children"]) for r in got] == [1000, 1000, 500]
     assert [c["ord"] for r in got for c in r["children"]] == list(range(2500))
     assert tree.children_lists(nodes(spark)).filter("pid IS NULL").first()["children"][0]["id"] == "A"
+
+
+def test_many_rows_below_a_cycle(spark):
+    rows = [("a", "b"), ("b", "a"), ("r", None), *((f"x{i}", "a") for i in range(300)), *((f"y{i}", f"x{i}") for i in range(300))]
+    with pytest.raises(ValueError, match="cycle"):
+        tree.depth_first(nodes(spark, rows))
+
+
+def test_children_without_order(spark):
+    rows = spark.range(2500).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("id"), F.lit("p").alias("pid"), F.lit("n").alias("name"), F.lit(None).cast("long").alias("ord"))
+    got = tree.children_lists(rows).orderBy("chunk").collect()
+    assert [len(r["children"]) for r in got] == [1000, 1000, 500]
+    assert [c["id"] for r in got for c in r["children"]] == [f"{i:05d}" for i in range(2500)]

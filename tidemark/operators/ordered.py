@@ -1,8 +1,8 @@
 """Per-group ordered scans that never hold a large group in one task.
 
-A plain window puts every row of a group in one task. Here groups holding more than a
-thousandth of all rows are cut into slices of their order; each slice is scanned on its
-own, and what it needs from earlier slices comes from one summary row per slice.
+A plain window puts every row of a group in one task. Here every group of more rows than
+a task should scan is cut into slices of its order; each slice is scanned on its own, and
+what it needs from earlier slices comes from one summary row per slice.
 """
 
 from __future__ import annotations
@@ -17,12 +17,9 @@ from pyspark.sql import types as T
 
 # inputs up to this size fit one task, so no group of theirs needs slicing
 SMALL_BYTES = 128 * 1024 * 1024
-# fewer than 1 / HOT_SHARE groups can each hold more than this share of all rows
-HOT_SHARE = 0.001
 # a task scans about a million rows a second, so smaller groups are left whole
 HOT_ROWS = 20_000_000
 ROWS_PER_SLICE = 5_000_000
-MAX_SLICES = 5_000
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -30,14 +27,13 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def hot_groups(df: DataFrame, keys: list[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> list:
-    """Keys of the largest groups above `min_rows`, with their counts.
+def hot_groups(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> list:
+    """Keys of all groups above `min_rows`, with their counts, the largest first.
 
-    At most 1 / share of them, which is at least every group above `share` of all rows,
-    as there cannot be more of those. Only the key columns are read.
+    Of n rows there are fewer than n / min_rows such groups. Only the key columns are read.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > min_rows)
-    return counts.orderBy(F.desc("_rows")).limit(math.ceil(1 / share)).collect()
+    return counts.orderBy(F.desc("_rows")).collect()
 
 
 def ordered_scan(
@@ -50,7 +46,6 @@ def ordered_scan(
     carries: Mapping[str, Column] | None = None,
     number: str | None = None,
     small_bytes: int = SMALL_BYTES,
-    share: float = HOT_SHARE,
     min_rows: int = HOT_ROWS,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
@@ -70,11 +65,11 @@ def ordered_scan(
 
     if plan_bytes(df) <= small_bytes:
         return windowed(df)
-    hot = hot_groups(df, keys, share, min_rows)
+    hot = hot_groups(df, keys, min_rows)
     if not hot:
         return windowed(df)
 
-    # a bounded list (see hot_groups), so broadcasting it is safe at any data size
+    # 50 000 rows for 10^12 (see hot_groups): small enough to send to every task
     fields = [f for f in df.schema.fields if f.name in keys]
     schema = T.StructType([T.StructField(f"__hot_{f.name}", f.dataType) for f in fields] + [T.StructField("__hot", T.IntegerType())])
     listed = df.sparkSession.createDataFrame([(*(row[f.name] for f in fields), i) for i, row in enumerate(hot)], schema)
@@ -84,7 +79,7 @@ def ordered_scan(
     marked = df.join(F.broadcast(listed), same, "left").drop(*(f"__hot_{f.name}" for f in fields))
 
     hot_rows = sum(row["_rows"] for row in hot)
-    slices = min(MAX_SLICES, max(2, math.ceil(hot_rows / rows_per_slice)))
+    slices = max(2, math.ceil(hot_rows / rows_per_slice))
     sliced = add_slices(marked.filter(F.col("__hot").isNotNull()), order, tie, slices)
     result = _sliced_scan(sliced, order, tie, lags, list(carries), number)
     return windowed(marked.filter(F.col("__hot").isNull()).drop("__hot")).unionByName(result)

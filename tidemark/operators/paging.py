@@ -91,10 +91,18 @@ def page_after(rows: DataFrame, order: Sequence[tuple[str, bool]], last: Sequenc
     return rows.filter(near).filter(beyond).orderBy(*_sort_keys(order)).limit(size)
 
 
+# fixed values: what counts as a number in a text, and prefixes of other bases
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+BASES = {"0x": (16, "[0-9a-f]"), "0o": (8, "[0-7]"), "0b": (2, "[01]")}
+
+
 def number_key(text: Column) -> Column:
-    """The text as a number, blank as 0, null if it is none."""
+    """The text as a number, blank as 0, null if it is none; no cast's own suffixes count."""
     trimmed = F.trim(text)
-    number = F.when(trimmed == "", F.lit(0.0)).otherwise(trimmed.try_cast("double"))
+    number = F.when(trimmed == "", F.lit(0.0)).when(trimmed.rlike(NUMBER), trimmed.try_cast("double"))
+    for prefix, (base, digit) in BASES.items():
+        rest = F.substring(F.lower(trimmed), 3, 64)
+        number = number.when(F.lower(trimmed).rlike(f"^{prefix}{digit}{{1,62}}$"), F.conv(rest, base, 10).cast("double"))
     return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
 
 
@@ -102,7 +110,7 @@ def text_key(text: Column) -> Column:
     """Lower case, with each run of digits written so that text order is number order."""
     def part(p: Column) -> Column:
         digits = F.coalesce(F.nullif(F.ltrim(p, F.lit("0")), F.lit("")), F.lit("0"))
-        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(F.lower(p))
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(F.lower(p))
 
     parts = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     return F.when(number_key(text).isNull(), F.array_join(F.transform(parts, part), ""))

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-# 2^20 levels; a tree still unfinished after that many rounds has a cycle
-MAX_ROUNDS = 20
+# from so many rounds on, that is 2^5 levels, rows still open are first tested for a cycle
+CYCLE_TEST_ROUND = 5
 # fixed value: where a node without an order number sorts among its siblings
 DEFAULT_ORDER = 999
 # most children in one row of a children list
@@ -32,7 +32,10 @@ def with_path(nodes: DataFrame, label: str = "name", order: str = "ord") -> Data
     entry = F.struct(F.coalesce(order, F.lit(DEFAULT_ORDER)).cast("long").alias("ord"), F.col("id").alias("id"), F.col(label).alias("label"))
     rows = nodes.select("id", F.col("pid").alias("_at"), F.array(entry).alias("_path"))
     finished, active = [rows.filter("_at IS NULL")], rows.filter("_at IS NOT NULL")
-    for _ in range(MAX_ROUNDS):
+    left, done = 1, 0
+    while left:
+        if done == CYCLE_TEST_ROUND:
+            _refuse_cycles(active)
         known = reduce(DataFrame.unionAll, finished).unionAll(active)
         upper = known.select(F.col("id").alias("_at"), F.col("_at").alias("_next"), F.col("_path").alias("_upper"))
         # a parent of many children repeats on the left only, where a hot key is split
@@ -42,14 +45,27 @@ def with_path(nodes: DataFrame, label: str = "name", order: str = "ord") -> Data
         step = materialize(step.observe(seen, F.count_if(F.col("_at").isNotNull()).alias("open")), "tree")
         finished.append(step.filter("_at IS NULL"))
         active = step.filter("_at IS NOT NULL")
-        if not seen.get["open"]:
-            break
-    else:
-        raise ValueError("the parent ids form a cycle")
+        left, done = seen.get["open"], done + 1
     paths = reduce(DataFrame.unionAll, finished).select("id", F.col("_path").alias("path"))
     return nodes.join(paths, "id")
 
 
+def _refuse_cycles(active: DataFrame) -> None:
+    """An error if some rows never reach a root.
+
+    Ids alone are followed, so a cycle makes nothing grow. In n open rows a chain of jumps, which
+    double each round, has ended after log2(n) rounds, or never does.
+    """
+    jumps = materialize(active.select("id", "_at"), "tree-jumps")
+    for _ in range(jumps.count().bit_length() + 1):
+        onward = jumps.select(F.col("id").alias("_at"), F.col("_at").alias("_next"))
+        # where the jump ends at a finished row there is nothing to follow
+        jumps = materialize(jumps.join(onward, "_at").select("id", F.col("_next").alias("_at")), "tree-jumps")
+        if jumps.isEmpty():
+            return
+    raise ValueError("the parent ids form a cycle")
+
+
 def depth_first(nodes: DataFrame, label: str = "name", order: str = "ord") -> DataFrame:
     """Node values in pre-order, without empty ones (null, empty text, 0, false)."""
     value = F.col(label)
@@ -93,9 +109,11 @@ def find_first(nodes: DataFrame, label: str = "name", level: int = 0, order: str
 def children_lists(nodes: DataFrame, order: str = "ord", per_row: int = CHILDREN_PER_ROW) -> DataFrame:
     """Children of each parent in order, nested, in rows of bounded size.
 
-    A parent's list is the concatenation of its rows by `chunk`, so a parent of any
-    number of children fits. `order` is a row number, unique among siblings.
+    A parent's list is the concatenation of its rows by `chunk`, so a parent of any number of
+    children fits. Children go by `order`, those without one last, and then by id.
     """
     child = F.struct(F.col(order).alias("ord"), *(c for c in nodes.columns if c not in ("pid", order)))
-    rows = nodes.withColumn("chunk", F.floor(F.col(order) / per_row).cast("long"))
-    return rows.groupBy("pid", "chunk").agg(F.sort_array(F.collect_list(child)).alias("children"))
+    among = Window.partitionBy("pid").orderBy(F.asc_nulls_last(order), "id")
+    rows = nodes.withColumn("_place", F.row_number().over(among) - 1).withColumn("chunk", F.floor(F.col("_place") / per_row).cast("long"))
+    listed = rows.groupBy("pid", "chunk").agg(F.sort_array(F.collect_list(F.struct("_place", child.alias("child")))).alias("_children"))
+    return listed.select("pid", "chunk", F.transform("_children", lambda x: x["child"]).alias("children"))

@@ -203,7 +203,7 @@ WITH mixed AS (
   SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) ELSE concat(p_name, ' ', CAST(p_size AS VARCHAR)) END AS value FROM part)
 SELECT p_partkey, value, TRY_CAST(value AS DOUBLE) AS number_key,
   CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN concat(regexp_extract(value, '^([a-z ]*)', 1),
-    lpad(CAST(length(regexp_extract(value, '([0-9]+)$', 1)) AS VARCHAR), 4, '0'), regexp_extract(value, '([0-9]+)$', 1)) END AS text_key
+    lpad(CAST(length(regexp_extract(value, '([0-9]+)$', 1)) AS VARCHAR), 10, '0'), regexp_extract(value, '([0-9]+)$', 1)) END AS text_key
 FROM mixed""")
 def typed_sort(t):
     value = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string")).otherwise(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")))

@@ -55,7 +55,8 @@ def tree_find(t):
 
 
 @query("children_list", uses="tree", sql="""
-SELECT pid, ord // 1000 AS chunk, string_agg(id, ',' ORDER BY ord) AS children FROM tree GROUP BY ALL""")
+SELECT pid, (place - 1) // 1000 AS chunk, string_agg(id, ',' ORDER BY place) AS children
+FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ord, id) AS place FROM tree) x GROUP BY ALL""")
 def children_list(t):
     ids = F.transform("children", lambda x: x["id"])
     return ops.children_lists(t.tree).select("pid", "chunk", F.array_join(ids, ",").alias("children"))
