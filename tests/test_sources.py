@@ -126,6 +126,27 @@ def test_store_normalization(spark, tmp_path):
     assert store.read_store(spark, str(no_list)).isEmpty()
 
 
+def test_store_of_odd_elements_and_numbers(spark, tmp_path):
+    text = '[{"job_id": "a", "size": 12.5, "binlog_end_pos": 1e3}, 42, null, "text", [1], {"job_id": "b", "size": true, "binlog_end_pos": "12.5", "lastExitCode": -3.9}]'
+    (tmp_path / "array").write_text(text)
+    (tmp_path / "lines").write_text("\n".join(json.dumps(x) for x in json.loads(text)))
+    for name in ("array", "lines"):
+        rows = store.normalize_sessions(store.read_store(spark, str(tmp_path / name))).collect()
+        got = {r["job_id"]: (r["size"], r["binlog_end_pos"], r["lastExitCode"]) for r in rows}
+        assert got == {"a": (12, 1000, None), "b": (1, 0, -3)}
+
+
+def test_the_last_source_section_counts_as_a_pair(spark, tmp_path):
+    for name, sections in {
+        "two": [("binlog.000001", 900), ("binlog.000002", 100)], "wide": [("binlog.999999", 7), ("binlog.1000000", 5)], "half": [("binlog.000003", 8), ("binlog.000004", None)],
+    }.items():
+        body = "".join(f"[source]\nsource_log_file = {f}\n" + (f"source_log_pos = {p}\n" if p else "") for f, p in sections)
+        (tmp_path / name).write_text(body)
+    rows = dumps.source_positions(dumps.read_sections(spark, str(tmp_path))).collect()
+    got = {r["file"].rsplit("/", 1)[1]: (r["log_file"], r["log_pos"]) for r in rows}
+    assert got == {"two": ("binlog.000002", 100), "wide": ("binlog.1000000", 5), "half": ("binlog.000003", 8)}
+
+
 # ---- snapshots
 
 @pytest.fixture

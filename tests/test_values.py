@@ -94,3 +94,10 @@ def test_a_run_is_complete_with_metadata_and_the_done_line(spark):
     files = spark.createDataFrame([(1, "data/metadata"), (2, "data/metadata.partial"), (3, "metadata"), (4, "data/metadata")], "s int, p string")
     lines = spark.createDataFrame([(1, "x 备份完成。"), (2, "备份完成。"), (3, "备份完成。"), (4, "备份完成")], "s int, l string")
     assert sorted(r["s"] for r in text.completed_sessions(files, lines, "s", "p", "l").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize(("value", "expected"), [("1704067200000", "2024-01-01 08:00:00"), ("-86400000000", "1967-04-07 08:00:00"), ("12d", "12d"), (None, ""), ("2024-01-01 00:00:00", "2024-01-01 08:00:00")])
+def test_epoch_milliseconds(spark, value, expected):
+    assert one(spark, value, lambda c: values.format_datetime(c, "Asia/Shanghai")) == expected
+    if value and value.lstrip("-").isdigit():
+        assert one(spark, value, lambda c: values.format_datetime(c.cast("long"), "Asia/Shanghai")) == expected

@@ -41,8 +41,11 @@ def format_bytes(size: Column) -> Column:
 
 
 def format_time(text: Column, zone: str, pattern: str = "yyyy-MM-dd") -> Column:
-    """A UTC time text in `zone`; what is no time comes back as it is, null as empty."""
-    utc = F.try_to_timestamp(text)
+    """A UTC time in `zone`, given as a text or as milliseconds since 1970, a number or its
+    digits; what is no time comes back as it is, null as empty. Up to eight digits are a date."""
+    text = text.cast("string")
+    millis = F.when(text.rlike("^-?[0-9]{9,15}$"), text.cast("long"))
+    utc = F.coalesce(F.timestamp_millis(millis), F.try_to_timestamp(text))
     return F.coalesce(F.date_format(F.from_utc_timestamp(utc, zone), pattern), text, F.lit(""))
 
 
@@ -56,7 +59,7 @@ def nested_value(json: Column, path: str) -> Column:
     A step of digits is an array index or an object key, whichever the data has.
     """
     if not isinstance(path, str) or not path:
-        raise ValueError("path must be a non-empty string")
+        raise ValueError("give the path as dotted text")
     steps = [[f"[{key}]", f"['{key}']"] if key.isdigit() else [f"['{key}']"] for key in path.split(".")]
     return F.coalesce(*(F.get_json_object(json, "$" + "".join(choice)) for choice in product(*steps)))
 

@@ -36,17 +36,18 @@ def pick_layout(files: DataFrame, session: str, path: str, candidates=METADATA_F
 
 
 def read_sections(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Metadata files, one row per section: `file`, `header`, `body`.
+    """Metadata files, one row per section: `file`, `at` (its place in the file), `header`, `body`.
 
     The reader splits records at a `[` that begins a line, so a section arrives as one
     row and no window has to carry headers down; a huge file is still split among tasks.
     Text before the first section has a header like no other and is ignored downstream.
     """
-    records = spark.read.options(lineSep="\n[", **options).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at")
+    records = spark.read.options(lineSep="\n[", **options).text(path).select("value", F.col("_metadata.file_path").alias("file"), at)
     # only the first record of a file still has its bracket
     text = F.regexp_replace("value", r"^\[", "")
-    lines = records.select("file", text.alias("text"), F.regexp_extract(text, r"^([^\r\n]*)", 1).alias("_first"))
-    return lines.select("file", F.rtrim("_first").alias("header"), F.expr("substring(text, length(_first) + 1)").alias("body"))
+    lines = records.select("file", "at", text.alias("text"), F.regexp_extract(text, r"^([^\r\n]*)", 1).alias("_first"))
+    return lines.select("file", "at", F.rtrim("_first").alias("header"), F.expr("substring(text, length(_first) + 1)").alias("body"))
 
 
 def _setting(body: Column, key: str) -> Column:
@@ -71,7 +72,7 @@ def metadata_objects(sections: DataFrame) -> DataFrame:
     real_name = F.coalesce(F.nullif(_setting(F.col("body"), "real_table_name"), F.lit("")), name)
     rows = F.coalesce(_setting(F.col("body"), "rows").try_cast("long"), F.lit(0).cast("long"))
     is_view = F.coalesce(_setting(F.col("body"), "is_view") == "1", F.lit(False))
-    carried = [c for c in sections.columns if c not in ("header", "body")]
+    carried = [c for c in sections.columns if c not in ("header", "body", "at")]
     return tables.select(
         *carried, schema.alias("schema"), name.alias("name"), real_name.alias("real_table_name"), rows.alias("rows"),
         F.when(is_view, "view").otherwise("table").alias("kind"),
@@ -82,17 +83,18 @@ def source_positions(sections: DataFrame) -> DataFrame:
     """The log position of each metadata file: `log_file`, `log_pos`, or `error`.
 
     The lines may be commented out, in any case, the name in quotes or not; the last one
-    of a section counts. Both values are needed.
+    of a section counts. Both values are needed; of several sections with both the last counts.
     """
     def last(key: str, value: str) -> Column:
         found = F.regexp_extract_all("body", F.lit(rf"(?im)^[ \t]*#?[ \t]*{key}[ \t]*=[ \t]*{value}[ \t]*\r?$"), F.lit(1))
         return F.when(F.lower("header") == "source]", F.try_element_at(found, F.lit(-1)))
 
     found = sections.select(
-        "file", strip(last("source_log_file", r'"?([^"\r\n]+)"?')).alias("f"), last("source_log_pos", "([0-9]+)").try_cast("long").alias("p")
+        "file", "at", strip(last("source_log_file", r'"?([^"\r\n]+)"?')).alias("f"), last("source_log_pos", "([0-9]+)").try_cast("long").alias("p")
     )
-    # positions only grow, so of several sections the greatest values are the last ones
-    per_file = found.groupBy("file").agg(F.max("f").alias("f"), F.max("p").alias("p"))
+    pair = F.when((F.col("f") != "") & (F.col("p") > 0), F.struct("f", "p"))
+    per_file = found.groupBy("file").agg(F.max(F.when(pair.isNotNull(), F.struct("at", pair.alias("pair")))).alias("x"))
+    per_file = per_file.select("file", F.col("x.pair.f").alias("f"), F.col("x.pair.p").alias("p"))
     ok = (F.col("f") != "") & (F.col("p") > 0)
     return per_file.select(
         "file", F.when(ok, F.col("f")).alias("log_file"), F.when(ok, F.col("p")).alias("log_pos"),

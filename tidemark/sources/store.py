@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.values import strip, to_int
 
@@ -16,12 +15,30 @@ TEXT_FIELDS = (
 NUMBER_FIELDS = ("binlog_start_pos", "binlog_end_pos", "size", "lastExitCode")
 
 
-def read_store(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Records as text fields. Anything that is not an object is dropped, and a file that
-    is no list gives nothing. One record per line splits among tasks; a single JSON array
-    needs `multi_line` and is read whole by one task."""
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in (*TEXT_FIELDS, *NUMBER_FIELDS)])
-    return spark.read.schema(schema).options(mode="DROPMALFORMED", multiLine=multi_line).json(path)
+def read_store(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Records as text fields; anything that is not an object is left out, and only that.
+
+    A store is a JSON list, as one text that may run over lines, or one record per line, which
+    splits among tasks. Left open, the first character that is no blank decides. Numbers and
+    true or false in number fields come as whole numbers, cut towards zero; texts stay as they are.
+    """
+    if multi_line is None:
+        first = spark.read.text(path).filter(F.trim("value") != "").first()
+        multi_line = first is not None and first["value"].lstrip().startswith("[")
+    text = spark.read.text(path, wholetext=multi_line)
+    if multi_line:
+        text = text.select(F.explode(F.from_json("value", "array<string>")).alias("value"))
+    record = text.select(F.try_parse_json("value").alias("v"))
+    record = record.filter(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+
+    def number(name: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+        whole = F.try_variant_get("v", f"$.{name}", "decimal(38,6)").cast("decimal(32,0)")
+        cut = F.when(F.abs(whole) > F.abs(F.try_variant_get("v", f"$.{name}", "decimal(38,6)")), whole - F.signum(whole).cast("decimal(1,0)")).otherwise(whole)
+        value = F.when(kind == "BOOLEAN", F.try_variant_get("v", f"$.{name}", "boolean").cast("int").cast("string"))
+        return value.when(kind != "STRING", cut.cast("string")).otherwise(F.try_variant_get("v", f"$.{name}", "string")).alias(name)
+
+    return record.select(*(F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in TEXT_FIELDS), *map(number, NUMBER_FIELDS))
 
 
 def _text(name: str) -> Column:
