@@ -76,16 +76,19 @@ def test_an_increment_without_a_directory_breaks_the_chain(spark):
 
 def test_prefix_with_forced_slices_is_the_same(spark):
     rows = sessions(spark, [full("f", 0, 0)] + [inc(f"i{n}", "f", n, 10 * (n - 1) + (n == 150), 10 * n) for n in range(1, 200)])
-    options = dict(small_bytes=0, share=0.01, min_rows=5, rows_per_slice=20)
+    options = dict(small_bytes=0, min_rows=5, rows_per_slice=20)
     assert ids(chain.unbroken_prefix(rows)) == ids(chain.unbroken_prefix(rows, **options))
     assert len(ids(chain.unbroken_prefix(rows, **options))) == 150
 
 
 def test_chain_prefix(spark):
     rows = sessions(spark, TIMELINE)
-    choices = spark.createDataFrame([("f1", "i2"), ("f2", None)], "full_backup_file_id string, backup_file_id string")
+    account = rows.first()["account_id"]
+    choices = spark.createDataFrame([(account, "f1", "i2"), (account, "f2", None)], "account_id string, full_backup_file_id string, backup_file_id string")
     assert ids(chain.chain_prefix(rows, choices)) == ["i1", "i2", "i4", "i5"]
-    wrong = spark.createDataFrame([("f1", "i4")], choices.schema)
+    other = choices.withColumn("account_id", F.lit("other"))
+    assert chain.chain_prefix(rows, other).isEmpty() and ids(chain.unknown_choices(rows, other)) == ["i2"]
+    wrong = spark.createDataFrame([(account, "f1", "i4")], choices.schema)
     assert ids(chain.unknown_choices(rows, wrong)) == ["i4"] and chain.chain_prefix(rows, wrong).isEmpty()
     assert chain.unknown_choices(rows, choices).isEmpty()
 
@@ -93,7 +96,7 @@ def test_chain_prefix(spark):
 def test_equal_times_follow_the_insertion_number(spark):
     rows = sessions(spark, [full("f", 0, 1), inc("a", "f", 5, 1, 2, seq=1), inc("b", "f", 5, 2, 3, seq=2)])
     assert ids(ops.latest_increments(rows)) == ["b"]
-    one = spark.createDataFrame([("f", "a")], "full_backup_file_id string, backup_file_id string")
+    one = spark.createDataFrame([(rows.first()["account_id"], "f", "a")], "account_id string, full_backup_file_id string, backup_file_id string")
     assert ids(chain.chain_prefix(rows, one)) == ["a"]
 
 
@@ -102,7 +105,7 @@ def test_baselines_are_inclusive_and_may_be_missing(spark):
     targets = spark.createDataFrame([("db", at(-1), 1), ("db", at(0), 2), ("db", at(39), 3), ("db", at(40), 4), ("x", at(99), 5)],
                                     "database string, target_time timestamp_ntz, n int")
     expected = {1: None, 2: "f1", 3: "f1", 4: "f2", 5: None}
-    for options in ({}, dict(small_bytes=0, share=0.01, min_rows=1, rows_per_slice=2)):
+    for options in ({}, dict(small_bytes=0, min_rows=1, rows_per_slice=2)):
         got = chain.baselines_at(rows, targets, **options).collect()
         assert {r["n"]: r["full_backup_file_id"] for r in got} == expected
 
@@ -249,3 +252,14 @@ def test_typed_sort(spark):
     rows = spark.createDataFrame([(True,), (False,)], "v boolean")
     assert [r["v"] for r in paging.typed_sort(rows, "v").collect()] == [False, True]
     assert paging.typed_sort(rows, "unknown") is rows
+
+
+def test_numbers_and_long_digit_runs_in_text(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("12d",), ("7F",), ("0x10",), ("1e3",), (" 5 ",), ("",), ("NaN",), (".5",), ("0b11",)], "v string")
+    got = {r["v"]: r["n"] for r in rows.select("v", paging.number_key(F.col("v")).alias("n")).collect()}
+    assert got == {"12d": None, "7F": None, "0x10": 16.0, "1e3": 1000.0, " 5 ": 5.0, "": 0.0, "NaN": None, ".5": 0.5, "0b11": 3.0}
+    long, short = "x" + "9" * 10_000, "x" + "9" * 1_001
+    rows = spark.createDataFrame([(long,), (short,)], "v string")
+    assert [len(r["v"]) for r in paging.typed_sort(rows, "v").collect()] == [len(short), len(long)]

@@ -109,3 +109,28 @@ def test_a_chain_reads_as_one_log(spark, changes, tmp_path):
     assert log.read_chain(spark, paths[3:], changes.schema).isEmpty()
     info = log.read_increment_info(spark, *paths[:3]).collect()
     assert sorted((r["start_no"], r["end_no"]) for r in info) == [(1, 2), (2, 2), (2, 4)]
+
+
+def test_a_stored_log_is_pruned(spark, tmp_path):
+    rows = [(n, 4 + 100 * k, 0, f"t{k % 2}") for n in (1, 2, 9_000_000) for k in range(5)]
+    path = str(tmp_path / "log")
+    events = spark.createDataFrame(rows, "log_no int, log_pos long, sub int, tbl string")
+    events.write.partitionBy("log_no").parquet(path)
+    assert log.stored_log_numbers(spark, path) == [1, 2, 9_000_000]
+    assert tuple(log.stored_log_end(spark, path).first()) == tuple(log.log_end(events).first()) == (9_000_000, 405)
+    positions = spark.createDataFrame([("t0", 2, 104)], "tbl string, start_no int, start_pos long")
+    scan = log.scan_per_table(spark.read.parquet(path), positions)
+    assert "PartitionFilters: [isnotnull(log_no" in scan._jdf.queryExecution().executedPlan().toString() or "(log_no" in scan._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:120]
+    assert {(r["log_no"], r["log_pos"]) for r in scan.collect()} == {(n, p) for n, p, _, t in rows if t == "t0" and (n, p) >= (2, 104)}
+
+
+def test_a_chain_is_one_scan(spark, tmp_path):
+    events = spark.createDataFrame([(n, 4 + k, 0, "d", "t") for n in range(1, 6) for k in range(4)], "log_no int, log_pos long, sub int, db string, tbl string")
+    paths = []
+    for a, b in (((1, 4), (2, 6)), ((2, 6), (2, 6)), ((2, 6), (6, 4))):
+        paths.append(str(tmp_path / f"inc{len(paths)}"))
+        log.write_increment(events, a, b, paths[-1])
+    chain = log.read_chain(spark, [*paths, str(tmp_path / "none")], events.schema)
+    assert sorted(map(tuple, chain.collect())) == sorted(map(tuple, events.collect()))
+    assert chain._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert log.read_chain(spark, [str(tmp_path / "none")], events.schema).isEmpty()

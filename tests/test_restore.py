@@ -91,12 +91,19 @@ def test_strategies_agree(spark):
     assert rows_of(patch) == rows_of(rebuild)
 
 
-def test_a_large_estimate_is_counted_before_choosing(spark, monkeypatch):
+@pytest.fixture
+def no_broadcast_by_size(spark):
+    """Only what the code itself asks for is broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_changed_keys_are_counted_before_choosing(spark, monkeypatch, no_broadcast_by_size):
     t = Tables(spark, SF)
     image = ops.latest_image(t.changes, "pk", ["val"])
     expected = rows_of(ops.merge(t.snapshot, image, "pk", ["val"]))
-    monkeypatch.setattr(ops, "BROADCAST_BYTES", 20_000)
-    for keys, join in ((1_000_000, "LeftAnti"), (10, "FullOuter")):
+    for keys, join in ((1_000_000, "BroadcastHashJoin"), (10, "SortMergeJoin")):
         monkeypatch.setattr(ops, "BROADCAST_KEYS", keys)
         merged = ops.merge(t.snapshot, image, "pk", ["val"])
         assert join in merged._jdf.queryExecution().executedPlan().toString()
@@ -109,7 +116,7 @@ def test_patch_never_shuffles_the_base(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
-def test_a_keyed_snapshot_is_not_shuffled(spark):
+def test_a_keyed_snapshot_is_not_shuffled(spark, no_broadcast_by_size):
     t = Tables(spark, SF)
     base = write_keyed(t.snapshot, "keyed_base", "pk", 8, scratch_dir(spark, "keyed"))
     try:
@@ -157,3 +164,20 @@ def test_no_increments_leaves_the_snapshot(spark):
 def test_rename_filters_by_the_source_name(spark):
     rows = spark.createDataFrame([("mall", "a"), ("mall", "b"), ("crm", "a")], "db string, tbl string")
     assert rows_of(ops.rename_database(rows, "mall", "copy", include=["a"], exclude=["a"])) == [("copy", "a")]
+
+
+def test_repeated_base_keys_and_wide_keys(spark):
+    """Both strategies give the image's row once, and keys may be several columns."""
+    base = spark.createDataFrame([(1, "x", 1.0), (1, "x", 1.5), (1, "y", 2.0)], "k int, l string, v double")
+    log = spark.createDataFrame([("U", 1, 4, 0, 1, "x", 9.0), ("D", 1, 5, 0, 1, "z", None), ("I", 2, 4, 0, 2, "x", 3.0)], "op string, log_no int, log_pos long, sub int, k int, l string, v double")
+    for strategy in ("patch", "rebuild", None):
+        got = ops.merge(base, ops.latest_image(log, ["k", "l"], ["v"]), ["k", "l"], ["v"], strategy)
+        assert sorted(map(tuple, got.collect())) == [(1, "x", 9.0), (1, "y", 2.0), (2, "x", 3.0)]
+
+
+def test_positions_of_any_size(spark):
+    top = 2**63 - 1
+    rows = [(9_000_000, 2**40 + 5, 1, "a"), (9_000_000, 2**40 + 5, 2**31 - 1, "b"), (2**31 - 1, 4, 0, "c"), (2**31 - 1, top, 7, "d"), (2**31 - 2, top, 2**31 - 1, "e"), (0, 0, 0, "f")]
+    df = spark.createDataFrame(rows, "log_no int, log_pos long, sub int, v string")
+    got = [r["v"] for r in df.orderBy(ops.position_number(df)).collect()]
+    assert got == [r[3] for r in sorted(rows)]

@@ -37,7 +37,7 @@ def test_runs_resume_where_the_last_one_stopped(spark, t):
         assert positions(rows.filter(F.col("batch") == batch)) == positions(log.scan_range(t.changes, start, end))
     manifest = increments.read_increment_manifest(spark, root).orderBy("batch").collect()
     assert [r["events"] for r in manifest] == [3000, 1000, 6000] and not any(r["late"] for r in manifest)
-    assert all(a["end_at"] == b["start_at"] for a, b in zip(manifest, manifest[1:]))
+    assert all((a["end_no"], a["end_pos"]) == (b["start_no"], b["start_pos"]) for a, b in zip(manifest, manifest[1:]))
     # nothing new: no further increment
     increments.start_increments(increments.read_log_stream(spark, source), root, f"{root}/cp").awaitTermination()
     assert increments.read_increments(spark, root).count() == t.changes.count()
@@ -59,7 +59,7 @@ def test_late_events_are_kept_and_marked(spark, t):
     increments.write_batch(t.changes.limit(0), 2, root)
     rows = increments.read_increment_manifest(spark, root).orderBy("batch").collect()
     assert [r["late"] for r in rows] == [False, True, False] and [r["events"] for r in rows] == [1000, 1000, 0]
-    assert rows[0]["end_at"] == rows[1]["end_at"] == rows[2]["end_at"]
+    assert len({(r["end_no"], r["end_pos"]) for r in rows}) == 1
     assert increments.read_increments(spark, root).count() == 2000
 
 
@@ -112,13 +112,13 @@ def test_tables_are_done_after_equal_polls(spark):
     stable = {("a", 4, "stable"), ("c", 2, "stable")}
     assert done("running") == done("failed") == stable
     assert done("success") == stable | {("b", None, "finish")}
-    assert done("running", small_bytes=0, share=0.01, min_rows=1, rows_per_slice=2) == stable
+    assert done("running", small_bytes=0, min_rows=1, rows_per_slice=2) == stable
 
 
 def test_standstill_is_carried_over_batches(spark):
     polls = spark.createDataFrame(POLLS, "tbl string, poll_no int, size int").withColumn("fingerprint", F.col("size").cast("string"))
     expected = {(r["tbl"], r["done_poll"]) for r in completion.stable_tables(polls, F.col("size"), 2).collect()}
-    for options in ({}, dict(small_bytes=0, share=0.01, min_rows=1, rows_per_slice=2)):
+    for options in ({}, dict(small_bytes=0, min_rows=1, rows_per_slice=2)):
         for cuts in ([3, 4, 7],) if options else ([7], [1, 2, 3, 4, 5, 6, 7], [3, 4, 7]):
             root, low = scratch_dir(spark, "done"), 0
             for batch_id, high in enumerate(cuts):
@@ -141,4 +141,13 @@ def test_fingerprint_ignores_file_order_and_sees_every_change(spark):
 def test_window_slots(spark, t):
     slots = increments.by_window(t.changes, "1 day").collect()
     assert sum(r["events"] for r in slots) == t.changes.count()
-    assert all(a["end_at"] <= b["first_at"] for a, b in zip(*(lambda s: (s, s[1:]))(sorted(slots, key=lambda r: r["slot"]))))
+    assert all((a["end_no"], a["end_pos"]) <= (b["start_no"], b["start_pos"]) for a, b in zip(*(lambda s: (s, s[1:]))(sorted(slots, key=lambda r: r["slot"]))))
+
+
+def test_positions_beyond_any_packing(spark):
+    root = scratch_dir(spark, "out")
+    rows = [(9_000_000, 2**41 + 5, "d"), (9_000_001, 4, "d")]
+    for batch, row in enumerate(rows):
+        increments.write_batch(spark.createDataFrame([row], "log_no int, log_pos long, db string"), batch, root)
+    got = [(r["start_no"], r["start_pos"], r["end_no"], r["end_pos"], r["late"]) for r in increments.read_increment_manifest(spark, root).orderBy("batch").collect()]
+    assert got == [(9_000_000, 2**41 + 5, 9_000_000, 2**41 + 6, False), (9_000_000, 2**41 + 6, 9_000_001, 5, False)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.catalog import fulls, increments, latest_increments
@@ -39,24 +41,29 @@ def next_starts(sessions: DataFrame, include_failed: bool = False) -> DataFrame:
 def chain_prefix(sessions: DataFrame, choices: DataFrame, include_failed: bool = False) -> DataFrame:
     """Increments up to and including the chosen one, per full.
 
-    `choices` has one row per restored full: `full_backup_file_id` and the chosen
-    increment `backup_file_id`, or null for the whole chain. A join with one bound per
+    `choices` has one row per restored full: `account_id`, `full_backup_file_id` and the
+    chosen increment `backup_file_id`, or null for the whole chain. A join with one bound per
     full, not a window, so a very long chain is spread over many tasks.
     """
     rows = increments(sessions, include_failed)
-    marks = choices.select("full_backup_file_id", F.col("backup_file_id").alias("_chosen"))
-    chosen = rows.select(F.col("backup_file_id").alias("_chosen"), "full_backup_file_id", F.struct("backup_time", "seq").alias("_upto"))
-    bounds = marks.join(chosen, ["_chosen", "full_backup_file_id"], "left")
+    marks = choices.select(*_KEYS, F.col("backup_file_id").alias("_chosen"))
+    chosen = rows.select(F.col("backup_file_id").alias("_chosen"), *_KEYS, F.struct("backup_time", "seq").alias("_upto"))
+    bounds = marks.join(chosen, ["_chosen", *_KEYS], "left")
     known = F.col("_chosen").isNull() | F.col("_upto").isNotNull()
-    bounds = bounds.filter(known).select("full_backup_file_id", "_upto")
+    bounds = bounds.filter(known).select(*_KEYS, "_upto")
     upto = F.col("_upto").isNull() | (F.struct("backup_time", "seq") <= F.col("_upto"))
-    return rows.join(bounds, "full_backup_file_id").filter(upto).drop("_upto").select(rows.columns)
+    return rows.join(bounds, _KEYS).filter(upto).drop("_upto").select(rows.columns)
 
 
 def unknown_choices(sessions: DataFrame, choices: DataFrame, include_failed: bool = False) -> DataFrame:
     """Choices that name no increment of their full; a restore must not start with any."""
-    rows = increments(sessions, include_failed).select("full_backup_file_id", "backup_file_id")
-    return choices.filter(F.col("backup_file_id").isNotNull()).join(rows, ["full_backup_file_id", "backup_file_id"], "left_anti")
+    rows = increments(sessions, include_failed).select(*_KEYS, "backup_file_id")
+    return choices.filter(F.col("backup_file_id").isNotNull()).join(rows, [*_KEYS, "backup_file_id"], "left_anti")
+
+
+def position() -> Column:
+    """(start_no, start_pos) as one exact number; 31 and 63 bits hold any values of theirs."""
+    return (F.col("start_no").cast("decimal(10,0)") * F.lit(Decimal(2**63)) + F.col("start_pos").cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def chain_links(sessions: DataFrame, include_failed: bool = True, **scan_options) -> DataFrame:
@@ -67,7 +74,7 @@ def chain_links(sessions: DataFrame, include_failed: bool = True, **scan_options
     rows = sessions if include_failed else sessions.filter(F.col("status") == "success")
     rows = rows.withColumn("chain_id", F.when(is_full, F.col("backup_file_id")).otherwise(F.col("full_backup_file_id")))
     # the full's own start is not a link: it comes first and is linked by definition
-    rows = rows.withColumn("_at", F.when(is_full, F.lit(-1).cast("long")).otherwise(F.col("start_no") * F.lit(1 << 40) + F.col("start_pos")))
+    rows = rows.withColumn("_at", F.when(is_full, F.lit(-1).cast("decimal(38,0)")).otherwise(position()))
     scanned = ordered_scan(
         rows, ["account_id", "chain_id"], "_at", "seq", lags={"prev_no": "end_no", "prev_pos": "end_pos"}, **scan_options
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,15 @@ PACK_BYTES = 1024**3
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def latest_image(changes: DataFrame, key: str, payload: Sequence[str], *, partial: bool = False) -> DataFrame:
-    """The last event of each key, deletes included: key, payload, `live`.
+Key = str | Sequence[str]
+
+
+def key_columns(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def latest_image(changes: DataFrame, key: Key, payload: Sequence[str], *, partial: bool = False) -> DataFrame:
+    """The last event of each key, deletes included: key, payload, `live`. A key is one column or several.
 
     An aggregate rather than `row_number`: each task sends one row per key, so a key with
     most of the events costs no more than any other. Fixed-width columns are kept one by
@@ -32,15 +40,16 @@ def latest_image(changes: DataFrame, key: str, payload: Sequence[str], *, partia
     partial: events carry only the changed columns, absent ones are null; then each
     column takes its last present value since the key's last delete or insert.
     """
+    keys = key_columns(key)
     if partial:
-        return _partial_image(changes, key, payload)
+        return _partial_image(changes, keys, payload)
     at = position_number(changes)
     # the op code as a number keeps the aggregate's state fixed-width
     op = F.ascii("op").alias("_op")
     if all(isinstance(changes.schema[c].dataType, _FIXED_WIDTH) for c in payload):
-        rows = changes.groupBy(key).agg(*(F.max_by(c, at).alias(c) for c in payload), F.max_by(op, at).alias("_op"))
+        rows = changes.groupBy(*keys).agg(*(F.max_by(c, at).alias(c) for c in payload), F.max_by(op, at).alias("_op"))
     else:
-        rows = changes.groupBy(key).agg(F.max_by(F.struct(*payload, op), at).alias("_last")).select(key, "_last.*")
+        rows = changes.groupBy(*keys).agg(F.max_by(F.struct(*payload, op), at).alias("_last")).select(*keys, "_last.*")
     return rows.withColumn("live", F.col("_op") != F.ascii(F.lit("D"))).drop("_op")
 
 
@@ -59,61 +68,64 @@ def position_number(changes: DataFrame) -> Column:
             if sum(bits) <= 63:
                 no, pos, sub = (F.col(n).cast("long") for n in names)
                 return F.shiftleft(no, bits[1] + bits[2]) + F.shiftleft(pos, bits[2]) + sub
-    # 10 digits of sub and 13 of position leave 15 for the file
-    no, pos, sub = (F.col(n).cast("decimal(15,0)") for n in names)
-    return (no * F.lit(10**13).cast("decimal(14,0)") + pos) * F.lit(10**10).cast("decimal(11,0)") + sub
+    # 31, 63 and 31 bits hold any values of the three types, and 125 bits fit 38 digits
+    no, pos, sub = (F.col(n).cast(f"decimal({digits},0)") for n, digits in zip(names, (10, 19, 10)))
+    high = (no * F.lit(Decimal(2**63)) + pos).cast("decimal(29,0)")
+    return (high * F.lit(Decimal(2**31)) + sub).cast("decimal(38,0)")
 
 
-def _partial_image(changes: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
+def _partial_image(changes: DataFrame, keys: list[str], payload: Sequence[str]) -> DataFrame:
     """Values older than a row's rebirth must not show through: each is kept with its
     position and compared with the position of the key's last insert or delete."""
     at = F.struct("log_no", "log_pos", "sub")
     reset = F.max(F.when(F.col("op").isin("I", "D"), at)).alias("_reset")
     last_op = F.max_by("op", at).alias("_op")
     latest = [F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v")))).alias(f"_{c}") for c in payload]
-    rows = changes.groupBy(key).agg(last_op, reset, *latest)
+    rows = changes.groupBy(*keys).agg(last_op, reset, *latest)
     values = [
         F.when(F.col("_reset").isNull() | (F.col(f"_{c}.at") >= F.col("_reset")), F.col(f"_{c}.v")).alias(c) for c in payload
     ]
     # without a reset the row goes on from the snapshot, whose values fill what is absent
-    return rows.select(key, *values, (F.col("_op") != "D").alias("live"), F.col("_reset").isNull().alias("continues"))
+    return rows.select(*keys, *values, (F.col("_op") != "D").alias("live"), F.col("_reset").isNull().alias("continues"))
 
 
-def merge(base: DataFrame, image: DataFrame, key: str, payload: Sequence[str], strategy: str | None = None) -> DataFrame:
+def merge(base: DataFrame, image: DataFrame, key: Key, payload: Sequence[str], strategy: str | None = None) -> DataFrame:
     """The snapshot with an image laid over it: changed rows replaced, deleted ones gone.
 
-    "patch":   unchanged base rows by anti join, then the live image rows. The changed
-               keys are broadcast when few, and the base is then never shuffled.
-    "rebuild": one full outer join, where there are too many of them for that.
-    By default the number of changed keys decides. An estimate cannot tell how few keys
-    a long log comes down to, so a large image is written out first and then counted.
+    Unchanged base rows come by an anti join, then the live rows of the image, one for each key
+    whatever the base holds. "patch" broadcasts the changed keys, and the base is then never
+    shuffled; "rebuild" shuffles both, where there are too many keys for that. The result is the
+    same. By default the number of changed keys decides. An estimate cannot tell how few keys a
+    long log comes down to, so an image is written out first and then counted.
+
+    Partial images need the base row: they are joined to it, and `key` must be unique in the base.
     """
-    columns = [key, *payload]
-    carried = "continues" in image.columns
-    few = plan_bytes(image.select(key)) <= BROADCAST_BYTES
-    if strategy is None:
-        if not few and not carried:
-            image = materialize(image, "image")
-            few = image.count() <= BROADCAST_KEYS and plan_bytes(image.select(key)) <= BROADCAST_BYTES
-        strategy = "patch" if few and not carried else "rebuild"
-    if strategy == "patch":
-        if carried:
+    keys = key_columns(key)
+    columns = [*keys, *payload]
+    if "continues" in image.columns:
+        if strategy == "patch":
             raise ValueError("partial images need the base row: use the rebuild strategy")
-        changed = image.select(key)
-        kept = base.select(columns).join(F.broadcast(changed) if few else changed, key, "left_anti")
-        return kept.unionByName(image.filter("live").select(columns))
-    if strategy != "rebuild":
+        return _merge_partial(base, image, keys, payload)
+    if strategy not in (None, "patch", "rebuild"):
         raise ValueError(f"unknown strategy: {strategy}")
-    old = base.select(*columns, F.lit(True).alias("_old")).alias("b")
+    image = materialize(image, "image")
+    if strategy is None:
+        few = image.count() <= BROADCAST_KEYS and plan_bytes(image.select(*keys)) <= BROADCAST_BYTES
+        strategy = "patch" if few else "rebuild"
+    changed = image.select(*keys)
+    kept = base.select(columns).join(F.broadcast(changed) if strategy == "patch" else changed, keys, "left_anti")
+    return kept.unionByName(image.filter("live").select(columns))
+
+
+def _merge_partial(base: DataFrame, image: DataFrame, keys: list[str], payload: Sequence[str]) -> DataFrame:
+    old = base.select(*keys, *payload, F.lit(True).alias("_old")).alias("b")
     new = image.select(*image.columns, F.lit(True).alias("_new")).alias("i")
-    joined = old.join(new, key, "full_outer").filter(F.col("_new").isNull() | F.col("live"))
+    joined = old.join(new, keys, "full_outer").filter(F.col("_new").isNull() | F.col("live"))
     values = []
     for c in payload:
-        value = F.col(f"i.{c}")
-        if carried:
-            value = F.when(F.col("i.continues"), F.coalesce(value, F.col(f"b.{c}"))).otherwise(value)
+        value = F.when(F.col("i.continues"), F.coalesce(F.col(f"i.{c}"), F.col(f"b.{c}"))).otherwise(F.col(f"i.{c}"))
         values.append(F.when(F.col("_new").isNull(), F.col(f"b.{c}")).otherwise(value).alias(c))
-    return joined.select(key, *values)
+    return joined.select(*keys, *values)
 
 
 def rename_database(rows: DataFrame, source: str, target: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
@@ -122,8 +134,9 @@ def rename_database(rows: DataFrame, source: str, target: str, include: Sequence
     return chosen.withColumn("db", F.lit(target))
 
 
-def latest_events(events: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
+def latest_events(events: DataFrame, key: Key, payload: Sequence[str]) -> DataFrame:
     """The last event of each key with its position, deletes included, for folding later."""
     kept = [*payload, "op", "log_no", "log_pos", "sub"]
     last = F.max_by(F.struct(*kept), F.struct("log_no", "log_pos", "sub")).alias("_last")
-    return events.groupBy(key).agg(last).select(key, "_last.*")
+    keys = key_columns(key)
+    return events.groupBy(*keys).agg(last).select(*keys, "_last.*")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import catalog, diff
+from tidemark.operators import catalog, diff, runs
 from tidemark.operators import chain as chains
 from tidemark.operators import restore as ops
 from tidemark.operators.diff import verify_tables
@@ -116,6 +117,26 @@ def log_end(t):
     return log.log_end(t.changes)
 
 
+def _stored(t) -> str:
+    """The change log as a server would have it: a folder for each log file."""
+    path = scratch_dir(t.spark, "log")
+    t.changes.repartition("log_no").write.partitionBy("log_no").parquet(path)
+    return path
+
+
+@query("log_end_stored", uses="changes", sql="""
+SELECT log_no, log_pos + 1 AS log_pos FROM changes ORDER BY log_no DESC, log_pos DESC LIMIT 1""")
+def log_end_stored(t):
+    return log.stored_log_end(t.spark, _stored(t))
+
+
+@query("log_range_per_table_stored", uses="changes table_positions", sql="""
+SELECT c.* FROM changes c, table_positions p
+WHERE c.tbl = p.tbl AND p.start_no >= 2 AND (c.log_no > p.start_no OR (c.log_no = p.start_no AND c.log_pos >= p.start_pos))""")
+def log_range_per_table_stored(t):
+    return log.scan_per_table(t.spark.read.parquet(_stored(t)), t.table_positions.filter("start_no >= 2")).select(t.changes.columns)
+
+
 @query("log_file_order", uses="changes", sql="""
 SELECT DISTINCT log_file, log_no FROM changes WHERE log_file BETWEEN 'binlog.000001' AND (SELECT max(log_file) FROM changes)""")
 def log_file_order(t):
@@ -162,7 +183,7 @@ def latest_increment(t):
 def _choices(sessions: DataFrame) -> DataFrame:
     """A restore request per full: the increment with seq % 5 = 3; the whole chain where seq % 3 = 0."""
     rows = sessions.filter("backup_type = 'increment' AND seq % 5 = 3")
-    return rows.select("full_backup_file_id", F.when(F.col("seq") % 3 != 0, F.col("backup_file_id")).alias("backup_file_id"))
+    return rows.select("account_id", "full_backup_file_id", F.when(F.col("seq") % 3 != 0, F.col("backup_file_id")).alias("backup_file_id"))
 
 
 @query("chain_prefix", uses="sessions", sql="""
@@ -174,6 +195,18 @@ def chain_prefix(t):
     return chains.chain_prefix(t.sessions, _choices(t.sessions), include_failed=True)
 
 
+@query("chain_prefix_accounts", uses="sessions", sql="""
+WITH twice AS (SELECT * FROM sessions UNION ALL SELECT * REPLACE ('other' AS account_id) FROM sessions WHERE seq % 2 = 0),
+incs AS (SELECT * FROM twice WHERE backup_type = 'increment'),
+pick AS (SELECT * FROM incs WHERE seq % 5 = 3 AND account_id <> 'other')
+SELECT i.* FROM incs i JOIN pick p ON p.full_backup_file_id = i.full_backup_file_id AND p.account_id = i.account_id
+WHERE p.seq % 3 = 0 OR i.backup_time < p.backup_time OR (i.backup_time = p.backup_time AND i.seq <= p.seq)""")
+def chain_prefix_accounts(t):
+    """Two accounts have fulls of one id; a choice is one account's."""
+    twice = t.sessions.unionByName(t.sessions.filter("seq % 2 = 0").withColumn("account_id", F.lit("other")))
+    return chains.chain_prefix(twice, _choices(t.sessions), include_failed=True)
+
+
 _LINKED = """
 linked AS (
   SELECT *, backup_type = 'full' OR (lag(end_no) OVER w = start_no AND lag(end_pos) OVER w = start_pos) AS ok,
@@ -215,6 +248,77 @@ def restore_pit(t):
     return ops.merge(t.snapshot, ops.latest_image(changes, "pk", ["val"]), "pk", ["val"])
 
 
+def _by_table(df: DataFrame) -> dict[str, DataFrame]:
+    return {f"t{i}": df.filter(F.col("pk") % 4 == i) for i in range(4)}
+
+
+def _listed(tables: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("tbl"), "pk", "val") for name, df in sorted(tables.items())])
+
+
+def _stored_runs(t) -> tuple[DataFrame, str]:
+    """A full and three increments, written by the engine itself over a stored log; the last one ends in mid-file."""
+    root, path = scratch_dir(t.spark, "runs"), _stored(t)
+    day = datetime(2024, 1, 1)
+    sessions = runs.take_full(_by_table(t.snapshot), f"{root}/full", "f", (1, log.FIRST_POS), day, seq=0, database="mall")
+    for i, upto in enumerate(((3, 304), (5, log.FIRST_POS), (8, 504)), 1):
+        sessions = materialize(sessions, "sessions")
+        sessions = sessions.unionByName(runs.take_increment(sessions, "f", path, f"{root}/inc{i}", f"i{i}", day + timedelta(hours=i), upto=upto, seq=i))
+    return materialize(sessions, "sessions"), path
+
+
+_MERGED_BY_TABLE = f"SELECT concat('t', CAST(pk % 4 AS VARCHAR)) AS tbl, pk, val FROM ({_MERGED}) m"
+
+
+@query("restore_stored", uses="changes snapshot", sql=f"""
+WITH replayed AS (SELECT * FROM changes WHERE log_no < 8 OR (log_no = 8 AND log_pos < 504)), base AS (SELECT * FROM snapshot), {_LATEST} {_MERGED_BY_TABLE}""")
+def restore_stored(t):
+    """All tables of a database, from the stored full and its stored increments."""
+    sessions, _ = _stored_runs(t)
+    return _listed(runs.restore_tables(sessions, "f", "pk", ["val"], t.changes.schema))
+
+
+@query("restore_stored_upto", uses="changes snapshot", sql=f"""
+WITH replayed AS (SELECT * FROM changes WHERE log_no < 5), base AS (SELECT * FROM snapshot WHERE pk % 4 <> 2), {_LATEST}
+SELECT * FROM ({_MERGED_BY_TABLE}) x WHERE tbl <> 't2'""")
+def restore_stored_upto(t):
+    """Up to the second increment, without one table."""
+    sessions, _ = _stored_runs(t)
+    return _listed(runs.restore_tables(sessions, "f", "pk", ["val"], t.changes.schema, upto="i2", exclude=["t2"]))
+
+
+@query("take_increment", uses="changes", sql="""
+SELECT * FROM (VALUES ('f', 0, 0, 1, 4), ('i1', 1, 4, 3, 304), ('i2', 3, 304, 5, 4), ('i3', 5, 4, 8, 504)) x(backup_file_id, start_no, start_pos, end_no, end_pos)
+UNION ALL SELECT 'i4', 8, 504, * FROM (SELECT log_no, log_pos + 1 AS pos FROM changes ORDER BY log_no DESC, log_pos DESC LIMIT 1) y
+WHERE log_no > 8 OR (log_no = 8 AND pos > 504)""")
+def take_increment(t):
+    """Each increment begins where the one before ended; the last one goes to the log's end."""
+    sessions, path = _stored_runs(t)
+    rows = sessions
+    if tuple(log.stored_log_end(t.spark, path).first()) > (8, 504):
+        rows = rows.unionByName(runs.take_increment(sessions, "f", path, scratch_dir(t.spark, "last"), "i4", datetime(2024, 1, 2), seq=4))
+    return rows.select("backup_file_id", F.coalesce("start_no", F.lit(0)).alias("start_no"), F.coalesce("start_pos", F.lit(0)).alias("start_pos"), "end_no", "end_pos")
+
+
+@query("restore_pit_stored", uses="changes snapshot", sql=f"""
+WITH replayed AS (SELECT * FROM changes WHERE event_ts <= TIMESTAMP '{_PIT}'), base AS (SELECT * FROM snapshot), {_LATEST} {_MERGED_BY_TABLE}""")
+def restore_pit_stored(t):
+    """A moment restored from the latest of three fulls before it, and the stored log from there on."""
+    root, path = scratch_dir(t.spark, "runs"), _stored(t)
+    moment = datetime.fromisoformat(_PIT)
+    # a full where every tenth part of the events before that moment ends, and one from after it
+    cuts = t.changes.filter(F.col("event_ts") <= F.lit(moment).cast("timestamp_ntz")).agg(F.max("log_no").alias("n")).first()["n"] or 1
+    sessions = runs.take_full(_by_table(t.snapshot), f"{root}/f0", "f0", (1, log.FIRST_POS), datetime(2000, 1, 1), seq=0, database="mall")
+    before = t.changes.filter(F.col("log_no") < cuts)
+    seen = before.agg(F.max("event_ts").alias("at")).first()["at"]
+    if seen is not None:
+        image = ops.latest_image(before, "pk", ["val"])
+        state = materialize(ops.merge(t.snapshot, image, "pk", ["val"]), "state")
+        sessions = sessions.unionByName(runs.take_full(_by_table(state), f"{root}/f1", "f1", (cuts, log.FIRST_POS), seen, seq=1, database="mall"))
+    sessions = sessions.unionByName(runs.take_full(_by_table(t.snapshot.limit(0)), f"{root}/f2", "f2", (cuts + 1, log.FIRST_POS), datetime(2100, 1, 1), seq=2, database="mall"))
+    return _listed(runs.restore_at(materialize(sessions, "sessions"), "mall", moment, path, "pk", ["val"]))
+
+
 @query("restore_subset", uses="changes snapshot", sql=f"""
 WITH replayed AS (SELECT * FROM changes WHERE tbl IN ('t1', 't3')),
 base AS (SELECT * FROM snapshot WHERE pk % 4 IN (1, 3)), {_LATEST} {_MERGED}""")
@@ -261,6 +365,35 @@ def table_diff(t):
     return diff.table_diff(t.orders_v1, t.orders_v2, "o_orderkey")
 
 
+# rows with arrays, structs and maps; in the second table a null is added or takes a value's place
+def _nested(orders: DataFrame, changed: bool) -> DataFrame:
+    key, owner = F.col("o_orderkey"), F.col("o_custkey").cast("int")
+    null, none = F.array(F.lit(None).cast("int")), F.expr("cast(array() as array<int>)")
+    more = F.when(key % 3 == 0, null).otherwise(none)
+    more = F.when(F.lit(changed) & (key % 7 == 0), F.concat(more, null)).otherwise(more)
+    flag = F.when(~(F.lit(changed) & (key % 11 == 0)), owner)
+    return orders.select(
+        key.alias("k"), F.concat(F.array(owner), more).alias("a"), F.array(F.struct(flag.alias("x"), F.lit(1).alias("y"))).alias("s"),
+        F.create_map(F.lit("m"), flag, F.lit("n"), owner).alias("m"),
+    )
+
+
+@query("table_diff_digest", sql="""
+SELECT o_orderkey AS k, 'changed' AS change, f AS field FROM orders, unnest(['a', 's', 'm']) u(f)
+WHERE (f = 'a' AND o_orderkey % 7 = 0) OR (f <> 'a' AND o_orderkey % 11 = 0)""")
+def table_diff_digest(t):
+    """Inner nulls and map entries count, also where rows are first compared by digest."""
+    return diff.table_diff(_nested(t.orders, False), _nested(t.orders, True), "k", strategy="digest").select("k", "change", "field")
+
+
+@query("verify_restore_nested", sql="""
+SELECT * FROM (SELECT 'same' AS side, count(*) AS restored_rows, count(*) AS expected_rows, true AS equal FROM orders
+UNION ALL SELECT 'changed', count(*), count(*), count(*) FILTER (o_orderkey % 7 = 0 OR o_orderkey % 11 = 0) = 0 FROM orders) x""")
+def verify_restore_nested(t):
+    same, other = (verify_tables(_nested(t.orders.repartition(3), changed), _nested(t.orders, False)) for changed in (False, True))
+    return same.select(F.lit("same").alias("side"), "*").unionByName(other.select(F.lit("changed").alias("side"), "*"))
+
+
 @query("table_changes", uses="orders_v1 orders_v2", sql="""
 WITH counted AS (
   SELECT *, 1 AS n FROM orders_v1 UNION ALL SELECT *, -1 FROM orders_v2)

@@ -37,7 +37,8 @@ def stream_image(t):
 
 @query("increments_by_window", uses="changes", sql="""
 SELECT time_bucket(INTERVAL 5 MINUTE, event_ts) AS slot, count(*) AS events,
-  min(log_no * 1099511627776 + log_pos) AS first_at, max(log_no * 1099511627776 + log_pos) + 1 AS end_at
+  min(log_no) AS start_no, arg_min(log_pos, log_no * 1099511627776 + log_pos) AS start_pos,
+  max(log_no) AS end_no, arg_max(log_pos, log_no * 1099511627776 + log_pos) + 1 AS end_pos
 FROM changes GROUP BY ALL""")
 def increments_by_window(t):
     return increments.by_window(t.changes, "5 minutes")

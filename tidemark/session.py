@@ -42,7 +42,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder, never handed out twice."""
-    return f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that this application has put below the shared folder.
+
+    Results are read lazily from there: call it when they have been written elsewhere.
+    """
+    delete_folder(spark, _own_folder(spark))
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Whether there was anything to delete."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def folder_exists(spark: SparkSession, path: str) -> bool:
@@ -51,6 +69,30 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values that a table stored by `column` has folders for."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if f.isDirectory()]
+    return [name.removeprefix(f"{column}=") for name in names if name.startswith(f"{column}=")]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, written from here by way of whatever file system holds the path."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write once to the shared folder and read back.
 

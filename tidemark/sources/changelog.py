@@ -11,10 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from tidemark.operators.select import keep_names
-from tidemark.session import folder_exists
+from tidemark.session import folder_exists, partition_values
 
 Position = tuple[int, int]
 # the first event of a log file starts here, after the file's magic number
@@ -77,8 +78,11 @@ def scan_per_table(changes: DataFrame, positions: DataFrame, end: Position | Non
     """Events of each table from that table's own position on.
 
     `positions` has one row per table (tbl, start_no, start_pos); tables without a
-    position have no snapshot to replay onto and give no events.
+    position have no snapshot to replay onto and give no events. Files before the earliest
+    start, one number looked up first, are not read.
     """
+    first = positions.agg(F.min("start_no")).first()[0]
+    changes = changes.filter(F.col("log_no") >= F.lit(first)) if first is not None else changes.limit(0)
     no, pos = F.col("log_no"), F.col("log_pos")
     after = (no > F.col("start_no")) | ((no == F.col("start_no")) & (pos >= F.col("start_pos")))
     if end is not None:
@@ -86,21 +90,25 @@ def scan_per_table(changes: DataFrame, positions: DataFrame, end: Position | Non
     return changes.join(positions, "tbl").filter(after).select(changes.columns)
 
 
-# a position as one number, which aggregates by hash; file offsets stay far below 2^40
-_POS_RANGE = 1 << 40
+def log_end(changes: DataFrame) -> DataFrame:
+    """The exclusive end: just past the last event, hence a valid next start."""
+    last = changes.agg(F.max(F.struct("log_no", "log_pos")).alias("at"))
+    return last.select(F.col("at.log_no").cast("int").alias("log_no"), (F.col("at.log_pos") + 1).alias("log_pos"))
 
 
-def packed_position() -> Column:
-    return F.col("log_no").cast("long") * F.lit(_POS_RANGE) + F.col("log_pos")
+def stored_log_numbers(spark: SparkSession, path: str) -> list[int]:
+    """The log files of a log stored by `log_no`, in order, from the listing alone."""
+    return sorted(int(v) for v in partition_values(spark, path, "log_no"))
 
 
-def log_end(changes: DataFrame) -> DataFrame:
-    """The exclusive end: just past the last event, hence a valid next start."""
-    last = changes.agg(F.max(packed_position()).alias("at"))
-    return last.select(
-        F.floor(F.col("at") / F.lit(_POS_RANGE)).cast("int").alias("log_no"),
-        (F.col("at") % F.lit(_POS_RANGE) + 1).alias("log_pos"),
-    )
+def stored_log_end(spark: SparkSession, path: str) -> DataFrame:
+    """`log_end` of a log stored by `log_no`: only its last file that has events is read."""
+    log = spark.read.parquet(path)
+    for number in reversed(stored_log_numbers(spark, path)):
+        end = log_end(log.filter(F.col("log_no") == number)).filter("log_no IS NOT NULL")
+        if not end.isEmpty():
+            return end
+    return log_end(log.limit(0))
 
 
 def log_files(changes: DataFrame) -> DataFrame:
@@ -152,15 +160,24 @@ def read_increment_info(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_chain(spark: SparkSession, paths: Sequence[str], schema: StructType) -> DataFrame:
-    """The events of a chain's increments, a scan each; position order is a sort away.
+    """The events of a chain's increments in one scan; position order is a sort away.
 
-    An increment without a log folder, or without events in it, counts as empty.
+    An increment without a log folder, or without events in it, counts as empty. Files are
+    partitioned by `log_no` below each increment, so bounds on it prune.
     """
-    parts = [spark.read.schema(schema).parquet(f"{p}/log") for p in paths if folder_exists(spark, f"{p}/log")]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    there = [f"{p}/log/log_no={n}" for p in paths if folder_exists(spark, f"{p}/log") for n in partition_values(spark, f"{p}/log", "log_no")]
+    if not there:
+        return spark.createDataFrame([], schema)
+    # no base path is common to all increments, so the partition's number comes from the file's
+    stored = T.StructType([f for f in schema.fields if f.name != "log_no"])
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/log_no=([0-9]+)/", 1).cast(schema["log_no"].dataType)
+    return spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(*there).select("*", number.alias("log_no")).select(schema.fieldNames())
 
 
-def concat_increments(parts: Sequence[DataFrame]) -> DataFrame:
-    """Increments as one log in position order, whatever order they come in."""
+def concat_increments(parts: Sequence[DataFrame], ordered: bool = True) -> DataFrame:
+    """Increments as one log in position order, whatever order they come in.
+
+    A replay keeps the last event of each key and needs no order: it can do without the sort.
+    """
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return both.orderBy("log_no", "log_pos", "sub")
+    return both.orderBy("log_no", "log_pos", "sub") if ordered else both

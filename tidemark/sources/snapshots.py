@@ -1,6 +1,7 @@
 """Snapshots: tables written as sharded, compressed Parquet, schema and data apart.
 
     <root>/data/<table>/   the rows
+    <root>/meta/position.json  where the log stood, if known
     <root>/meta/tables/    one row per table: rows written, codec, phase, schema, and the
                            selection the snapshot was made with
 """
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.select import UNVERSIONED_ENGINE, keep_names_on_restore, select_names
+from tidemark.session import folder_exists, read_text, write_text
 
 # fixed values: tables written at once; drop modes of a restore
 THREADS = 4
@@ -38,11 +40,13 @@ def write_snapshot(
     codec: str = "zstd",
     shard_rows: int | None = None,
     shard_keys: Mapping[str, str] | None = None,
+    position: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Write the selected tables and return the manifest.
 
     shard_rows: most rows per file; row counts bound a shard whatever the keys look like
     shard_keys: table -> column; shards then hold ranges of it, in order
+    position: where the log stood, and so where a chain of increments may begin
     """
     engines, shard_keys = dict(engines or {}), dict(shard_keys or {})
     names = [n for n in select_names(list(tables), include, exclude) if engines.get(n) not in set(ignore_engines)]
@@ -71,9 +75,19 @@ def write_snapshot(
     columns = [field.split()[0] for field in _MANIFEST.split(", ")]
     rows = pa.Table.from_pylist([dict(zip(columns, row)) for row in written])
     spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{root}/meta/tables")
+    if position:
+        write_text(spark, f"{root}/meta/position.json", json.dumps({"log_no": position[0], "log_pos": position[1]}))
     return read_manifest(spark, root)
 
 
+def read_position(spark: SparkSession, root: str) -> tuple[int, int] | None:
+    """Where the log stood when the snapshot was made, if that was kept."""
+    if not folder_exists(spark, f"{root}/meta/position.json"):
+        return None
+    kept = json.loads(read_text(spark, f"{root}/meta/position.json"))
+    return kept["log_no"], kept["log_pos"]
+
+
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_MANIFEST).parquet(f"{root}/meta/tables")
 
@@ -128,23 +142,34 @@ def restore_full(
     DROP replaces a table, TRUNCATE and DELETE replace its rows and keep its definition,
     NONE and FAIL refuse to touch an existing table.
     """
+    tables = read_tables(spark, root, include, exclude)
+    return load_tables(spark, tables, target_db, drop_mode=drop_mode, location=location)
+
+
+def read_tables(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """The snapshot's tables that a restore's lists choose, by name."""
+    chosen = keep_names_on_restore(read_manifest(spark, root), "name", include, exclude).collect()
+    return {row["name"]: _read(spark, root, row["name"], row["schema_json"]) for row in chosen}
+
+
+def load_tables(spark: SparkSession, tables: Mapping[str, DataFrame], target_db: str, *, drop_mode: str = "DROP", location: str | None = None) -> list[str]:
+    """Write tables into `target_db` under a drop mode; returns their names."""
     mode = drop_mode.upper()
     if mode not in DROP_MODES:
         raise ValueError(f"unknown drop mode: {drop_mode}")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{target_db}`" + (f" LOCATION '{location}'" if location else ""))
-    chosen = keep_names_on_restore(read_manifest(spark, root), "name", include, exclude).collect()
 
-    def load(row) -> str:
-        df, target = _read(spark, root, row["name"], row["schema_json"]), f"`{target_db}`.`{row['name']}`"
+    def load(name: str) -> str:
+        df, target = tables[name], f"`{target_db}`.`{name}`"
         if mode == "DROP":
             spark.sql(f"DROP TABLE IF EXISTS {target}")
         if mode in ("TRUNCATE", "DELETE") and spark.catalog.tableExists(target):
             df.select(spark.table(target).columns).write.insertInto(target, overwrite=True)
         else:
             df.write.mode("errorifexists").format("parquet").saveAsTable(target)
-        return row["name"]
+        return name
 
-    return _at_once(spark, load, chosen)
+    return _at_once(spark, load, list(tables))
 
 
 def _at_once(spark: SparkSession, work: Callable, items: Sequence) -> list:
