@@ -1,6 +1,6 @@
 """Quality classifier: logistic regression on hashed word n-grams, fitted by follow the regularised leader.
 
-A score is a sparse dot product: the weights of a text's words and word pairs, over the root of their number. Each
+A score is a sparse dot product: the weights of a text's words, word pairs and repeats, over the root of their number. Each
 shard of the labelled sample fits a model of its own; their mean is the model (parameter mixing). A model has
 2**BITS weights at any input size.
 """
@@ -18,7 +18,7 @@ from tidemark.llm.cluster import free_name
 from tidemark.llm.words import MARKED, U64, Words, chained, words
 
 BITS = 18
-#: labelled rows that a model is fitted on at most, taken by the hash of their id
+#: labelled rows that a model is fitted on, about; a share of all is taken by the hash of the id
 SAMPLE_ROWS = 16_000
 SHARDS = 4
 EPOCHS = 3
@@ -33,12 +33,19 @@ class Model:
     bias: float
 
 
+#: the slot of all pairs of one word and itself, with marks between or not: no text has many of any one such pair
+AGAIN = 1
+
+
 def features(found: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The slot of each word and word pair, and whose text it is from."""
+    """The slot of each word, word pair and repeat, and whose text it is from."""
     slot = (found.hash >> U64(64 - BITS)).astype(np.int64)
     pair = (chained(found.hash, 2, salt=7) >> U64(64 - BITS)).astype(np.int64)
     together = found.row[1:] == found.row[:-1]
-    return np.concatenate([slot, pair[together]]), np.concatenate([found.row, found.row[1:][together]])
+    word = found.kind == 1
+    plain, row = found.hash[word], found.row[word]
+    again = row[1:][(plain[1:] == plain[:-1]) & (row[1:] == row[:-1])]
+    return np.concatenate([slot, pair[together], np.full(len(again), AGAIN)]), np.concatenate([found.row, found.row[1:][together], again])
 
 
 def fit_shard(slots: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -75,14 +82,14 @@ def _rows(found: Words) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most `rows` labelled texts, those with the smallest id hashes. Null labels and ids are left out.
+    """A model from about `rows` labelled texts, or all if there are fewer. Null labels and ids are left out.
 
-    Without any labelled row every score is a half.
+    Which ones is up to their ids' hashes. Without any labelled row every score is a half.
     """
     known = labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    chosen = known.select(F.col(id_col).alias("key")).distinct().orderBy(F.xxhash64("key"), "key").limit(rows)
-    # as many ids as the sample has at most
-    sample = known.join(F.broadcast(chosen), known[id_col] == chosen["key"], "left_semi")
+    # a count of the ids alone: the texts are not read for it
+    share = min(1.0, rows / max(1, known.select(id_col).count()))
+    sample = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < round(share * (1 << 30)))
     dealt = sample.select(
         F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"), F.pmod(F.xxhash64(F.col(id_col), F.lit("shard")), F.lit(SHARDS)).alias("shard"),
         F.xxhash64(F.col(id_col), F.lit("order")).alias("turn"),

@@ -69,12 +69,13 @@ MARKED = alphabet(lambda b: chr(b).isalnum() if b < 128 else True, marks=True)
 
 @dataclass(frozen=True)
 class Words:
-    """The words of rows [low, high) of a column: the row and the hash of each, in reading order."""
+    """The words of rows [low, high) of a column: the row, the hash and the kind of each, in reading order."""
 
     low: int
     high: int
     row: np.ndarray  # int64, relative to low, ascending
     hash: np.ndarray  # uint64
+    kind: np.ndarray  # uint8, as in the alphabet
 
     def bounds(self) -> np.ndarray:
         """Where each row's words begin, and the end."""
@@ -104,13 +105,13 @@ def _words(data: np.ndarray, ends: np.ndarray, letters: Alphabet, low: int, high
     inside = np.flatnonzero(kind)
     starts = np.flatnonzero(begin)
     if not len(starts):
-        return Words(low, high, np.empty(0, np.int64), np.empty(0, U64))
+        return Words(low, high, np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.uint8))
     first = np.flatnonzero(begin[inside])  # of each word, among the bytes inside words
     sizes = np.diff(first, append=len(inside))
     at = np.arange(len(inside)) - np.repeat(first, sizes)
     value = _BYTE_VALUE[letters.fold[data[inside]]] * _powers(max(10, int(sizes.max()).bit_length()))[at]
     hashes = mix(np.add.reduceat(value, first) + sizes.astype(U64) * U64(0xD6E8FEB86659FD93))
-    return Words(low, high, np.searchsorted(ends, starts, "right") - 1, hashes)
+    return Words(low, high, np.searchsorted(ends, starts, "right") - 1, hashes, kind[starts])
 
 
 def chained(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
