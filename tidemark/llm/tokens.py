@@ -3,7 +3,7 @@
 The vocabulary file (a `tokenizers` JSON of the byte-level kind) is a parameter. Its merges are run by `tiktoken`,
 which is about five times as fast. The two agree: every token of the vocabulary encodes to itself, so a merge by rank
 never joins a pair the file has no merge for, and both split words by one pattern (both facts are tests). The file's
-special strings are cut out first, as the library does by default.
+special strings are cut out first, as the library does by default. Where chunks are spliced, the words are the library's.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +37,7 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -47,11 +47,16 @@ class Encoder:
         alphabet = byte_of()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self._bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self._cut = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
 
     def ordinary(self, text: str) -> list[int]:
         return self._bpe.encode_ordinary(text)
 
+    def word_starts(self, text: str) -> list[int]:
+        """Where the library's words begin; they leave nothing out."""
+        return [start for _, (start, _) in self._split(text)]
+
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -68,11 +73,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-@lru_cache(maxsize=1)
-def pattern():
-    return regex.compile(PATTERN)
-
-
 def special_strings(path: str) -> list[str]:
     with open(path, encoding="utf-8") as file:
         return [t["content"] for t in json.load(file)["added_tokens"]]
@@ -88,8 +88,7 @@ def chunk_ends(text: str, path: str, overlap: int, first: bool, last: bool) -> t
     head, tail, heads, tails = [], [], [], []
     begin_tail, sure = len(text) - overlap, len(text) - UNSETTLED
     total = len(ordinary(text))
-    ends = [m.end() for m in pattern().finditer(text)]
-    starts = [0, *ends[:-1]] if ends else []
+    starts = encoder(path).word_starts(text)
     if not first:
         near = [p for p in starts if p < overlap]
         before = 0
