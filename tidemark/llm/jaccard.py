@@ -13,7 +13,8 @@ sets, each set then leaves out the costliest as long as one that it has in commo
 (allocation by cost); a set with fewer shared look-ups than partners have in common is done.
 
 Every candidate pair is verified on the texts. Copies are one set. A group that shares a subset is first held against
-its smallest member only; pairs inside a component need no more. What stays is compared in full.
+its smallest member only; pairs inside a component need no more. Sets that still share a look-up with another component
+are compared by their rarest shingles, which rules out nearly all of their pairs unseen, and then in full.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ SPARE = 0.12
 FEW = 4
 #: copies that a task remembers, so that it indexes them once
 REMEMBERED = 200_000
+#: bits of a sketch; sets of some thousand shingles are still told apart by so many
+SKETCH_BITS = 1024
 #: stands for a null id
 NO_ID = -(1 << 63)
 
@@ -85,6 +88,16 @@ class Sets(NamedTuple):
     def of(self, i: int) -> np.ndarray:
         return self.values[self.bounds[i] : self.bounds[i + 1]]
 
+    def sketches(self) -> np.ndarray:
+        """A row of bits for each set: whether an odd number of its shingles falls on a bit.
+
+        Where two rows differ, the sets differ in one shingle at least.
+        """
+        rows = len(self.bounds) - 1
+        cell = np.repeat(np.arange(rows), np.diff(self.bounds)) * SKETCH_BITS + (mix(self.values ^ U64(0xD1B54A32D192ED03)) % U64(SKETCH_BITS)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
+        return np.packbits(odd.reshape(rows, SKETCH_BITS), axis=1).view(np.int64)
+
     def names(self) -> list[int | None]:
         """A number for each set, the same for equal sets; none for an empty one."""
         return [xxhash.xxh3_64_intdigest(v.tobytes(), len(v)) - (1 << 63) if len(v) else None for v in map(self.of, range(len(self.bounds) - 1))]
@@ -206,20 +219,32 @@ def _shared(index: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(name, text) of the documents with these keys."""
+    """(name, text, size, sketch) of the documents with these keys."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text_col).alias("text"))
     chosen = by_ids(rows, keys, "key", "left_semi")
 
     def run(batches):
         for batch in batches:
-            names = [name for sets in shingle_sets(batch.column(0)) for name in sets.names()]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0)], ["name", "text"])
+            at = 0
+            for sets in shingle_sets(batch.column(0)):
+                n = len(sets.bounds) - 1
+                sketch = pa.FixedSizeListArray.from_arrays(pa.array(sets.sketches().ravel()), SKETCH_BITS // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(sets.names(), pa.int64()), batch.column(0).slice(at, n), pa.array(np.diff(sets.bounds)), sketch], ["name", "text", "size", "sketch"])
+                at += n
+
+    return chosen.select("text").mapInArrow(run, "name long, text string, size long, sketch array<long>")
 
-    return chosen.select("text").mapInArrow(run, "name long, text string")
+
+def _may_link(a: str, b: str):
+    """Whether two sets' sketches leave room for a link; a and b are suffixes of `size` and `sketch`."""
+    differ = F.aggregate(F.zip_with(f"sketch{a}", f"sketch{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(f"size{a}") + F.col(f"size{b}"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts link."""
+    sketches = {end: texts.select(F.col("name").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")) for end in "ab"}
+    pairs = pairs.join(sketches["a"], "a").join(sketches["b"], "b").where(_may_link("_a", "_b")).select("a", "b")
     joined = (
         pairs.join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a")
@@ -253,14 +278,49 @@ def _near_in_size(a: str, b: str):
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
 
 
-def _across(shared: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a look-up and that no component holds together yet."""
+def _unresolved(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, component) of the sets that share a look-up with a set of another component."""
     placed = shared.join(found.select(F.col("node").alias("name"), "component"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     open_ = placed.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sign")
-    left = placed.join(open_, "sign")
-    other = left.select("sign", *(F.col(c).alias(f"{c}_b") for c in ("name", "component", "size")))
-    pairs = left.join(other, "sign").where((F.col("name") < F.col("name_b")) & (F.col("component") != F.col("component_b")) & _near_in_size("size", "size_b"))
-    return pairs.select(F.col("name").alias("a"), F.col("name_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return placed.join(open_, "sign", "left_semi").select("name", "component").distinct()
+
+
+def _elements(texts: DataFrame) -> DataFrame:
+    """(element, name, size): the shingles of each set."""
+
+    def run(batches):
+        for batch in batches:
+            for sets in shingle_sets(batch.column(0)):
+                sizes = np.diff(sets.bounds)
+                names = np.array([n or 0 for n in sets.names()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sets.values.view(np.int64)), pa.array(np.repeat(names, sizes)), pa.array(np.repeat(sizes, sizes))], ["element", "name", "size"])
+
+    return texts.select("text").mapInArrow(run, "element long, name long, size long")
+
+
+def _across(elements: DataFrame, sets: DataFrame, tried: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components that can still link.
+
+    `sets` are (name, component, size, sketch). Their shingles are counted. Of a linked pair both hold a shingle among
+    their rarest: the smaller set among its first 1/9, the larger one among its first 1/5; the rest need no look-up.
+    Shingles that one set alone has can't be common, and with the sketches they rule out most pairs unseen.
+    """
+    held = elements.withColumn("n", F.count("*").over(Window.partitionBy("element"))).where("n > 1")
+    rarest = Window.partitionBy("name").orderBy("n", "element")
+    ranked = held.withColumn("rank", F.row_number().over(rarest)).withColumn("known", F.count("*").over(Window.partitionBy("name")))
+    low, high = 100 + PERCENT, 2 * PERCENT
+    # of the set's size - known shingles that it has alone, all come before the others in its order
+    ranked = ranked.withColumn("place", F.col("rank") + F.col("size") - F.col("known")).withColumn("small", F.expr(f"place <= size - cast(ceil(size * {high} / {low}) as bigint) + 1"))
+    first = ranked.where(F.expr(f"place <= size - cast(ceil(size * {PERCENT} / 100) as bigint) + 1")).select("element", "name", "known", "small")
+    first = materialize(first.join(sets.select("name", "component"), "name"), "jaccard-rarest")
+    meeting = first.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("element")
+    first = first.join(meeting, "element", "left_semi").join(sets.drop("component"), "name")
+    other = first.select("element", *(F.col(c).alias(f"{c}_b") for c in ("name", "size", "sketch", "known", "component")))
+    order = F.struct("size", "name") < F.struct("size_b", "name_b")
+    enough = low * F.least("known", "known_b") >= PERCENT * (F.col("size") + F.col("size_b"))
+    pairs = first.where("small").join(other, "element").where(order & (F.col("component") != F.col("component_b")) & enough & _near_in_size("size", "size_b") & _may_link("", "_b"))
+    pairs = pairs.select(F.least("name", "name_b").alias("a"), F.greatest("name", "name_b").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,9 +340,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = materialize(stars.select(F.col("pivot.name").alias("a"), F.col("name").alias("b")).distinct(), "jaccard-pairs")
     links = _links(stars, docs, classes, id_col, text_col)
     found = materialize(components(links), "jaccard-components")
-    more = materialize(_across(shared, found, stars), "jaccard-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_links(more, docs, classes, id_col, text_col))
+    open_sets = materialize(_unresolved(shared, found), "jaccard-open")
+    if not open_sets.isEmpty():
+        keys = materialize(classes.join(open_sets, "name", "left_semi").select("key").distinct(), "jaccard-keys")
+        texts = materialize(_texts(docs, keys, id_col, text_col).dropDuplicates(["name"]).join(open_sets, "name"), "jaccard-texts")
+        tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = materialize(_across(_elements(texts), texts.drop("text"), tried), "jaccard-pairs")
+        links = links.unionByName(materialize(_verified(more, texts), "jaccard-links"))
         found = materialize(components(links), "jaccard-components")
     named = classes.join(found, classes["name"] == found["node"], "left").withColumn("component", F.coalesce("component", "name"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
