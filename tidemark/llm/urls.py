@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 #: (verdict, host and path); a rule fits its host and all subdomains if the path begins with the rule's
 Rule = tuple[str, str]
 RULES: tuple[Rule, ...] = (
@@ -129,9 +131,20 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def vocabulary(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The `size` most frequent words that are short enough, with their counts; ties by the word."""
-    top = word_counts(pages).where(F.length("word").between(2, LONGEST_WORD)).orderBy(F.desc("n"), "word").limit(size)
-    return {r["word"]: r["n"] for r in top.collect()}
+    """The most frequent words that are short enough, `size` at most; words of one count come in together or not at all.
+
+    How many words have each count tells where to cut, so that no task hands on more words than are taken.
+    """
+    counts = materialize(word_counts(pages).where(F.length("word").between(2, LONGEST_WORD)), "word-counts")
+    least, taken = None, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size).collect():
+        taken += r["words"]
+        if taken > size:
+            break
+        least = r["n"]
+    if least is None:
+        return {}
+    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}
 
 
 @dataclass(frozen=True)
