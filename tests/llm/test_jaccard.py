@@ -138,3 +138,16 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "a long, b long")).collect()))
     assert got == closure(pairs, {n for p in pairs for n in p})
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_empty_texts_after_many_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "REMEMBERED", 3)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    texts = [f"w{i} x{i} y{i} z{i} a{i} b{i}" for i in range(40)] + [None, "", " ", "w0 x0 y0 z0 a0 b0"]
+    spark.conf.set(batch, "10")
+    try:
+        rows = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    finally:
+        spark.conf.set(batch, before)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {i: (2 if t and t.strip() else 0, 0 if i == 43 else i) for i, t in enumerate(texts)}

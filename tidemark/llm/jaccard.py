@@ -187,13 +187,13 @@ def _indexed(docs: DataFrame, text_col: str) -> DataFrame:
     """(sign, name, extra) for every look-up of every set."""
 
     def run(batches):
-        seen: dict[int | None, None] = {None: None}
+        seen: dict[int, None] = {}
         for batch in batches:
             for sets in shingle_sets(batch.column(0)):
                 names = sets.names()
                 new = []
                 for i, name in enumerate(names):
-                    if name not in seen:
+                    if name is not None and name not in seen:  # an empty set has no look-ups
                         seen[name] = None
                         new.append(i)
                 while len(seen) > REMEMBERED:
