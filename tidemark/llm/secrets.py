@@ -17,6 +17,14 @@ from tidemark.session import materialize
 #: the order of kinds in results; the first three are the strict ones
 KINDS = ("assign", "access", "hex", "prefixed", "bearer", "private_key", "random")
 
+#: white space between the lines of a key, also as escapes of a string
+_GAP = r"(?:\s|\\[nr])"
+#: a header, PEM fields, the lines of the key, a last short line, and the end
+_PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"(?:{_GAP}++[A-Za-z-]{{1,20}}:\x20[A-Za-z0-9,\x20-]++(?={_GAP}))*+(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+)*+"
+    rf"(?:{_GAP}*+[A-Za-z0-9+/=]++(?={_GAP}*+-----END ))?+(?:{_GAP}*+-----END [A-Z ]{{0,20}}PRIVATE KEY-----)?+"
+)
 _ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]++)"
 #: fixed values: patterns of the candidates, and a string each match holds
 PATTERNS = {
@@ -25,9 +33,11 @@ PATTERNS = {
     "hex": (r"(?<![0-9a-f])[0-9a-f]{24,}+", None),
     "prefixed": (r"(?<![A-Za-z0-9_])(?:ghp_|gho_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abp]-|AIza|npm_)[A-Za-z0-9_-]{16,}+", None),
     "bearer": (r"(?<![A-Za-z])(?:Bearer|bearer)\x20+[A-Za-z0-9._~+/=-]{16,}+", "earer"),
-    "private_key": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "PRIVATE KEY"),
+    "private_key": (_PRIVATE_KEY, "PRIVATE KEY"),
     "random": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,128}+(?![A-Za-z0-9+/_=-])", None),
 }
+#: characters that the shortest header of a private key has
+HEADER = len("-----BEGIN PRIVATE KEY-----")
 #: a value that this many owners or more have is an example that was copied
 COPIED_OWNERS = 3
 #: and one with this many documents for each owner
@@ -41,6 +51,8 @@ def _value(kind: str, found: Column) -> Column:
         return F.regexp_extract(found, _ASSIGN, 1)
     if kind == "bearer":
         return F.regexp_replace(found, r"^\w+\x20+", "")
+    if kind == "private_key":  # one key, however its lines are broken
+        return F.regexp_replace(found, rf"{_GAP}++|-----END .*+", "")
     return found
 
 
@@ -111,8 +123,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source",
     by_row = judged.groupBy("row").agg(F.collect_list(secret).alias("secrets"))
     kind = by_row.schema["secrets"].dataType.simpleString()
     # where spans overlap, strict ones and then the kinds listed first prevail over others
+    # a key is hidden by what covers its header, not by what looks strict in its lines
     lone = F.array_sort(F.filter("secrets", lambda s: s["base"] | ~F.exists(
-        "secrets", lambda b: (b["base"] | (b["rank"] < s["rank"])) & (b["start"] < s["end"]) & (s["start"] < b["end"]),
+        "secrets", lambda b: (b["base"] | (b["rank"] < s["rank"])) & (b["start"] < s["end"]) & (s["start"] < b["end"])
+        & ((s["kind"] != "private_key") | (b["start"] < s["start"] + HEADER)),
     )))
     return kept.select("row", "doc_id").join(by_row, "row", "left").withColumn("secrets", F.coalesce(lone, F.expr(f"cast(array() as {kind})")))
 
