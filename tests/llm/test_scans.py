@@ -146,6 +146,14 @@ def test_private_keys_are_told_apart(spark):
     assert "private_key" in {s["kind"] for s in got[20]} and [s["kind"] for s in got[21]] == [s["kind"] for s in got[22]] == ["private_key"]
 
 
+def test_long_runs_are_candidates(spark):
+    rnd = random.Random(5)
+    runs = {n: "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n)) for n in (24, 128, 129, 342, 30_000)}
+    rows = [(n, f"é {run}. end", "a") for n, run in runs.items()] + [(1, "q" * 30_000, "a")]
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["secrets"]] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {n: [(2, 2 + n, "random")] for n in runs} | {1: []}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert pii.find(none).collect() == [] and secrets.scan(none).collect() == []

@@ -34,7 +34,7 @@ PATTERNS = {
     "prefixed": (r"(?<![A-Za-z0-9_])(?:ghp_|gho_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abp]-|AIza|npm_)[A-Za-z0-9_-]{16,}+", None),
     "bearer": (r"(?<![A-Za-z])(?:Bearer|bearer)\x20+[A-Za-z0-9._~+/=-]{16,}+", "earer"),
     "private_key": (_PRIVATE_KEY, "PRIVATE KEY"),
-    "random": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,128}+(?![A-Za-z0-9+/_=-])", None),
+    "random": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+", None),
 }
 #: characters that the shortest header of a private key has
 HEADER = len("-----BEGIN PRIVATE KEY-----")
