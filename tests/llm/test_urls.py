@@ -97,3 +97,19 @@ def test_query_on_all_pages(spark):
     assert len(rows) == len(told)
     for r in rows:
         assert (r["host"], r["path"], r["rule"]) == told[r["page_id"]][:3] and r["verdict"] in (told[r["page_id"]][3],) if r["rule"] else r["verdict"] in ("allow", "block")
+
+
+def test_all_words_split_hosts(spark):
+    rnd = random.Random(7)
+    rare = {"".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(60_000)}  # each once, as the words of the hosts
+    html = f"<p>{' '.join(sorted(rare))} zebra finch donaudampfschifffahrt museum</p>"
+    pages = spark.createDataFrame([(1, "http://zebrafinch.org/a", html), (2, "http://donaudampfschifffahrtmuseum12.de/", ""), (3, "http://12.34/", None), (4, None, "")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["host_words"] for r in U.judge(pages).collect()}
+    assert got == {1: "zebra finch org", 2: "donaudampfschifffahrt museum 00 de", 3: "00 00", 4: ""}
+
+
+def test_hosts_are_split_as_by_the_whole_vocabulary(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    segmenter = U.Segmenter(U.vocabulary(pages))
+    for r in U.judge(pages).select("host", "host_words").distinct().collect():
+        assert r["host_words"] == " ".join(U.host_words(r["host"], segmenter))

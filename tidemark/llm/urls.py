@@ -26,9 +26,8 @@ Rule = tuple[str, str]
 RULES: tuple[Rule, ...] = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
 )
-#: words of the unigram model: the most frequent ones
-VOCABULARY = 50_000
-LONGEST_WORD = 16
+#: letters that a word of the unigram model has at least
+SHORTEST_WORD = 2
 #: slots that words of hosts and paths are hashed to
 SLOTS = 1 << 16
 #: words that a task counts before it hands them on
@@ -70,25 +69,34 @@ def _by_host(rules: tuple[Rule, ...]) -> dict[str, list[tuple[str, str]]]:
 
 
 class Segmenter:
-    """Splits run-together names into the likeliest words."""
+    """Splits run-together names into the likeliest words.
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
+    `counts` are all words, or those that can stand in the names, with the `total` over all.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = total or sum(counts.values()) or 1
         self.cost = {w: math.log(self.total / n) for w, n in counts.items()}
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
         self.split = lru_cache(maxsize=100_000)(self._split)
 
     def _unknown(self, size: int) -> float:
         return math.log(self.total + 1) + size * math.log(10)
 
     def _split(self, name: str) -> tuple[str, ...]:
-        best = [0.0] + [math.inf] * len(name)
-        back = [0] * (len(name) + 1)
+        best, back = [0.0], [0]
+        # the place from which an unknown word costs least: each letter adds the same, so it is kept from place to place
+        from_, least = 0, 0.0
         for end in range(1, len(name) + 1):
-            for begin in range(max(0, end - LONGEST_WORD), end):
-                word = name[begin:end]
-                cost = best[begin] + self.cost.get(word, self._unknown(end - begin))
-                if cost < best[end]:
-                    best[end], back[end] = cost, begin
+            cost, begin = best[from_] + self._unknown(end - from_), from_
+            for size in self.lengths:
+                known = self.cost.get(name[end - size : end]) if size <= end else None
+                if known is not None and best[end - size] + known < cost:
+                    cost, begin = best[end - size] + known, end - size
+            best.append(cost)
+            back.append(begin)
+            if cost - end * math.log(10) < least:
+                from_, least = end, cost - end * math.log(10)
         out, end = [], len(name)
         while end:
             out.append(name[back[end] : end])
@@ -105,7 +113,11 @@ def host_words(host: str, segmenter: Segmenter) -> list[str]:
 
 def url_slots(host: str, path: str, segmenter: Segmenter) -> list[int]:
     """Hashed words of the host and of the path; numbers count by their length."""
-    words = [f"h:{w}" for w in host_words(host, segmenter)]
+    return _slots(host_words(host, segmenter), path)
+
+
+def _slots(split: list[str], path: str) -> list[int]:
+    words = [f"h:{w}" for w in split]
     words += [f"p:{'0' * len(w) if w[0].isdigit() else w.lower()}" for w in _PART.findall(path)]
     return [zlib.crc32(w.encode()) % SLOTS for w in words]
 
@@ -130,21 +142,42 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.select(html_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words that are short enough, `size` at most; words of one count come in together or not at all.
+def _counted(pages: DataFrame) -> DataFrame:
+    return word_counts(pages).where(F.length("word") >= SHORTEST_WORD)
+
+
+def vocabulary(pages: DataFrame) -> dict[str, int]:
+    """All words, for tables whose words the driver can hold; `split_hosts` leaves them in the cluster."""
+    return {r["word"]: r["n"] for r in _counted(pages).collect()}
+
+
+def split_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, words) of every distinct host, by the counts (word, n) of all words.
 
-    How many words have each count tells where to cut, so that no task hands on more words than are taken.
+    A host is split by the words that stand in it, which a join of its substrings finds; only the lengths that words
+    have are tried. Neither the driver nor a task holds the vocabulary.
     """
-    counts = materialize(word_counts(pages).where(F.length("word").between(2, LONGEST_WORD)), "word-counts")
-    least, taken = None, 0
-    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size).collect():
-        taken += r["words"]
-        if taken > size:
-            break
-        least = r["n"]
-    if least is None:
-        return {}
-    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}
+    total = counts.agg(F.sum("n")).first()[0]
+    hosts = hosts.select("host").distinct()
+    lengths = sorted(r[0] for r in counts.select(F.length("word")).distinct().collect())
+
+    def pieces(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host in batch.column(0).to_pylist():
+                held = {part[i : i + size] for part in _PART.findall(host) for size in lengths if size <= len(part) for i in range(len(part) - size + 1)}
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(held), pa.string()), pa.array(list(held), pa.string())], ["host", "word"])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [
+                host_words(host, Segmenter({w["word"]: w["n"] for w in known or ()}, total))
+                for host, known in zip(batch.column("host").to_pylist(), batch.column("known").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(split, pa.list_(pa.string()))], ["host", "words"])
+
+    known = hosts.mapInArrow(pieces, "host string, word string").join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return hosts.join(known, "host", "left").select("host", "known").mapInArrow(run, "host string, words array<string>")
 
 
 @dataclass(frozen=True)
@@ -158,19 +191,24 @@ class Bayes:
         return self.prior + float(self.weights[slots].sum())
 
 
-def fit(urls: DataFrame, words: dict[str, int], rules: tuple[Rule, ...] = RULES) -> Bayes:
-    """Counted over all (host, path) that a rule judges; without both verdicts the words say nothing."""
+def fit(urls: DataFrame, words: dict[str, int] | None = None, rules: tuple[Rule, ...] = RULES) -> Bayes:
+    """Counted over all (host, path) that a rule judges; without both verdicts the words say nothing.
+
+    Hosts are split by `words` or, without them, come split as a third column.
+    """
     by_host = _by_host(rules)
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         held: Counter[tuple[str, int]] = Counter()
-        segmenter = Segmenter(words)
+        segmenter = Segmenter(words or {})
         for batch in batches:
-            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            hosts = batch.column(0).to_pylist()
+            splits = batch.column(2).to_pylist() if words is None else [host_words(host, segmenter) for host in hosts]
+            for host, path, split in zip(hosts, batch.column(1).to_pylist(), splits, strict=True):
                 verdict = rule_for(host, path, by_host)[1]
                 if verdict:
                     held[verdict, -1] += 1  # the pages themselves
-                    for slot in url_slots(host, path, segmenter):
+                    for slot in _slots(split, path):
                         held[verdict, slot] += 1
         keys = list(held)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())], ["verdict", "slot", "n"])
@@ -198,18 +236,18 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "p
     """
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    words = vocabulary(pages)
-    model = fit(urls.select("host", "path"), words, rules)
+    split = materialize(split_hosts(urls, materialize(_counted(pages), "word-counts")), "split-hosts")
+    urls = urls.join(split, "host")
+    model = fit(urls.select("host", "path", "words"), rules=rules)
     by_host = _by_host(rules)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(words)
         for batch in batches:
             rows = []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            for host, path, words in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "words")), strict=True):
                 rule, verdict = rule_for(host, path, by_host)
-                odds = model.odds(url_slots(host, path, segmenter))
-                rows.append((rule, verdict or ("block" if odds > 0 else "allow"), " ".join(host_words(host, segmenter)), odds))
+                odds = model.odds(_slots(words, path))
+                rows.append((rule, verdict or ("block" if odds > 0 else "allow"), " ".join(words), odds))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("page_id", "host", "path")), *(pa.array([r[i] for r in rows], pa.string()) for i in range(3)), pa.array([r[3] for r in rows], pa.float64())],
                 ["page_id", "host", "path", "rule", "verdict", "host_words", "odds"],
