@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.select import EmptySelection
 from tidemark.session import scratch_dir, shared_folder
+from tidemark.plans import REGISTRY
 from tidemark.sources import dumps, snapshots, store
 
 METADATA = """# Started dump at: 2026-01-01
@@ -222,3 +223,17 @@ def test_scratch_paths_lie_in_the_named_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     a, b = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert shared_folder(spark) == folder.rstrip("/") and a != b and a.startswith(folder) and b.startswith(folder)
+
+
+def test_store_files_are_bounded(spark, monkeypatch):
+    sizes, read = [], store.read_store
+
+    def kept(session, path):
+        sizes.extend(r["value"].count("job_id") for r in session.read.text(path, wholetext=True).collect())
+        return read(session, path)
+
+    monkeypatch.setattr(store, "read_store", kept)
+    monkeypatch.setattr("tidemark.plans.objects.KEYS_PER_FILE", 40, raising=False)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    found = REGISTRY["normalize_array"](spark, "/root/testdata/sf0.001").count()
+    assert found == orders.where("o_orderkey % 50 <> 7").count() and max(sizes) <= 40 and sum(sizes) == orders.count()

@@ -274,6 +274,10 @@ def normalize_sessions(t):
     )
 
 
+#: keys of a file, so that files grow in number and not in size; a record has less than 100 bytes
+KEYS_PER_FILE = 50_000
+
+
 @query("normalize_array", sql="""
 SELECT concat('job', CAST(o_orderkey AS VARCHAR)) AS job_id, o_orderkey AS size, CASE WHEN o_orderkey % 4 = 0 THEN 1000 WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END AS binlog_end_pos
 FROM orders WHERE o_orderkey % 50 <> 7""")
@@ -284,7 +288,7 @@ def normalize_array(t):
     end = F.when(key % 4 == 0, "1e3").when(key % 4 == 1, "true").when(key % 4 == 2, '"12.5"').otherwise("null")
     record = F.concat(F.lit('{"job_id": "job'), key.cast("string"), F.lit('", "size": '), key.cast("string"), F.lit('.75, "binlog_end_pos": '), end, F.lit("}"))
     element = F.when(key % 50 == 7, F.lit('42, null, "text", [{"job_id": "inner"}]')).otherwise(record)
-    lists = t.orders.groupBy((key % 16).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(element), ",\n"), F.lit("]")).alias("value"))
+    lists = t.orders.groupBy(F.floor(key / KEYS_PER_FILE).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(element), ",\n"), F.lit("]")).alias("value"))
     path = scratch_dir(t.spark, "store")
     lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return store.normalize_sessions(store.read_store(t.spark, path)).select("job_id", "size", "binlog_end_pos")
