@@ -34,6 +34,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return configure(spark)
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables."""
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """A left_semi or left_anti join on an integer key, null ids included, with the ids counted to choose how.
 
