@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     own = set(QUERIES) | {"pipeline"}
-    assert own <= set(entry.queries()) and {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in [*range(1, 11), 12]}
+    assert own <= set(entry.queries()) and {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(ORACLES) <= set(entry.oracle_sql())
 
 

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, jaccard, manifest_queries, packing, pii, quality, secrets, spotsigs, tokens, urls
+from tidemark.llm import (
+    chat, decontaminate, hardneg_queries, jaccard, manifest_queries, packing, pii, quality, secrets, sharding_queries, spotsigs, tokens, urls,
+)
 from tidemark.llm.cluster import read_table as table
 
 #: the vocabulary file of the queries
@@ -69,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_spotsigs, op2_best_fit_packing, op3_token_counts, op4_ngram_jaccard, op5_chat_format, op6_url_filter, op7_pii, op8_secrets, op9_decontaminate, op10_quality,
     )
-} | manifest_queries.QUERIES
+} | hardneg_queries.QUERIES | manifest_queries.QUERIES | sharding_queries.QUERIES
 
 _OP5 = r"""
 WITH rows AS (
@@ -109,4 +111,4 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_chat_format": _OP5, "op9_decontaminate": _OP9} | manifest_queries.ORACLES
+ORACLES: dict[str, str] = {"op5_chat_format": _OP5, "op9_decontaminate": _OP9} | hardneg_queries.ORACLES | manifest_queries.ORACLES
