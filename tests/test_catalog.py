@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,3 +265,21 @@ def test_numbers_and_long_digit_runs_in_text(spark):
     long, short = "x" + "9" * 10_000, "x" + "9" * 1_001
     rows = spark.createDataFrame([(long,), (short,)], "v string")
     assert [len(r["v"]) for r in paging.typed_sort(rows, "v").collect()] == [len(short), len(long)]
+
+
+def test_deep_pages_by_text_gather_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(paging, "TOP_ROWS", 100)
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "b", "b", "b", None, "é"]), f"{rnd.randrange(10**6):06d}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "t string, u string, id int").repartition(4)
+    for order in ([("t", False), ("u", True), ("id", False)], [("t", True), ("u", False), ("id", True)]):
+        told = rows
+        for column, descending in reversed(order):
+            at = "t u id".split().index(column)
+            told = sorted(told, key=lambda r: (r[at] is not None, r[at] or ""if at < 2 else r[at]), reverse=descending)
+        for number in (1, 57, 150, 300):
+            found = paging.page(df, order, number, 10)
+            assert [tuple(r)[:3] for r in found.collect()] == told[10 * (number - 1) : 10 * number]
+            limits = [int(n) for n in re.findall(r"limit=([0-9]+)", found._jdf.queryExecution().executedPlan().toString())]
+            assert max(limits) <= 100
+        assert paging.page(df, order, 400, 10).isEmpty()

@@ -237,3 +237,33 @@ def test_store_files_are_bounded(spark, monkeypatch):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     found = REGISTRY["normalize_array"](spark, "/root/testdata/sf0.001").count()
     assert found == orders.where("o_orderkey % 50 <> 7").count() and max(sizes) <= 40 and sum(sizes) == orders.count()
+
+
+def test_lists_are_cut_at_their_elements(spark, tmp_path):
+    texts = {
+        "a": '[1, "x,y", {"job_id": "q, \\"]["}, [1, [2, {"k": "}"}]], null , "{\\"job_id\\": 1}"]', "b": " [ ] ", "c": '\n[{"job_id": "\\\\"},\n\t{"a": ["]", "\\\\\\""], "job_id": "z"}\n]\n', "d": '["lone"]',
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    told = sorted(json.dumps(x) for text in texts.values() for x in json.loads(text))
+    for size in ("7b", "64m"):
+        with_splits(spark, size)
+        try:
+            got = [r["value"] for r in store.list_elements(spark, str(tmp_path)).collect()]
+        finally:
+            with_splits(spark, "128m")
+        assert sorted(json.dumps(json.loads(v)) for v in got if v.strip()) == told
+        assert sorted(r["job_id"] for r in store.read_store(spark, str(tmp_path)).collect() if r["job_id"]) == sorted(['q, "][', "\\", "z"])
+
+
+def with_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1" if size == "7b" else "4m")
+
+
+def test_form_is_decided_for_each_file(spark, tmp_path):
+    (tmp_path / "lines").write_text('\n  \n{"job_id": "a"}\n"{\\"job_id\\": \\"no\\"}"\n{"job_id": "b"}\n[{"job_id": "no"}]\nbroken {\nnull\n{}\n')
+    (tmp_path / "list").write_text('[{"job_id": "c"},\n{"job_id": "d"}, "{\\"job_id\\": \\"no\\"}"]')
+    (tmp_path / "blank").write_text(" \n")
+    rows = store.read_store(spark, str(tmp_path)).collect()
+    assert sorted(r["job_id"] or "" for r in rows) == ["", "a", "b", "c", "d"]

@@ -91,3 +91,20 @@ def test_children_without_order(spark):
     got = tree.children_lists(rows).orderBy("chunk").collect()
     assert [len(r["children"]) for r in got] == [1000, 1000, 500]
     assert [c["id"] for r in got for c in r["children"]] == [f"{i:05d}" for i in range(2500)]
+
+
+def test_a_hot_parent_is_numbered_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(tree, "SMALL_BYTES", 0)
+    monkeypatch.setattr(tree, "hot_groups", lambda nodes, keys: [1])
+    rnd = random.Random(2)
+    rows = [(f"c{i:05d}", rnd.choice(["hot", "hot", None, f"p{i % 7}"]), "n", rnd.choice([None, i % 50])) for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {}
+    for r in tree.children_lists(df, per_row=100).orderBy("chunk").collect():
+        got.setdefault(r["pid"], []).extend(c["id"] for c in r["children"])
+    told = {}
+    for i, pid, _, ord_ in sorted(rows, key=lambda r: (r[3] is None, r[3] or 0, r[0])):
+        told.setdefault(pid, []).append(i)
+    assert got == told
+    plan = tree._numbered_children(df, "ord")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import Any
 
@@ -15,6 +16,8 @@ MAX_PAGE_SIZE = 100
 # a top-k of more rows than this is first brought nearer
 TOP_ROWS = 10_000
 PAGE_SLICES = 200
+# pivots of a step, and rows that they are chosen from
+PIVOTS, PIVOT_SAMPLE = 100, 4_000
 _SLICEABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -51,12 +54,12 @@ def _skip_ahead(rows: DataFrame, order: Sequence[tuple[str, bool]], offset: int,
     """The part of `rows` that holds the page, and the page's offset in it.
 
     Rows are cut into slices of their order, of which only the counts are collected; the
-    slices before the page are left out, and this repeats until a top-k suffices. Needs a
-    leading column that is numeric or a time, as does a second one; else it does nothing.
+    slices before the page are left out, and this repeats until a top-k suffices. Slices of
+    numbers and times come from quantiles, of other types from pivots.
     """
     (lead, lead_desc), (tie, tie_desc) = order[0], order[min(1, len(order) - 1)]
     if not all(isinstance(rows.schema[c].dataType, _SLICEABLE) for c in (lead, tie)):
-        return rows, offset
+        return _skip_by_pivots(rows, order, offset, size)
     while offset + size > TOP_ROWS:
         sliced = add_slices(rows, lead, tie, PAGE_SLICES)
         counts = {(r["_slice"], r["_sub"]): r["n"] for r in sliced.groupBy("_slice", "_sub").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -77,6 +80,59 @@ def _skip_ahead(rows: DataFrame, order: Sequence[tuple[str, bool]], offset: int,
     return rows, offset
 
 
+def _skip_by_pivots(rows: DataFrame, order: Sequence[tuple[str, bool]], offset: int, size: int) -> tuple[DataFrame, int]:
+    """`_skip_ahead` for columns of any type that can be ordered: multi-pivot selection.
+
+    Pivots are every so many-th of a random sample of the order columns, which each task keeps a
+    bounded part of. They only decide how fast it goes: rows are counted between pivots, whatever
+    these are, and those between the two around the page are kept. Rows that are equal in all order
+    columns can't be parted.
+    """
+    names, types = [name for name, _ in order], [rows.schema[name].dataType for name, _ in order]
+
+    def follows(pivot: Column) -> Column:
+        """Whether a row is the pivot or comes after it; null sorts as the least value."""
+        out = F.lit(True)
+        for i, (name, descending) in reversed(list(enumerate(order))):
+            bound, own = F.struct(pivot[f"c{i}"].alias("x")), F.struct(F.col(name).alias("x"))
+            out = ((own < bound) if descending else (own > bound)) | (own.eqNullSafe(bound) & out)
+        return out
+
+    def literal(pivot: tuple) -> Column:
+        return F.struct(*(F.lit(value).cast(kind).alias(f"c{i}") for i, (value, kind) in enumerate(zip(pivot, types, strict=True))))
+
+    def place(pivots: list[Column]) -> Column:
+        """How many pivots a row follows: first by every so many-th, then within those that are left."""
+        step = max(1, math.isqrt(len(pivots)))
+        heads = F.size(F.filter(F.array(*pivots[::step]), follows))
+        blocks = F.array(*(F.array(*pivots[i : i + step]) for i in range(0, len(pivots), step)))
+        return F.when(heads == 0, 0).otherwise((heads - 1) * step + F.size(F.filter(F.get(blocks, heads - 1), follows)))
+
+    while offset + size > TOP_ROWS:
+        sample = [tuple(r) for r in rows.select(*names).orderBy(F.rand()).limit(PIVOT_SAMPLE).orderBy(*_sort_keys(order)).collect()]
+        if not sample:
+            return rows, 0
+        pivots = [literal(p) for p in dict.fromkeys(sample[:: max(1, len(sample) // PIVOTS)])]
+        counts = {r["place"]: r["n"] for r in rows.groupBy(place(pivots).alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        kept, before, seen = [], 0, 0
+        for part in sorted(counts):
+            if seen + counts[part] <= offset:
+                before = seen + counts[part]
+            elif seen < offset + size:
+                kept.append(part)
+            seen += counts[part]
+        if not kept:
+            return rows.limit(0), 0
+        if sum(counts[part] for part in kept) == seen:
+            return rows, offset
+        if kept[0] > 0:
+            rows = rows.filter(follows(pivots[kept[0] - 1]))
+        if kept[-1] < len(pivots):
+            rows = rows.filter(~follows(pivots[kept[-1]]))
+        offset -= before
+    return rows, offset
+
+
 def page_after(rows: DataFrame, order: Sequence[tuple[str, bool]], last: Sequence[Any], page_size: Any = 10) -> DataFrame:
     """The rows that follow `last` in (column, descending) order; the columns are unique together."""
     _, size = page_bounds(1, page_size)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.ordered import plan_bytes
 from tidemark.operators.select import keep_names_on_restore
-from tidemark.session import materialize
+from tidemark.session import materialize, scratch_dir
 
 # changed keys up to this estimate, or this count, are worth sending to every executor
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -89,14 +89,29 @@ def _partial_image(changes: DataFrame, keys: list[str], payload: Sequence[str])
     return rows.select(*keys, *values, (F.col("_op") != "D").alias("live"), F.col("_reset").isNull().alias("continues"))
 
 
-def merge(base: DataFrame, image: DataFrame, key: Key, payload: Sequence[str], strategy: str | None = None) -> DataFrame:
+def image_by_table(image: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """An image of several tables (`tbl`), written once with a folder for each, and the rows of each table.
+
+    One count for all; as many entries as there are tables.
+    """
+    spark = image.sparkSession
+    path = scratch_dir(spark, "images")
+    image.hint("rebalance", "tbl").write.partitionBy("tbl").parquet(path)
+    # an image without rows has no folders to tell the schema by
+    schema = T.StructType([f for f in image.schema.fields if f.name != "tbl"] + [image.schema["tbl"]])
+    stored = spark.read.schema(schema).parquet(path)
+    return stored, {r["tbl"]: r["n"] for r in stored.groupBy("tbl").agg(F.count("*").alias("n")).collect()}
+
+
+def merge(base: DataFrame, image: DataFrame, key: Key, payload: Sequence[str], strategy: str | None = None, *, counted: int | None = None) -> DataFrame:
     """The snapshot with an image laid over it: changed rows replaced, deleted ones gone.
 
     Unchanged base rows come by an anti join, then the live rows of the image, one for each key
     whatever the base holds. "patch" broadcasts the changed keys, and the base is then never
     shuffled; "rebuild" shuffles both, where there are too many keys for that. The result is the
-    same. By default the number of changed keys decides. An estimate cannot tell how few keys a
-    long log comes down to, so an image is written out first and then counted.
+    same. By default the number of changed keys decides, and "patch" is only done where they are few
+    enough. An estimate cannot tell how few keys a long log comes down to, so an image is written out
+    first and then counted; one that is stored already comes with its rows `counted`.
 
     Partial images need the base row: they are joined to it, and `key` must be unique in the base.
     """
@@ -108,12 +123,12 @@ def merge(base: DataFrame, image: DataFrame, key: Key, payload: Sequence[str], s
         return _merge_partial(base, image, keys, payload)
     if strategy not in (None, "patch", "rebuild"):
         raise ValueError(f"unknown strategy: {strategy}")
-    image = materialize(image, "image")
-    if strategy is None:
-        few = image.count() <= BROADCAST_KEYS and plan_bytes(image.select(*keys)) <= BROADCAST_BYTES
-        strategy = "patch" if few else "rebuild"
-    changed = image.select(*keys)
-    kept = base.select(columns).join(F.broadcast(changed) if strategy == "patch" else changed, keys, "left_anti")
+    if counted is None:
+        image = materialize(image, "image")
+    changed, few = image.select(*keys), False
+    if strategy != "rebuild":
+        few = (image.count() if counted is None else counted) <= BROADCAST_KEYS and plan_bytes(changed) <= BROADCAST_BYTES
+    kept = base.select(columns).join(F.broadcast(changed) if few else changed, keys, "left_anti")
     return kept.unionByName(image.filter("live").select(columns))
 
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import SMALL_BYTES, hot_groups, plan_bytes
 from tidemark.session import materialize
 
 # from so many rounds on, that is 2^5 levels, rows still open are first tested for a cycle
@@ -113,7 +114,26 @@ def children_lists(nodes: DataFrame, order: str = "ord", per_row: int = CHILDREN
     children fits. Children go by `order`, those without one last, and then by id.
     """
     child = F.struct(F.col(order).alias("ord"), *(c for c in nodes.columns if c not in ("pid", order)))
-    among = Window.partitionBy("pid").orderBy(F.asc_nulls_last(order), "id")
-    rows = nodes.withColumn("_place", F.row_number().over(among) - 1).withColumn("chunk", F.floor(F.col("_place") / per_row).cast("long"))
+    rows = _numbered_children(nodes, order).withColumn("chunk", F.floor(F.col("_place") / per_row).cast("long"))
     listed = rows.groupBy("pid", "chunk").agg(F.sort_array(F.collect_list(F.struct("_place", child.alias("child")))).alias("_children"))
     return listed.select("pid", "chunk", F.transform("_children", lambda x: x["child"]).alias("children"))
+
+
+def _numbered_children(nodes: DataFrame, order: str) -> DataFrame:
+    """Nodes with `_place`, their number among the children of their parent, from 0.
+
+    Where a parent has more children than a task should hold, all nodes are sorted once in ranges
+    of (parent, order, id), so such a parent spreads over many tasks; what comes before a range is
+    one row for each parent in it.
+    """
+    if plan_bytes(nodes) <= SMALL_BYTES or not hot_groups(nodes, ["pid"]):
+        among = Window.partitionBy("pid").orderBy(F.asc_nulls_last(order), "id")
+        return nodes.withColumn("_place", F.row_number().over(among) - 1)
+    # all nodes sorted once in ranges: a node's number in that sort is unique and keeps the order of ids
+    spread = nodes.repartitionByRange("pid", F.asc_nulls_last(order), "id").sortWithinPartitions("pid", F.asc_nulls_last(order), "id")
+    spread = materialize(spread.withColumn("_at", F.monotonically_increasing_id()), "children")
+    ranges = spread.groupBy("pid", F.shiftright("_at", 33).alias("_range")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("pid").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = materialize(ranges.select(F.col("pid").alias("_pid"), "_range", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), "child-ranges")
+    met = spread.join(ranges, spread["pid"].eqNullSafe(ranges["_pid"]) & (F.shiftright("_at", 33) == F.col("_range")))
+    return met.withColumn("_place", F.col("_before") + F.col("_at") - F.col("_first")).select(*nodes.columns, "_place")

@@ -189,6 +189,13 @@ def page_deep(t):
     return paging.page(t.sessions, [("backup_time", True), ("seq", True)], page=124, page_size=100)
 
 
+@query("page_deep_text", uses="sessions", sql="""
+SELECT *, count(*) OVER () AS total FROM sessions ORDER BY account_id DESC, job_id, backup_file_id LIMIT 100 OFFSET 12300""")
+def page_deep_text(t):
+    """A page far down by texts, which have no quantiles: the rows before it are passed over between pivots."""
+    return paging.page(t.sessions, [("account_id", True), ("job_id", False), ("backup_file_id", False)], page=124, page_size=100)
+
+
 @query("page_after", uses="sessions", sql="""
 SELECT * FROM sessions WHERE (backup_time, seq) < (
   SELECT (backup_time, seq) FROM sessions ORDER BY backup_time DESC, seq DESC LIMIT 1 OFFSET 99)

@@ -292,3 +292,23 @@ def normalize_array(t):
     path = scratch_dir(t.spark, "store")
     lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return store.normalize_sessions(store.read_store(t.spark, path)).select("job_id", "size", "binlog_end_pos")
+
+
+#: keys of a list, some hundred MB: more make more files, each of many splits
+KEYS_PER_LIST = 4_000_000
+
+
+@query("normalize_huge_list", sql="""
+SELECT concat('job, "', CAST(o_orderkey AS VARCHAR), '" [') AS job_id, o_orderkey AS size FROM orders WHERE o_orderkey % 50 <> 7""")
+def normalize_huge_list(t):
+    """Lists over many splits of a file, with brackets, commas and quotes in its strings and elements that are no records."""
+    key = F.col("o_orderkey").cast("string")
+    record = F.concat(F.lit('{"job_id": "job, \\"'), key, F.lit('\\" [", "size": '), key, F.lit(', "more": {"a": [1, {"b": "]"}], "c": "\\\\"}}'))
+    element = F.when(F.col("o_orderkey") % 50 == 7, F.lit('"{\\"job_id\\": 1}", [1, [2, 3]], null')).otherwise(record)
+    path = scratch_dir(t.spark, "store")
+    part = F.floor(F.col("o_orderkey") / KEYS_PER_LIST).alias("part")
+    rows = t.orders.select(part, F.col("o_orderkey").alias("at"), F.concat(F.lit(","), element).alias("value"))
+    ends = t.orders.select(part).distinct().select("part", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("at"), F.lit("[0").alias("value")), F.struct(F.lit((1 << 63) - 1).alias("at"), F.lit("]").alias("value")))).alias("e"))
+    lines = rows.unionByName(ends.select("part", "e.*"))
+    lines.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+    return store.normalize_sessions(store.read_store(t.spark, path)).select("job_id", "size")

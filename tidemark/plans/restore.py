@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import catalog, diff, runs
+from tidemark.operators import catalog, diff, runs, typed
 from tidemark.operators import chain as chains
 from tidemark.operators import restore as ops
 from tidemark.operators.diff import verify_tables
@@ -271,7 +271,8 @@ _MERGED_BY_TABLE = f"SELECT concat('t', CAST(pk % 4 AS VARCHAR)) AS tbl, pk, val
 
 
 @query("restore_stored", uses="changes snapshot", sql=f"""
-WITH replayed AS (SELECT * FROM changes WHERE log_no < 8 OR (log_no = 8 AND log_pos < 504)), base AS (SELECT * FROM snapshot), {_LATEST} {_MERGED_BY_TABLE}""")
+WITH replayed AS (SELECT * FROM changes WHERE db = 'mall' AND (log_no < 8 OR (log_no = 8 AND log_pos < 504))),
+base AS (SELECT * FROM snapshot), {_LATEST} {_MERGED_BY_TABLE}""")
 def restore_stored(t):
     """All tables of a database, from the stored full and its stored increments."""
     sessions, _ = _stored_runs(t)
@@ -279,7 +280,7 @@ def restore_stored(t):
 
 
 @query("restore_stored_upto", uses="changes snapshot", sql=f"""
-WITH replayed AS (SELECT * FROM changes WHERE log_no < 5), base AS (SELECT * FROM snapshot WHERE pk % 4 <> 2), {_LATEST}
+WITH replayed AS (SELECT * FROM changes WHERE db = 'mall' AND log_no < 5), base AS (SELECT * FROM snapshot WHERE pk % 4 <> 2), {_LATEST}
 SELECT * FROM ({_MERGED_BY_TABLE}) x WHERE tbl <> 't2'""")
 def restore_stored_upto(t):
     """Up to the second increment, without one table."""
@@ -301,7 +302,7 @@ def take_increment(t):
 
 
 @query("restore_pit_stored", uses="changes snapshot", sql=f"""
-WITH replayed AS (SELECT * FROM changes WHERE event_ts <= TIMESTAMP '{_PIT}'), base AS (SELECT * FROM snapshot), {_LATEST} {_MERGED_BY_TABLE}""")
+WITH replayed AS (SELECT * FROM changes WHERE db = 'mall' AND event_ts <= TIMESTAMP '{_PIT}'), base AS (SELECT * FROM snapshot), {_LATEST} {_MERGED_BY_TABLE}""")
 def restore_pit_stored(t):
     """A moment restored from the latest of three fulls before it, and the stored log from there on."""
     root, path = scratch_dir(t.spark, "runs"), _stored(t)
@@ -312,13 +313,88 @@ def restore_pit_stored(t):
     before = t.changes.filter(F.col("log_no") < cuts)
     seen = before.agg(F.max("event_ts").alias("at")).first()["at"]
     if seen is not None:
-        image = ops.latest_image(before, "pk", ["val"])
+        image = ops.latest_image(before.filter("db = 'mall'"), "pk", ["val"])
         state = materialize(ops.merge(t.snapshot, image, "pk", ["val"]), "state")
         sessions = sessions.unionByName(runs.take_full(_by_table(state), f"{root}/f1", "f1", (cuts, log.FIRST_POS), seen, seq=1, database="mall"))
     sessions = sessions.unionByName(runs.take_full(_by_table(t.snapshot.limit(0)), f"{root}/f2", "f2", (cuts + 1, log.FIRST_POS), datetime(2100, 1, 1), seq=2, database="mall"))
     return _listed(runs.restore_at(materialize(sessions, "sessions"), "mall", moment, path, "pk", ["val"]))
 
 
+# tables of different columns: t0 by a number, t1 by two columns, t2 by a text that some updates change; t3 is not backed up
+_MOVED = "op = 'U' AND log_pos % 700 = 4"
+_TYPED_KEYS = {"t0": ["id"], "t1": ["grp", "item"], "t2": ["code"]}
+
+
+def _typed_log(changes: DataFrame) -> DataFrame:
+    """The change log with rows as text in `before` and `after`, as wide as each table is."""
+    tbl, pk, code = F.col("tbl"), F.col("pk"), F.concat(F.lit("c"), F.col("pk"))
+
+    def row(code):
+        first = F.struct(pk.alias("id"), F.floor(F.col("val") * 100).alias("balance"), F.concat(F.lit("n"), F.col("log_pos")).alias("note"))
+        second = F.struct((pk % 10).cast("int").alias("grp"), pk.alias("item"), F.col("event_ts").alias("at"), F.col("op").alias("kind"))
+        third = F.struct(code.alias("code"), F.col("log_no").alias("n"), F.array("op", F.concat(F.lit("x"), F.col("log_pos"))).alias("tags"))
+        return F.when(tbl == "t0", typed.encode(first)).when(tbl == "t1", typed.encode(second)).when(tbl == "t2", typed.encode(third)).otherwise("{}")
+
+    after = row(F.when(F.expr(_MOVED), F.concat(F.lit("d"), pk)).otherwise(code))
+    kept = [c for c in changes.columns if c not in ("pk", "val")]
+    return changes.select(*kept, F.when(F.col("op") != "I", row(code)).alias("before"), F.when(F.col("op") != "D", after).alias("after"))
+
+
+@query("restore_database_typed", uses="changes snapshot", sql=f"""
+WITH ev AS (SELECT * FROM changes WHERE db = 'mall' AND tbl <> 't3' AND (log_no < 8 OR (log_no = 8 AND log_pos < 504))),
+steps AS (
+  SELECT *, 1 AS step, op <> 'D' AS live, CASE WHEN tbl = 't2' AND {_MOVED} THEN concat('d', pk) WHEN tbl = 't2' THEN concat('c', pk) ELSE CAST(pk AS VARCHAR) END AS k FROM ev
+  UNION ALL SELECT *, 0, false, concat('c', pk) FROM ev WHERE tbl = 't2' AND {_MOVED}),
+latest AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY tbl, k ORDER BY log_no DESC, log_pos DESC, step DESC) = 1),
+base AS (
+  SELECT concat('t', CAST(pk % 4 AS VARCHAR)) AS tbl, concat(CASE WHEN pk % 4 = 2 THEN 'c' ELSE '' END, pk) AS k,
+    CAST(CASE pk % 4 WHEN 0 THEN CAST(floor(val * 100) AS BIGINT) WHEN 1 THEN 946684800000000 ELSE 0 END AS VARCHAR) AS a, 'base' AS b
+  FROM snapshot WHERE pk % 4 <> 3)
+SELECT * FROM base WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.tbl = base.tbl AND l.k = base.k)
+UNION ALL SELECT tbl, k,
+  CAST(CASE tbl WHEN 't0' THEN CAST(floor(val * 100) AS BIGINT) WHEN 't1' THEN epoch_us(event_ts) ELSE log_no END AS VARCHAR),
+  CASE tbl WHEN 't0' THEN concat('n', log_pos) WHEN 't1' THEN op ELSE concat(op, '|x', log_pos) END
+FROM latest WHERE live""")
+def restore_database_typed(t):
+    """Three tables of different columns and keys out of a log of two databases; the full left a fourth table out."""
+    spark, root, pk = t.spark, scratch_dir(t.spark, "typed"), F.col("pk")
+    cents = F.floor(F.col("val") * 100)
+    tables = {
+        "t0": t.snapshot.filter("pk % 4 = 0").select(pk.alias("id"), cents.alias("balance"), F.lit("base").alias("note")),
+        "t1": t.snapshot.filter("pk % 4 = 1").select((pk % 10).cast("int").alias("grp"), pk.alias("item"), F.expr("timestamp_ntz'2000-01-01 00:00:00'").alias("at"), F.lit("base").alias("kind")),
+        "t2": t.snapshot.filter("pk % 4 = 2").select(F.concat(F.lit("c"), pk).alias("code"), F.lit(0).alias("n"), F.array(F.lit("base")).alias("tags")),
+        "t3": t.snapshot.filter("pk % 4 = 3"),
+    }
+    changes = _typed_log(t.changes)
+    changes.write.partitionBy("log_no").parquet(f"{root}/log")
+    day = datetime(2024, 1, 1)
+    sessions = runs.take_full(tables, f"{root}/full", "f", (1, log.FIRST_POS), day, seq=0, database="mall", keys=_TYPED_KEYS, exclude=["t3"])
+    for i, upto in enumerate(((3, 304), (8, 504)), 1):
+        sessions = materialize(sessions, "sessions")
+        sessions = sessions.unionByName(runs.take_increment(sessions, "f", f"{root}/log", f"{root}/inc{i}", f"i{i}", day + timedelta(hours=i), upto=upto, seq=i))
+    found = runs.restore_typed(materialize(sessions, "sessions"), "f", changes.schema)
+    return reduce(DataFrame.unionByName, [
+        found["t0"].select(F.lit("t0").alias("tbl"), F.col("id").cast("string").alias("k"), F.col("balance").cast("string").alias("a"), F.col("note").alias("b")),
+        found["t1"].select(F.lit("t1").alias("tbl"), F.col("item").cast("string").alias("k"), F.unix_micros(F.col("at").cast("timestamp")).cast("string").alias("a"), F.col("kind").alias("b")),
+        found["t2"].select(F.lit("t2").alias("tbl"), F.col("code").alias("k"), F.col("n").cast("string").alias("a"), F.array_join("tags", "|").alias("b")),
+    ])
+
+
+@query("restore_from_catalog", uses="changes snapshot", sql=f"""
+WITH replayed AS (SELECT * FROM changes WHERE db = 'mall' AND tbl IN ('t1', 't3') AND pk BETWEEN 20 AND 400 AND (log_no < 8 OR (log_no = 8 AND log_pos < 504))),
+base AS (SELECT * FROM snapshot WHERE pk % 4 IN (1, 3) AND pk BETWEEN 20 AND 400), {_LATEST} {_MERGED_BY_TABLE}""")
+def restore_from_catalog(t):
+    """Two tables and a range of keys, from the files that can hold them: the catalog's zones leave the others unopened."""
+    root, path = scratch_dir(t.spark, "catalogued"), _stored(t)
+    day = datetime(2024, 1, 1)
+    sessions = runs.take_full(_by_table(t.snapshot), f"{root}/full", "f", (1, log.FIRST_POS), day, seq=0, database="mall")
+    for i, upto in enumerate(((3, 304), (5, log.FIRST_POS), (8, 504)), 1):
+        sessions = materialize(sessions, "sessions")
+        sessions = sessions.unionByName(runs.take_increment(sessions, "f", path, f"{root}/store", f"i{i}", day + timedelta(hours=i), upto=upto, seq=i, catalog_key="pk"))
+    return _listed(runs.restore_from_catalog(
+        materialize(sessions, "sessions"), "f", f"{root}/store", "pk", ["val"], t.changes.schema, key_range=(20, 400), include=["t1", "t3"]))
+
+
 @query("restore_subset", uses="changes snapshot", sql=f"""
 WITH replayed AS (SELECT * FROM changes WHERE tbl IN ('t1', 't3')),
 base AS (SELECT * FROM snapshot WHERE pk % 4 IN (1, 3)), {_LATEST} {_MERGED}""")

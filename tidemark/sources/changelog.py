@@ -131,14 +131,18 @@ def range_files(files: DataFrame, start_file: str, end_file: str) -> DataFrame:
     return files.filter(F.col("log_no").between(ends[start_file], ends[end_file]))
 
 
-def write_increment(changes: DataFrame, start: Position, end: Position, path: str, *, full_id: str = "", db: str | None = None) -> DataFrame:
+def write_increment(
+    changes: DataFrame, start: Position, end: Position, path: str, *, full_id: str = "", db: str | None = None, include: Sequence[str] = (), exclude: Sequence[str] = (),
+) -> DataFrame:
     """Write the events of [start, end), one partition per log file, and the info record.
 
+    Of one database, and of the tables that the full's lists choose, where these are given.
+
     `rebalance` divides a large log file among several tasks and packs small ones, so
     neither decides the size of the files written. Returns the one-row info record.
     """
     spark = changes.sparkSession
-    events = scan_range(changes, start, end, db=db)
+    events = scan_range(changes, start, end, db=db, include=include, exclude=exclude)
     events.hint("rebalance", "log_no").write.partitionBy("log_no").parquet(f"{path}/log")
     record = {
         "database": db or "", "full_backup_file_id": full_id,

@@ -25,7 +25,7 @@ from tidemark.session import folder_exists, read_text, write_text
 THREADS = 4
 DROP_MODES = ("DROP", "TRUNCATE", "DELETE", "NONE", "FAIL")
 
-_MANIFEST = "name string, phase int, rows long, codec string, schema_json string, tables_include string, tables_exclude string"
+_MANIFEST = "name string, phase int, rows long, codec string, schema_json string, tables_include string, tables_exclude string, key_columns string"
 
 
 def write_snapshot(
@@ -41,12 +41,14 @@ def write_snapshot(
     shard_rows: int | None = None,
     shard_keys: Mapping[str, str] | None = None,
     position: tuple[int, int] | None = None,
+    keys: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Write the selected tables and return the manifest.
 
     shard_rows: most rows per file; row counts bound a shard whatever the keys look like
     shard_keys: table -> column; shards then hold ranges of it, in order
     position: where the log stood, and so where a chain of increments may begin
+    keys: table -> the columns that tell its rows apart, which a typed restore goes by
     """
     engines, shard_keys = dict(engines or {}), dict(shard_keys or {})
     names = [n for n in select_names(list(tables), include, exclude) if engines.get(n) not in set(ignore_engines)]
@@ -65,7 +67,7 @@ def write_snapshot(
         if shard_rows:
             writer = writer.option("maxRecordsPerFile", shard_rows)
         writer.parquet(f"{root}/data/{name}")
-        return name, phase_of[name], seen.get["rows"], codec, df.schema.json(), ",".join(include), ",".join(exclude)
+        return name, phase_of[name], seen.get["rows"], codec, df.schema.json(), ",".join(include), ",".join(exclude), json.dumps(list(keys[name])) if keys and name in keys else None
 
     written: list[tuple] = []
     for phase in (1, 2):
@@ -152,6 +154,14 @@ def read_tables(spark: SparkSession, root: str, include: Sequence[str] = (), exc
     return {row["name"]: _read(spark, root, row["name"], row["schema_json"]) for row in chosen}
 
 
+def read_layouts(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> dict[str, tuple[T.StructType, list[str]]]:
+    """Schema and key columns of the tables that a restore's lists choose; a table without a key is an error."""
+    chosen = keep_names_on_restore(read_manifest(spark, root), "name", include, exclude).collect()
+    if missing := [row["name"] for row in chosen if not row["key_columns"]]:
+        raise ValueError(f"the snapshot keeps no key of {missing[0]}")
+    return {row["name"]: (T.StructType.fromJson(json.loads(row["schema_json"])), json.loads(row["key_columns"])) for row in chosen}
+
+
 def load_tables(spark: SparkSession, tables: Mapping[str, DataFrame], target_db: str, *, drop_mode: str = "DROP", location: str | None = None) -> list[str]:
     """Write tables into `target_db` under a drop mode; returns their names."""
     mode = drop_mode.upper()
