@@ -26,22 +26,40 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id.
 
-    Documents without words stay. Of rows that share an id, equal ones count as one. Rows without an id stay.
+    Documents without words stay, and so do rows without an id. Rows that share an id are told apart by their sets of
+    shingles: one of a group's first id and set stays.
     """
     prepare(spark)
-    near = materialize(jaccard.near_duplicates(docs).where("doc_id is not null"), "near-duplicates")
-    followers = near.where("component_id <> doc_id").select("doc_id").distinct()
-    repeated = materialize(near.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = by_ids(docs, followers, "doc_id", "left_anti")
-    once = by_ids(kept, repeated, "doc_id", "left_anti")
-    return once.unionByName(by_ids(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    near = jaccard.near_duplicates(docs, names=True).where("doc_id is not null")
+    stays = F.col("set_name").isNull() | (F.col("leads") & (F.col("doc_id") == F.col("component_id")))
+    near = materialize(near.select("doc_id", "set_name", stays.alias("stays")), "near-duplicates")
+    by_id = near.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("any"))
+    kept = by_ids(docs, by_id.where("not any").select("doc_id"), "doc_id", "left_anti")
+    repeated = materialize(by_id.where("any and n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    number = free_name(docs, "row")
+    rows = materialize(by_ids(kept, repeated, "doc_id", "left_semi").withColumn(number, F.monotonically_increasing_id()), "repeated-rows")
+    names = jaccard.set_names(rows, id_col=number).withColumnRenamed("doc_id", number).join(rows.select(number, F.col("doc_id").alias("id")), number)
+    wordless = names.where("set_name is null").select(number)
+    firsts = names.groupBy("id", "set_name").agg(F.min(number).alias(number)).join(near.where("stays").select(F.col("doc_id").alias("id"), "set_name").distinct(), ["id", "set_name"])
+    chosen = materialize(wordless.unionByName(firsts.select(number)), "repeated-kept")
+    return by_ids(kept, repeated, "doc_id", "left_anti").select(docs.columns).unionByName(by_ids(rows, chosen, number, "left_semi").select(docs.columns))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark; of rows that share an id, all go if one has a passage."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = materialize(found.where("n_hit > 0").select("doc_id").distinct(), "contaminated")
-    return by_ids(docs, hit, "doc_id", "left_anti").select(docs.columns)
+    """Documents without a passage of the benchmark. Rows that share an id are each judged by their own text."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    found = decontaminate.decontaminate(docs, benchmark)
+    by_id = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.expr("n_hit > 0")).alias("hits")), "contaminated")
+    kept = by_ids(docs, by_id.where("n = hits").select("doc_id"), "doc_id", "left_anti")
+    mixed = by_id.where("hits > 0 and hits < n").select("doc_id")
+    if mixed.isEmpty():
+        return kept.select(docs.columns)
+    number = free_name(docs, "row")
+    rows = materialize(by_ids(kept, mixed, "doc_id", "left_semi").withColumn(number, F.monotonically_increasing_id()), "mixed-rows")
+    hit = materialize(decontaminate.decontaminate(rows, benchmark, id_col=number).where("n_hit > 0").select(F.col("doc_id").alias(number)), "mixed-hits")
+    return by_ids(kept, mixed, "doc_id", "left_anti").select(docs.columns).unionByName(by_ids(rows, hit, number, "left_anti").select(docs.columns))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
