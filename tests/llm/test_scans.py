@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import pii, secrets
 from tidemark.llm.queries import op7_pii, op8_secrets
+from tidemark.llm.spans import unblocked
 
 SF = "/root/testdata/sf0.001"
 
@@ -117,13 +120,16 @@ def test_strict_secrets(spark, seed):
 
 
 def test_ownership(spark):
-    live, copied, often = ("sk_live_" + c * 3 + "a1B2c3D4e5F6g7H8" for c in "xyz")
+    live, copied, often, hot = ("sk_live_" + c * 3 + "a1B2c3D4e5F6g7H8" for c in "wxyz")
     rows = [(1, f"key {live} and {copied}", "a"), (2, copied, "b"), (3, copied, "c"), (4, f"token={'q' * 8}", "a")]
-    rows += [(10 + i, often, "a") for i in range(30)] + [(10, often, "a")] * 3
+    rows += [(10 + i, often, "a") for i in range(20)] + [(10, often, "a")] * 3 + [(100 + i, hot, "b") for i in range(20_000)] + [(50, hot, "c")]
     got = {}
     for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
         got.setdefault(r["doc_id"], []).append([(s["kind"], s["n_documents"], s["n_owners"], s["verdict"]) for s in r["secrets"]])
-    assert got[1] == [[("prefixed", 1, 1, "live")]] and got[2] == [[]] and got[4] == [[("assign", 1, 1, "live")]] and got[10] == [[]] * 4
+    assert got[1] == [[("prefixed", 1, 1, "live")]] and got[2] == [[]] and got[4] == [[("assign", 1, 1, "live")]]
+    # what one owner has stays, however many of its documents hold it
+    assert got[10] == [[("prefixed", 20, 1, "live")]] * 4 and got[29] == [[("prefixed", 20, 1, "live")]]
+    assert got[100] == got[20_099] == got[50] == [[("prefixed", 20_001, 2, "live")]]
 
 
 def pem(key, gap="\n", end=True):
@@ -154,6 +160,46 @@ def test_long_runs_are_candidates(spark):
     assert got == {n: [(2, 2 + n, "random")] for n in runs} | {1: []}
 
 
+def plain_unblocked(spans):
+    return sorted(c for c in spans if c[4] or not any((b[4] or b[1] < c[1]) and b[0] < c[2] and c[0] < b[2] for b in spans))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overlaps(spark, seed):
+    rnd, rows = random.Random(seed), []
+    for i in range(60):
+        spans = []
+        for _ in range(rnd.choice([0, 1, 2, 5, 40])):
+            start = rnd.randrange(80)
+            spans.append((start, rnd.randrange(5), start + rnd.randint(1, 9), "k", rnd.random() < 0.3))
+        rows.append((i, spans))
+    df = spark.createDataFrame(rows, "id int, spans array<struct<start: long, rank: int, end: long, kind: string, base: boolean>>")
+    for r in df.withColumn("free", unblocked(F.col("spans"), 5)).collect():
+        assert sorted(map(tuple, r["free"])) == plain_unblocked(list(map(tuple, r["spans"])))
+
+
+HOSTILE = {
+    "mails": "a@b.co " * 30_000, "spelled": "a[at]b" + "[dot]c" * 160_000, "prefixed": "ghp_abcdefghijk0123456AB " * 8_000, "spelled mails": "a [at] b [dot] com " * 10_000,
+    "headers": "-----BEGIN PRIVATE KEY-----" * 37_000, "blanks": " " * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_texts_take_seconds(spark, name):
+    """Steps that grow with the square of the spans took minutes on these."""
+    df = spark.createDataFrame([(1, HOSTILE[name], "a")], "doc_id long, text string, source string")
+    model = pii.Model({"kind=email_spelled": 1.0}, {})
+    start = time.time()
+    found = pii.find(df, model).collect()[0]["pii"]
+    middle = time.time()
+    kept = secrets.scan(df).collect()[0]["secrets"]
+    assert max(middle - start, time.time() - middle) < 60
+    assert [(s["start"], s["rank"], s["end"], s["kind"]) for s in found if s["base"]] == plain_pii(HOSTILE[name])
+    assert [(s["start"], s["rank"], s["end"], s["kind"]) for s in kept if s["base"]] == plain_secrets(HOSTILE[name])
+    if name == "mails":
+        assert pii.redact(df, model).collect()[0]["text"] == "[EMAIL] " * 30_000
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert pii.find(none).collect() == [] and secrets.scan(none).collect() == []

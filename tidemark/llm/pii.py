@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.cluster import free_name
-from tidemark.llm.spans import matches, rendered, sha
+from tidemark.llm.spans import bound, cut_blocks, matches, part, rendered, running, sha, unblocked
 
 #: the order of kinds in results; the first four are the strict ones
 KINDS = ("email", "ip", "card", "phone", "email_spelled", "iban", "national_id", "phone_local")
@@ -31,7 +31,7 @@ PATTERNS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    "email_spelled": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,63}+)+", None),
+    "email_spelled": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,63}+)++", None),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None),
     "national_id": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
     "phone_local": (r"(?<![0-9A-Za-z+.(-])\(?0[0-9]{1,4}\)?[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,4}(?![0-9])", None),
@@ -216,9 +216,7 @@ def decided(found: Column, model: Model) -> Column:
     bar = math.log(DECIDE / (1 - DECIDE))
     kept = F.filter(found, lambda c: c["base"] | (logit(c) >= bar))
     # where spans overlap, strict ones and then the kinds listed first prevail over added ones
-    return F.transform(F.array(kept), lambda k: F.filter(k, lambda c: c["base"] | ~F.exists(
-        k, lambda b: (b["base"] | (b["rank"] < c["rank"])) & (b["start"] < c["end"]) & (c["start"] < b["end"]),
-    )))[0]
+    return unblocked(kept, len(KINDS))
 
 
 def _short(spans: Column) -> Column:
@@ -255,13 +253,17 @@ def redact(docs: DataFrame, model: Model | None = None, *, text_col: str = "text
     A null text stays null. `n_chars`, if there, is the new length.
     """
     text, name = F.col(text_col), free_name(docs, "pii")
-    pieces = F.aggregate(
-        F.col(name), F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
-        lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"),
-        )),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, (a["at"] + 1).cast("int"), F.length(text))),
-    )
+
+    def replaced(x: Column) -> Column:
+        # up to where the text is done with before each span; one that begins there or later stands for itself
+        def told(s: Column, i: Column) -> Column:
+            done = F.coalesce(F.get(x["ends"], i - 1), F.lit(0))
+            return F.when(s["start"] < done, "").otherwise(F.concat(part(x["blocks"], done, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+        tail = part(x["blocks"], F.element_at(x["ends"], -1), F.length(text).cast("long"))
+        return F.concat(F.array_join(F.transform(x["spans"], told), ""), tail)
+
+    ends = running(F.transform(F.col(name), lambda s: s["end"]), F.greatest)
+    pieces = bound(F.struct(F.col(name).alias("spans"), ends.alias("ends"), cut_blocks(text).alias("blocks")), replaced)
     out = find(docs, model, text_col=text_col, name=name).withColumn(text_col, F.when(F.size(name) > 0, pieces).otherwise(text)).drop(name)
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out

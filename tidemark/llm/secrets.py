@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.spans import matches, rendered, sha
+from tidemark.llm.spans import matches, rendered, sha, unblocked
 from tidemark.session import materialize
 
 #: the order of kinds in results; the first three are the strict ones
@@ -40,8 +40,6 @@ PATTERNS = {
 HEADER = len("-----BEGIN PRIVATE KEY-----")
 #: a value that this many owners or more have is an example that was copied
 COPIED_OWNERS = 3
-#: and one with this many documents for each owner
-COPIED_DOCUMENTS = 20
 #: different characters that a loose candidate needs at least, as a share of its length, and in all
 MIXED = 12
 
@@ -106,7 +104,8 @@ def ownership(spread: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text") -> DataFrame:
     """(row, doc_id, secrets) of every row; a secret is (start, rank, end, kind, base, n_documents, n_owners, verdict).
 
-    The verdict is `copied` or `live`. A null or empty text has none, and a null id stays; a repeated row with the same
+    The verdict is `copied` where COPIED_OWNERS or more have the value, else `live`, however many documents of one owner
+    hold it. A null or empty text has none, and a null id stays; a repeated row with the same
     id is one document.
     """
     rows = docs.select(
@@ -116,18 +115,17 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source",
     kept = materialize(rows, "secrets")
     each = kept.where(F.size("found") > 0).select("row", "doc_id", "owner", F.explode("found").alias("c"))
     known = ownership(each.select(F.col("c.hash").alias("hash"), "owner", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row"))).alias("document")))
-    copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_documents") >= COPIED_DOCUMENTS * F.col("n_owners"))
-    judged = each.withColumn("hash", F.col("c.hash")).join(known, "hash").withColumn("verdict", F.when(copied, "copied").otherwise("live"))
+    judged = each.withColumn("hash", F.col("c.hash")).join(known, "hash").withColumn("verdict", F.when(F.col("n_owners") >= COPIED_OWNERS, "copied").otherwise("live"))
     judged = judged.where(F.col("c.base") | (F.col("verdict") == "live"))
     secret = F.struct(*(F.col(f"c.{x}").alias(x) for x in ("start", "rank", "end", "kind", "base")), "n_documents", "n_owners", "verdict")
     by_row = judged.groupBy("row").agg(F.collect_list(secret).alias("secrets"))
     kind = by_row.schema["secrets"].dataType.simpleString()
     # where spans overlap, strict ones and then the kinds listed first prevail over others
     # a key is hidden by what covers its header, not by what looks strict in its lines
-    lone = F.array_sort(F.filter("secrets", lambda s: s["base"] | ~F.exists(
-        "secrets", lambda b: (b["base"] | (b["rank"] < s["rank"])) & (b["start"] < s["end"]) & (s["start"] < b["end"])
-        & ((s["kind"] != "private_key") | (b["start"] < s["start"] + HEADER)),
-    )))
+    def until(s: Column) -> Column:
+        return F.when(s["kind"] == "private_key", F.least(s["end"], s["start"] + HEADER)).otherwise(s["end"])
+
+    lone = F.array_sort(unblocked(F.col("secrets"), len(KINDS), until))
     return kept.select("row", "doc_id").join(by_row, "row", "left").withColumn("secrets", F.coalesce(lone, F.expr(f"cast(array() as {kind})")))
 
 
