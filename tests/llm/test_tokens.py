@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm.tokens import byte_of, count_tokens, encoder
+from tidemark.llm.tokens import LONG_SPACE, byte_of, count_tokens, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SPECIAL = "<|endoftext|>"
@@ -81,3 +81,9 @@ def test_a_very_long_text(spark, library):
 
 def test_no_rows(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_very_long_white_space():
+    own, library = encoder(PATH), Tokenizer.from_file(PATH)
+    for text in ("x" + " " * 1_000_000 + "y", "\n" * 1_000_000, " " * (LONG_SPACE - 1) + "a", "a b " + "\t" * LONG_SPACE + "c<|endoftext|> d"):
+        assert own.ids(text) == library.encode(text, add_special_tokens=False).ids

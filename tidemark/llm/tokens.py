@@ -2,8 +2,9 @@
 
 The vocabulary file (a `tokenizers` JSON of the byte-level kind) is a parameter. Its merges are run by `tiktoken`,
 which is about five times as fast. The two agree: every token of the vocabulary encodes to itself, so a merge by rank
-never joins a pair the file has no merge for, and both split words by one pattern (both facts are tests). The file's
-special strings are cut out first, as the library does by default. Where chunks are spliced, the words are the library's.
+never joins a pair the file has no merge for, and both split words by one pattern (both facts are tests). Its pattern
+fails on very long white space; texts with such are left to `tokenizers`. The file's special strings are cut out first,
+as the library does by default. Where chunks are spliced, the words are the library's.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: a match can still change if it ends so close to where a chunk was cut: "'re" may stand there as "'r"
 UNSETTLED = 4
+#: white space of this many characters is left to the library: the other one's pattern runs out of stack at about ten times as many
+LONG_SPACE = 100_000
+_SPACE = re.compile(r"\s+")
 
 
 def byte_of() -> dict[str, int]:
@@ -47,10 +51,14 @@ class Encoder:
         alphabet = byte_of()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self._bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self._library = Tokenizer.from_file(path)
+        self._split = self._library.pre_tokenizer.pre_tokenize_str
         self._cut = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
 
     def ordinary(self, text: str) -> list[int]:
+        """Ids of a text without special strings."""
+        if len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in _SPACE.finditer(text)):
+            return self._library.encode(text, add_special_tokens=False).ids
         return self._bpe.encode_ordinary(text)
 
     def word_starts(self, text: str) -> list[int]:
