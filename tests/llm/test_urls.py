@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ def test_bayes_agrees_with_plain_counts(spark):
     n = {v: [0] * U.SLOTS for v in ("allow", "block")}
     seen = {"allow": 0, "block": 0}
     for host, path in rows:
-        verdict = U.rule_for(host, path, U._by_host(U.RULES))[1]
+        verdict = U.rule_for(host, path, U.ByHost(U.RULES))[1]
         if verdict:
             seen[verdict] += 1
             for s in U.url_slots(host, path, segmenter):
@@ -113,3 +115,27 @@ def test_hosts_are_split_as_by_the_whole_vocabulary(spark):
     segmenter = U.Segmenter(U.vocabulary(pages))
     for r in U.judge(pages).select("host", "host_words").distinct().collect():
         assert r["host_words"] == " ".join(U.host_words(r["host"], segmenter))
+
+
+def test_visible_text_is_found_in_one_pass():
+    rnd = random.Random(2)
+    pattern = re.compile(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    parts = ["<", ">", "<!--", "-->", "<script", "<script>", "</script>", "</SCRIPT >", "<style a=b>", "</style", "</style\n>", "a", " ", "<b>", "--", "!", "<scripts>"]
+    for _ in range(3000):
+        html = "".join(rnd.choices(parts, k=rnd.randint(0, 14)))
+        assert U.visible(html) == pattern.sub(" ", html), html
+    start = time.time()
+    for part in ("<!--", "<", "<script>", "<style", "<!-- >", "</script"):
+        U.visible(part * (1_000_000 // len(part)))
+    assert time.time() - start < 20
+
+
+def test_hostile_hosts(spark):
+    long = "ab" * 20_000
+    words = "word " * 3 + "w" * 40 + " " + "w" * 41 + " " + "x" * 33
+    pages = spark.createDataFrame([
+        (1, f"http://{long}.com/", words), (2, "http://" + "a." * 20_000 + "net/es/", words), (3, f"http://{'w' * 40}word{'x' * 33}.org/", words),
+    ], "page_id long, url string, html string")
+    start = time.time()
+    rows = {r["page_id"]: r for r in U.judge(pages).collect()}
+    assert time.time() - start < 120 and rows[2]["verdict"] == "block" and rows[3]["host_words"].split()[:3] == ["w" * 40, "word", "x" * 33]

@@ -28,13 +28,18 @@ RULES: tuple[Rule, ...] = (
 )
 #: letters that a word of the unigram model has at least
 SHORTEST_WORD = 2
+#: letters of a word that a host's substrings are looked up by; longer words are found by their first ones
+LOOKED_UP = 32
+#: substrings of hosts in a batch
+PIECES = 50_000
 #: slots that words of hosts and paths are hashed to
 SLOTS = 1 << 16
 #: words that a task counts before it hands them on
 FLUSH_WORDS = 500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TAGS = re.compile(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_HIDDEN = re.compile(r"(?i)<(script|style)\b")
+_CLOSED = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[^\W\d_]+|\d+")
 
@@ -48,10 +53,21 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, pattern, 1), _UPPER, _LOWER), F.regexp_extract(rest, pattern, 2)
 
 
-def rule_for(host: str, path: str, rules: dict[str, list[tuple[str, str]]]) -> tuple[str | None, str | None]:
+class ByHost(dict):
+    """Rules by host name: (what a path begins with, verdict); and the most labels that such a name has."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        super().__init__()
+        for verdict, rule in rules:
+            host, slash, path = rule.partition("/")
+            self.setdefault(host, []).append((slash + path, verdict))
+        self.deepest = max((name.count(".") + 1 for name in self), default=0)
+
+
+def rule_for(host: str, path: str, rules: ByHost) -> tuple[str | None, str | None]:
     """The longest rule that fits, and its verdict."""
     best = (None, None)
-    labels = host.split(".")
+    labels = host.rsplit(".", rules.deepest)
     for i in range(len(labels)):
         name = ".".join(labels[i:])
         for begin, verdict in rules.get(name, ()):
@@ -60,12 +76,34 @@ def rule_for(host: str, path: str, rules: dict[str, list[tuple[str, str]]]) -> t
     return best
 
 
-def _by_host(rules: tuple[Rule, ...]) -> dict[str, list[tuple[str, str]]]:
-    out: dict[str, list[tuple[str, str]]] = {}
-    for verdict, rule in rules:
-        host, slash, path = rule.partition("/")
-        out.setdefault(host, []).append((slash + path, verdict))
-    return out
+def visible(html: str) -> str:
+    """The text outside of tags, comments, scripts and styles, each of which leaves a blank, in one pass.
+
+    What is not closed hides no more than its own tag, and a lone `<` nothing.
+    """
+    out, at, unclosed = [], 0, set()
+    while (begin := html.find("<", at)) >= 0:
+        tag = html.find(">", begin)
+        if tag < 0:
+            break
+        end, found = tag + 1, _HIDDEN.match(html, begin, tag + 1)
+        name = found and found.group(1).lower()
+        if name in _CLOSED and name not in unclosed:
+            close = _CLOSED[name].search(html, end)
+            if close:
+                end = close.end()
+            else:
+                unclosed.add(name)
+        elif html.startswith("<!--", begin) and "!" not in unclosed:
+            close = html.find("-->", begin + 4)
+            if close >= 0:
+                end = close + 3
+            else:
+                unclosed.add("!")
+        out.append(html[at:begin])
+        at = end
+    out.append(html[at:])
+    return " ".join(out)
 
 
 class Segmenter:
@@ -132,7 +170,7 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
         for batch in batches:
             for html in batch.column(0).to_pylist():
-                held.update(_WORD.findall(_TAGS.sub(" ", html).lower()) if html else ())
+                held.update(_WORD.findall(visible(html).lower()) if html else ())
                 if len(held) > FLUSH_WORDS:
                     yield out()
                     held.clear()
@@ -155,18 +193,29 @@ def split_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, words) of every distinct host, by the counts (word, n) of all words.
 
     A host is split by the words that stand in it, which a join of its substrings finds; only the lengths that words
-    have are tried. Neither the driver nor a task holds the vocabulary.
+    have are tried. Words beyond LOOKED_UP letters are found by their first ones and then sought in the host, so the
+    substrings of a host are some for each of its letters. Neither the driver nor a task holds the vocabulary.
     """
     total = counts.agg(F.sum("n")).first()[0]
     hosts = hosts.select("host").distinct()
-    lengths = sorted(r[0] for r in counts.select(F.length("word")).distinct().collect())
+    lengths = [r[0] for r in counts.select(F.least(F.length("word"), F.lit(LOOKED_UP))).distinct().collect()]
 
     def pieces(batches) -> Iterator[pa.RecordBatch]:
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.string()), pa.array(held, pa.string())], ["host", "begin"])
+
+        at, held = [], []
         for batch in batches:
             for host in batch.column(0).to_pylist():
-                held = {part[i : i + size] for part in _PART.findall(host) for size in lengths if size <= len(part) for i in range(len(part) - size + 1)}
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(held), pa.string()), pa.array(list(held), pa.string())], ["host", "word"])
+                for size in lengths:
+                    own = {part[i : i + size] for part in set(_PART.findall(host)) for i in range(len(part) - size + 1)}
+                    held += own
+                    at += [host] * len(own)
+                    if len(held) > PIECES or len(host) * len(at) > 64 * PIECES:
+                        yield out()
+                        at, held = [], []
+        if held:
+            yield out()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +225,9 @@ def split_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(split, pa.list_(pa.string()))], ["host", "words"])
 
-    known = hosts.mapInArrow(pieces, "host string, word string").join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    begun = counts.withColumn("begin", F.left("word", F.lit(LOOKED_UP)))
+    found = hosts.mapInArrow(pieces, "host string, begin string").join(begun, "begin")
+    known = found.where((F.length("word") <= LOOKED_UP) | F.contains("host", "word")).groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     return hosts.join(known, "host", "left").select("host", "known").mapInArrow(run, "host string, words array<string>")
 
 
@@ -196,7 +247,7 @@ def fit(urls: DataFrame, words: dict[str, int] | None = None, rules: tuple[Rule,
 
     Hosts are split by `words` or, without them, come split as a third column.
     """
-    by_host = _by_host(rules)
+    by_host = ByHost(rules)
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         held: Counter[tuple[str, int]] = Counter()
@@ -239,7 +290,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "p
     split = materialize(split_hosts(urls, materialize(_counted(pages), "word-counts")), "split-hosts")
     urls = urls.join(split, "host")
     model = fit(urls.select("host", "path", "words"), rules=rules)
-    by_host = _by_host(rules)
+    by_host = ByHost(rules)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
