@@ -1,7 +1,9 @@
 """Document fingerprints by SpotSigs: chains of content words that follow common words.
 
-Each common word (an anchor) and the CHAIN content words after it are one signature; a fingerprint is the set of a
-text's signatures. Two fingerprints are as alike as their Jaccard ratio. Sets are compared within partitions by size.
+Each common word (an anchor) and the CHAIN content words after it are one signature, a spot; a fingerprint is the set of a
+text's spots. Texts of few spots also have the chains of any words. Two fingerprints are as alike as the Jaccard ratio of
+their spots, or, if one of them has too few, of their chains: a pair is always compared by one kind. Sets are compared
+within partitions by size.
 """
 
 from __future__ import annotations
@@ -9,17 +11,22 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from zlib import crc32
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 #: content words in a signature
 CHAIN = 3
-#: with fewer anchors than this every word is one
+#: with fewer spots than this a text is compared by the chains of all its words
 MIN_SPOTS = 4
+#: and texts of fewer than this keep those chains, so that neighbours on both sides of MIN_SPOTS have them
+KEPT_CHAINS = 16
+#: hex digits of a written signature
+DIGITS = 16
 #: fixed values: common words of the four languages
 ANCHORS = frozenset(
     "a an and are as at be by for from in is it of on or that the this to was were will with "
@@ -31,43 +38,55 @@ ANCHORS = frozenset(
 _WORD = re.compile(r"\w+")
 
 
-def signatures(text: str | None) -> set[int]:
-    """The signatures of a text as 32-bit numbers; none for an empty text, one at least for any other."""
+class Print(NamedTuple):
+    """Spots, and chains of any words where there are few spots; 64-bit numbers. Both are empty for an empty text only."""
+
+    spots: frozenset[int]
+    chains: frozenset[int]
+
+
+def signatures(text: str | None) -> Print:
     if not text:
-        return set()
+        return Print(frozenset(), frozenset())
     words = _WORD.findall(text.lower())
     content = [w for w in words if w not in ANCHORS]
-    out, k, spots = set(), 0, 0
+    spots, k = set(), 0
     for w in words:
         if w in ANCHORS:
             chain = content[k : k + CHAIN]
             if len(chain) == CHAIN:
-                spots += 1
-                out.add(crc32(f"{w} {' '.join(chain)}".encode()))
+                spots.add(xxh3_64_intdigest(f"{w} {' '.join(chain)}"))
         else:
             k += 1
-    if spots >= MIN_SPOTS:
-        return out
+    if len(spots) >= KEPT_CHAINS:
+        return Print(frozenset(spots), frozenset())
     if len(words) <= CHAIN:
-        return {crc32((" ".join(words) or text).encode())}
-    return {crc32(" ".join(words[i : i + CHAIN + 1]).encode()) for i in range(len(words) - CHAIN)}
+        return Print(frozenset(spots), frozenset({xxh3_64_intdigest(" ".join(words) or text)}))
+    return Print(frozenset(spots), frozenset(xxh3_64_intdigest(" ".join(words[i : i + CHAIN + 1])) for i in range(len(words) - CHAIN)))
 
 
-def written(signs: set[int]) -> str:
-    """A fingerprint as text: its sorted signatures, eight hex digits each."""
-    return np.sort(np.fromiter(signs, np.uint32, len(signs))).astype(">u4").tobytes().hex()
+def written(signs: Print) -> str:
+    """A fingerprint as text: its sorted spots, sixteen hex digits each, and, if it has them, its chains after a dot."""
+    spots, chains = (np.sort(np.fromiter(part, np.uint64, len(part))).astype(">u8").tobytes().hex() for part in signs)
+    return f"{spots}.{chains}" if chains else spots
 
 
-def likeness(a: set[int], b: set[int], at_least: float = 0.0) -> float:
-    """The Jaccard ratio, or 0 where the sizes alone show that it is below `at_least`. Two empty sets are alike."""
-    if not a and not b:
-        return 1.0
+def ratio(a: frozenset[int], b: frozenset[int], at_least: float = 0.0) -> float:
+    """The Jaccard ratio, or 0 where the sizes alone show that it is below `at_least`."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if len(small) < at_least * len(large):
+    if not large or len(small) < at_least * len(large):
         return 0.0
     both = len(small & large)
-    ratio = both / (len(a) + len(b) - both)
-    return ratio if ratio >= at_least else 0.0
+    found = both / (len(a) + len(b) - both)
+    return found if found >= at_least else 0.0
+
+
+def likeness(a: Print, b: Print, at_least: float = 0.0) -> float:
+    """How alike two fingerprints are. Equal ones are alike, also empty ones; an empty one and another are not."""
+    if a == b:
+        return 1.0
+    spots = min(len(a.spots), len(b.spots)) >= MIN_SPOTS or not a.chains or not b.chains
+    return ratio(a.spots, b.spots, at_least) if spots else ratio(a.chains, b.chains, at_least)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,37 +101,50 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """All pairs (a, b, likeness) of different non-empty fingerprints with a ratio of `threshold` or more, and each one's count.
+    """All pairs (a, b, likeness, copies_a, copies_b) of different non-empty fingerprints with a likeness of `threshold` or more.
 
-    Equal fingerprints are one row here (`a` < `b` are fingerprints), so copies make no pairs. Sizes fall into
-    partitions whose bounds grow by 1 / threshold: only neighbours can hold a pair. In a partition, a pair shares one of
-    the first (1 - threshold) parts of its signatures, rarest first, so that common chains are looked up by few texts.
+    Equal fingerprints are one row here (`a` < `b` are fingerprints) with the number of their copies, so copies make no
+    pairs. Sizes fall into partitions whose bounds grow by 1 / threshold: only neighbours can hold a pair. In a
+    partition, a pair shares one of the first (1 - threshold) parts of its signatures, rarest first, so that common
+    chains are looked up by few texts. Spots and chains are looked up apart, and each pair is found by its own kind.
     """
     sets = prints.where(F.col("fingerprint") != "").groupBy("fingerprint").agg(F.count("*").alias("copies"))
-    signs = F.expr("transform(sequence(0, char_length(fingerprint) div 8 - 1), i -> substring(fingerprint, i * 8 + 1, 8))")
-    sets = sets.withColumn("size", (F.length("fingerprint") / 8).cast("long"))
-    spread = sets.select("fingerprint", "size", F.explode(signs).alias("sign"))
-    counted = spread.groupBy("sign").agg(F.count("*").alias("n"))
-    by_rank = F.sort_array(F.collect_list(F.struct("n", "sign")))
-    ranked = spread.join(counted, "sign").groupBy("fingerprint", "size").agg(by_rank.alias("ranked"))
-    # the pair's overlap is at least threshold * the larger size
-    prefix = ranked.select(
-        "fingerprint", "size", F.expr(f"slice(ranked, 1, size - cast(ceil({threshold} * size) as int) + 1)").alias("prefix"),
-        F.floor(F.log("size") / math.log(1 / threshold) + 1e-9).alias("part"),
-    ).select("fingerprint", "size", "part", F.explode("prefix").alias("x")).select("fingerprint", "size", "part", F.col("x.sign").alias("sign"))
-    index = prefix.select(F.col("fingerprint").alias("a"), F.col("size").alias("size_a"), "part", "sign")
-    probe = prefix.select(F.col("fingerprint").alias("b"), F.col("size").alias("size_b"), F.explode(F.array("part", F.col("part") + 1, F.col("part") - 1)).alias("part"), "sign")
-    fits = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9)
-    return (
-        index.join(probe, ["part", "sign"]).where(fits).select("a", "b").distinct()
-        .withColumn("likeness", jaccard(F.col("a"), F.col("b"))).where(F.col("likeness") >= threshold)
-    )
+    part = F.split("fingerprint", "[.]")
+    spots, chains = part[0], F.coalesce(F.get(part, F.lit(1)), F.lit(""))
+    sets = sets.withColumn("spots", (F.length(spots) / DIGITS).cast("long")).withColumn("chains", (F.length(chains) / DIGITS).cast("long"))
+
+    def kind(name: str, signs: Column, least: int) -> DataFrame:
+        listed = F.transform(F.sequence(F.lit(0), (F.length(signs) / DIGITS).cast("int") - 1), lambda i: F.substr(signs, i * DIGITS + 1, F.lit(DIGITS)))
+        own = sets.where(F.col(name) >= least).withColumn("size", F.col(name))
+        spread = own.select("fingerprint", "size", "spots", "chains", F.explode(listed).alias("sign"))
+        counted = spread.groupBy("sign").agg(F.count("*").alias("n"))
+        by_rank = F.sort_array(F.collect_list(F.struct("n", "sign")))
+        ranked = spread.join(counted, "sign").groupBy("fingerprint", "size", "spots", "chains").agg(by_rank.alias("ranked"))
+        # the pair's overlap is at least threshold * the larger size
+        first = F.expr(f"slice(ranked, 1, size - cast(ceil({threshold} * size) as int) + 1)")
+        prefix = ranked.select("fingerprint", "size", "spots", "chains", F.explode(first).alias("x"), F.floor(F.log("size") / math.log(1 / threshold) + 1e-9).alias("part"))
+        return prefix.select("fingerprint", "size", "spots", "chains", "part", F.col("x.sign").alias("sign"))
+
+    def pairs(prefix: DataFrame, by_spots: bool) -> DataFrame:
+        index = prefix.select("part", "sign", *(F.col(c).alias(f"{c}_a") for c in ("fingerprint", "size", "spots", "chains")))
+        probe = prefix.select(F.explode(F.array("part", F.col("part") + 1, F.col("part") - 1)).alias("part"), "sign", *(F.col(c).alias(f"{c}_b") for c in ("fingerprint", "size", "spots", "chains")))
+        fits = (F.col("fingerprint_a") < F.col("fingerprint_b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9)
+        own = (F.least("spots_a", "spots_b") >= MIN_SPOTS) | (F.least("chains_a", "chains_b") == 0)
+        met = index.join(probe, ["part", "sign"]).where(fits & (own if by_spots else ~own))
+        met = met.select(F.col("fingerprint_a").alias("a"), F.col("fingerprint_b").alias("b")).distinct()
+        at = 0 if by_spots else 1
+        return met.withColumn("likeness", jaccard(F.split("a", "[.]")[at], F.split("b", "[.]")[at])).where(F.col("likeness") >= threshold)
+
+    found = pairs(kind("spots", spots, 1), True).unionByName(pairs(kind("chains", chains, 1), False))
+    for end in "ab":
+        found = found.join(sets.select(F.col("fingerprint").alias(end), F.col("copies").alias(f"copies_{end}")), end)
+    return found.select("a", "b", "likeness", "copies_a", "copies_b")
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """The ratio of two written fingerprints."""
+    """The ratio of two written sets."""
     def listed(x):
-        return F.transform(F.sequence(F.lit(0), (F.length(x) / 8).cast("int") - 1), lambda i: F.substr(x, i * 8 + 1, F.lit(8)))
+        return F.transform(F.sequence(F.lit(0), (F.length(x) / DIGITS).cast("int") - 1), lambda i: F.substr(x, i * DIGITS + 1, F.lit(DIGITS)))
 
     x, y = listed(a), listed(b)
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
@@ -171,7 +203,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def _compared(doc_id, text: str, signs: set[int], next_text: str, next_signs: set[int]) -> dict:
+def _compared(doc_id, text: str, signs: Print, next_text: str, next_signs: Print) -> dict:
     n = len(text) // 2
     edited = text[: len(text) - n] + next_text[:n]
     edited_signs = signatures(edited)
