@@ -79,3 +79,9 @@ def test_proximity(spark):
     docs = [(1, "alpha x x beta"), (2, "alpha x x x x beta"), (3, "beta alpha alpha"), (4, "alpha"), (5, None), (6, "beta")]
     got = dict(map(tuple, D.proximity(spark.createDataFrame(docs, "doc_id long, text string"), ["alpha", "Beta"], 3).collect()))
     assert set(got) == {1, 3}
+    # what is found in a document doesn't hang on others beside it
+    one = [(7, "a x x b x x c"), (8, "c x a b b x"), (9, "a b x"), (10, "x c")]
+    for others in ([], [(20, "a " * 50)], [(20, "c " * 50)], [(20, "b " * 50)]):
+        df = spark.createDataFrame(one + others, "doc_id long, text string").coalesce(1)
+        assert dict(map(tuple, D.proximity(df, ["a", "b", "c"], 3).collect())) == {8: 1}
+        assert dict(map(tuple, D.proximity(df, ["a", "b", "c"], 6).collect())) == {7: 1, 8: 1}

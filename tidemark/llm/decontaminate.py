@@ -160,18 +160,20 @@ class Shard:
         return window, begin
 
     def near(self, terms: np.ndarray, span: int) -> np.ndarray:
-        """Places of the rarest term with every other within `span` words in the same document."""
+        """Places of a term from which on all terms stand in one document, at most `span` words on.
+
+        Terms are tried rarest first, which only says how soon places are ruled out.
+        """
         number = self.number(terms)
         if (number < 0).any():
             return np.empty(0, np.int64)
         number = number[np.argsort(self.counts[number], kind="stable")]
-        place = self.places[self.starts[number[0]] : self.starts[number[0] + 1]]
-        for term in number[1:]:
+        place = np.unique(np.concatenate([self.places[self.starts[n] : self.starts[n + 1]] for n in number]))
+        for term in number:
             other = self.places[self.starts[term] : self.starts[term + 1]]
             doc = self.documents(place)
-            low = np.maximum(place - span, self.begins[doc])
-            high = np.minimum(place + span, self.begins[doc + 1] - 1 - GAP)
-            place = place[np.searchsorted(other, low) < np.searchsorted(other, high, "right")]
+            end = np.minimum(place + span + 1, self.begins[doc + 1] - GAP)
+            place = place[np.searchsorted(other, place) < np.searchsorted(other, end)]
         return place
 
 
@@ -275,7 +277,10 @@ def _answer(every: DataFrame) -> DataFrame:
 
 
 def proximity(docs: DataFrame, terms: list[str], span: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in which all terms stand within `span` words of the rarest one: (doc_id, n) with the places found."""
+    """Documents in which all terms stand at most `span` words apart: (doc_id, n), n places of a term where such a stretch begins.
+
+    What is found in a document hangs on it alone. Without terms nothing is found.
+    """
     asked = np.concatenate([w.hash for w in words(pa.array([" ".join(terms)]), ALNUM)])
     kind = docs.schema[id_col].dataType.simpleString()
 
