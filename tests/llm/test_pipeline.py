@@ -109,3 +109,20 @@ def test_odd_rows(spark, stage):
         assert [r["text"] for r in rows if r["doc_id"] is None] == ["no id [EMAIL]"] and len(rows) == len(ODD)
     elif stage is P.keep_clean:
         assert len(rows) == len(ODD)
+
+
+def test_rows_that_share_an_id_lose_no_text(spark):
+    a = " ".join(f"alpha{i}" for i in range(40))
+    b = a.replace("alpha", "beta")
+    rows = [(5, a), (5, b), (9, a + " end"), (3, b + " end"), (7, a + " end"), (7, ""), (7, "a b c d e f lone"), (8, a), (8, a), (2, "x y z"), (2, "X  y z"), (2, None), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0, 0, 0) for i, t in rows], SCHEMA).repartition(3)
+    kept = Counter((r["doc_id"], (r["text"] or "").lower().replace("  ", " ")) for r in P.keep_one_of_each_group(spark, docs, SF).collect())
+    assert kept == Counter([(5, a), (3, b + " end"), (7, ""), (7, "a b c d e f lone"), (2, "x y z"), (2, ""), (None, a)])
+
+
+def test_clean_rows_stay_beside_others_of_their_id(spark):
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"].split()) > 20)
+    rows = [(1, item), (1, "nothing of it here"), (2, item), (2, item), (3, "clean"), (3, None), (None, item), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0, 0, 0) for i, t in rows], SCHEMA).repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in P.keep_clean(spark, docs, SF).collect()), key=repr)
+    assert kept == sorted([(1, "nothing of it here"), (3, "clean"), (3, None), (None, "no id")], key=repr)

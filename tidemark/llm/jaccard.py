@@ -46,6 +46,8 @@ SPARE = 0.12
 FEW = 4
 #: copies that a task remembers, so that it indexes them once
 REMEMBERED = 200_000
+#: sets that share a shingle and are held against each other in one task
+LOT = 512
 #: bits of a sketch; sets of some thousand shingles are still told apart by so many
 SKETCH_BITS = 1024
 #: stands for a null id
@@ -305,27 +307,39 @@ def _across(elements: DataFrame, sets: DataFrame, tried: DataFrame) -> DataFrame
     their rarest: the smaller set among its first 1/9, the larger one among its first 1/5; the rest need no look-up.
     Shingles that one set alone has can't be common, and with the sketches they rule out most pairs unseen.
     """
-    held = elements.withColumn("n", F.count("*").over(Window.partitionBy("element"))).where("n > 1")
+    # counts are summed before the shuffle and written, so that the join on a frequent shingle can be split
+    counts = materialize(elements.groupBy("element").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-counts")
+    held = elements.join(counts, "element")
     rarest = Window.partitionBy("name").orderBy("n", "element")
     ranked = held.withColumn("rank", F.row_number().over(rarest)).withColumn("known", F.count("*").over(Window.partitionBy("name")))
     low, high = 100 + PERCENT, 2 * PERCENT
     # of the set's size - known shingles that it has alone, all come before the others in its order
     ranked = ranked.withColumn("place", F.col("rank") + F.col("size") - F.col("known")).withColumn("small", F.expr(f"place <= size - cast(ceil(size * {high} / {low}) as bigint) + 1"))
-    first = ranked.where(F.expr(f"place <= size - cast(ceil(size * {PERCENT} / 100) as bigint) + 1")).select("element", "name", "known", "small")
+    first = ranked.where(F.expr(f"place <= size - cast(ceil(size * {PERCENT} / 100) as bigint) + 1")).select("element", "name", "known", "small", "n")
     first = materialize(first.join(sets.select("name", "component"), "name"), "jaccard-rarest")
-    meeting = first.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("element")
+    meeting = materialize(first.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("element"), "jaccard-meeting")
     first = first.join(meeting, "element", "left_semi").join(sets.drop("component"), "name")
-    other = first.select("element", *(F.col(c).alias(f"{c}_b") for c in ("name", "size", "sketch", "known", "component")))
+    # a frequent shingle's sets are dealt over lots; the smaller ones of its pairs go to each of them
+    lots = F.ceil(F.col("n") / LOT).cast("int")
+    other = first.select("element", F.pmod(F.xxhash64("name"), lots).cast("int").alias("lot"), *(F.col(c).alias(f"{c}_b") for c in ("name", "size", "sketch", "known", "component")))
+    first = first.where("small").withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1)))
     order = F.struct("size", "name") < F.struct("size_b", "name_b")
     enough = low * F.least("known", "known_b") >= PERCENT * (F.col("size") + F.col("size_b"))
-    pairs = first.where("small").join(other, "element").where(order & (F.col("component") != F.col("component_b")) & enough & _near_in_size("size", "size_b") & _may_link("", "_b"))
+    pairs = first.join(other, ["element", "lot"]).where(order & (F.col("component") != F.col("component_b")) & enough & _near_in_size("size", "size_b") & _may_link("", "_b"))
     pairs = pairs.select(F.least("name", "name_b").alias("a"), F.greatest("name", "name_b").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def set_names(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, set_name) of every row: equal for texts of equal sets, null for texts without words."""
+    return _described(docs, id_col, text_col).select("doc_id", F.col("name").alias("set_name"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", names: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component is the smallest doc_id that links reach.
 
+    With `names` also `set_name`, and `leads`: whether the row's set is the first of its component by id and name.
+
     A text without words, or null, has no shingles and is alone. A text of fewer words than a shingle is one shingle.
     Repeated rows and equal texts link. A null doc_id stays null and never names a component that has another id.
     """
@@ -349,6 +363,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         links = links.unionByName(materialize(_verified(more, texts), "jaccard-links"))
         found = materialize(components(links), "jaccard-components")
     named = classes.join(found, classes["name"] == found["node"], "left").withColumn("component", F.coalesce("component", "name"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = named.select("name", "component").join(least, "component").select("name", "component_id")
-    return described.join(by_class, "name", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "name")))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), first.alias("first"))
+    by_class = named.select("name", "component").join(least, "component").select("name", "component_id", (F.col("first.name") == F.col("name")).alias("leads"))
+    rows = described.join(by_class, "name", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    more = [F.col("name").alias("set_name"), F.coalesce("leads", F.lit(False)).alias("leads")] if names else []
+    return rows.select("doc_id", F.col("size").alias("n_shingles"), "component_id", *more)
