@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import diff
+from tidemark.operators import diff, digesttree
 
 
 def record(spark, schema, *rows):
@@ -137,3 +137,29 @@ def test_keys_of_several_columns(spark):
     for how in ("direct", "digest"):
         rows = diff.table_diff(old, new, ["k", "l"], include_removed=True, strategy=how).collect()
         assert sorted(map(tuple, rows)) == [(1, "b", "changed", "v", "5"), (2, "a", "removed", None, None), (3, "a", "added", "v", "3")]
+
+
+def test_digest_trees_lead_to_what_differs(spark, tmp_path):
+    old = spark.range(3000).select("id", (F.col("id") % 7).cast("int").alias("x"), F.array(F.col("id"), F.lit(None).cast("long")).alias("list"))
+    changed = F.when(F.col("id").isin(5, 900), F.lit(None).cast("int")).otherwise(F.col("x"))
+    new = old.filter("id <> 77").withColumn("x", changed).unionByName(old.limit(1).withColumn("id", F.lit(9000).cast("long")))
+    roots = [str(tmp_path / n) for n in ("old", "new", "same", "empty", "other")]
+    for df, root in zip((old, new, old.repartition(3), old.limit(0)), roots[:4]):
+        digesttree.write_with_tree(df, root, "id", leaves=100)
+    leaves = digesttree.differing_leaves(spark, *roots[:2])
+    assert 1 <= len(leaves) <= 4 and digesttree.differing_leaves(spark, roots[0], roots[2]) == []
+    told = sorted(map(tuple, diff.table_diff(old, new, "id", include_removed=True).collect()), key=repr)
+    for root in roots[:2]:  # leaves that are alike can't even be read
+        for file in (tmp_path / root / "rows").rglob("*.parquet"):
+            if int(file.parent.name.removeprefix("_leaf=")) not in leaves:
+                file.write_bytes(b"junk")
+                file.with_name(f".{file.name}.crc").unlink()
+    got = sorted(map(tuple, digesttree.diff_with_tree(spark, *roots[:2], "id", include_removed=True).collect()), key=repr)
+    assert got == told and len(told) == 5
+    assert tuple(digesttree.verify_with_tree(spark, roots[2], roots[0]).first()) == (3000, 3000, True)
+    assert tuple(digesttree.verify_with_tree(spark, roots[1], roots[0]).first()) == (3000, 3000, False)
+    assert tuple(digesttree.verify_with_tree(spark, roots[3], roots[0]).first()) == (0, 3000, False)
+    assert digesttree.diff_with_tree(spark, roots[3], roots[2], "id").count() == 6000
+    digesttree.write_with_tree(old, roots[4], "id", leaves=10)
+    with pytest.raises(ValueError, match="leaves"):
+        digesttree.differing_leaves(spark, roots[0], roots[4])

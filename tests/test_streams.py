@@ -1,3 +1,5 @@
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,45 @@ def test_live_image_ignores_repeats_and_order(spark, t):
         LiveImage(spark, scratch_dir(spark, "none"), "pk", ["val"]).read()
 
 
+def test_folds_leave_untouched_buckets_alone(spark, monkeypatch):
+    root = scratch_dir(spark, "image")
+    rows = spark.range(4000).select((F.col("id") % 50).cast("int").alias("a"), F.col("id").alias("b"), F.lit("base").alias("val"))
+    image = LiveImage(spark, root, ["a", "b"], ["val"], compact_every=1, buckets=16)
+    image.load_base(rows)
+
+    def batch(n, ids, op="U"):
+        return spark.createDataFrame([(i % 50, i, f"v{n}", op, 1, 10 * n, 0) for i in ids], "a int, b long, val string, op string, log_no int, log_pos long, sub int")
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (pathlib.Path(root) / "base").rglob("*.parquet")}
+
+    before, told = files(), {r["b"]: "base" for r in rows.collect()}
+    image.apply(batch(0, [7]), 0)  # one key: into a tier of its bucket, no base is written
+    assert files() == before and len(list((pathlib.Path(root) / "tier").rglob("*.parquet"))) == 1
+    told[7] = "v0"
+    one = next(b for b, n in image._state()["tier"].items())
+    some = [r["b"] for r in rows.withColumn("bucket", image._bucket()).filter(F.col("bucket") == int(one)).limit(60).collect()]
+    image.apply(batch(1, some), 1)  # a share of that bucket: a new base for it alone
+    told |= {i: "v1" for i in some}
+    state = image._state()
+    assert not state["tier"] and {b for b, (upto, _) in state["base"].items() if upto == 1} == {one}
+    assert {p: t for p, t in files().items() if f"bucket={one}/" not in str(p)} == {p: t for p, t in before.items() if f"bucket={one}/" not in str(p)}
+    image.apply(batch(2, some[:5], "D"), 2)
+    for i in some[:5]:
+        del told[i]
+    assert not (pathlib.Path(root) / "base" / "upto=-1" / f"bucket={one}").exists()  # replaced, and a fold ago
+    assert not (pathlib.Path(root) / "delta" / "batch=1").exists()
+    image.apply(batch(0, [some[0]]), 3)  # older than the delete
+    again = LiveImage(spark, root, ["a", "b"], ["val"], buckets=5)
+    assert {r["b"]: r["val"] for r in again.read().collect()} == told and again.buckets == 16
+    monkeypatch.setattr("tidemark.streaming.image.BROADCAST_KEYS", 0)
+    image.apply(batch(4, []), 4)
+    assert {r["b"]: r["val"] for r in image.read().collect()} == told
+    empty = LiveImage(spark, scratch_dir(spark, "image"), "b", ["val"])
+    empty.load_base(rows.limit(0))
+    assert empty.read().collect() == []
+
+
 @pytest.mark.parametrize("stable,poll,rounds", [(2, 0.5, 4), (2, 3, 2), (5, 2, 3), (0, 1, 2)])
 def test_stable_rounds(stable, poll, rounds):
     assert completion.stable_rounds(stable, poll) == rounds

@@ -35,8 +35,14 @@ def record(spark: SparkSession, **values) -> DataFrame:
 
 
 def take_full(tables: Mapping[str, DataFrame], path: str, run_id: str, position: Position, moment: datetime, **options) -> DataFrame:
-    """Write a snapshot that keeps its log position, and return its record."""
+    """Write a snapshot that keeps its log position, and return its record.
+
+    Tables that were read at positions of their own come with `positions`; `position` is then the
+    first of these. A restore rolls every table forward from its own one to a common cut.
+    """
     spark = next(iter(tables.values())).sparkSession
+    if options.get("positions") and min(options["positions"].values()) < position:
+        raise ValueError(f"a table was read before {position}, where increments will begin")
     named = {k: options.pop(k) for k in ("account_id", "database", "seq") if k in options}
     snapshots.write_snapshot(spark, tables, path, position=position, **options)
     ends = {"end_no": position[0], "end_pos": position[1]}
@@ -100,6 +106,12 @@ def _own_events(spark: SparkSession, events: DataFrame, full: Row, include: Sequ
         events = events.filter(F.col("db") == database)
     events = keep_names(events, "tbl", *snapshots.selection(spark, full["backupDir"]))
     events = keep_names_on_restore(events, "tbl", include, exclude)
+    starts = snapshots.read_positions(spark, full["backupDir"])
+    if not starts.isEmpty():
+        # what a table already held when it was read is not replayed; a row for each table
+        no, pos = F.col("start_no"), F.col("start_pos")
+        after = no.isNull() | (F.col("log_no") > no) | ((F.col("log_no") == no) & (F.col("log_pos") >= pos))
+        events = events.join(starts, "tbl", "left").filter(after).select(events.columns)
     return events if moment is None else events.filter(F.col("event_ts") <= F.lit(moment).cast("timestamp_ntz"))
 
 

@@ -236,6 +236,19 @@ def restore_modes(t):
     return t.spark.createDataFrame(results, "mode string, outcome string, rows long")
 
 
+@query("shard_exact", sql="""
+WITH numbered AS (SELECT o_custkey, (row_number() OVER (ORDER BY o_custkey) - 1) // 1000 AS shard FROM (
+  SELECT CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey END AS o_custkey FROM orders) x)
+SELECT shard, count(*) AS rows, min(o_custkey) AS low, max(o_custkey) AS high, CAST(1 AS BIGINT) AS files FROM numbered GROUP BY shard""")
+def shard_exact(t):
+    """Shards of exactly 1000 rows in order of a key that a third of the rows share."""
+    rows = t.orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(7).cast("long")).otherwise(F.col("o_custkey")))
+    shards = snapshots.write_exact_shards(rows, scratch_dir(t.spark, "shards"), "o_custkey", 1000)
+    marked = shards.withColumn("file", F.col("_metadata.file_path"))
+    return marked.groupBy(F.col("shard").cast("long").alias("shard")).agg(
+        F.count("*").alias("rows"), F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"), F.count_distinct("file").alias("files"))
+
+
 # ---- session store
 
 def _messy(t):

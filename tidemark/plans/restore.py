@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import catalog, diff, runs, typed
+from tidemark.operators import catalog, diff, digesttree, runs, typed
 from tidemark.operators import chain as chains
 from tidemark.operators import restore as ops
 from tidemark.operators.diff import verify_tables
@@ -270,15 +270,34 @@ def _stored_runs(t) -> tuple[DataFrame, str]:
 _MERGED_BY_TABLE = f"SELECT concat('t', CAST(pk % 4 AS VARCHAR)) AS tbl, pk, val FROM ({_MERGED}) m"
 
 
-@query("restore_stored", uses="changes snapshot", sql=f"""
+_TO_THE_CUT = f"""
 WITH replayed AS (SELECT * FROM changes WHERE db = 'mall' AND (log_no < 8 OR (log_no = 8 AND log_pos < 504))),
-base AS (SELECT * FROM snapshot), {_LATEST} {_MERGED_BY_TABLE}""")
+base AS (SELECT * FROM snapshot), {_LATEST} {_MERGED_BY_TABLE}"""
+
+
+@query("restore_stored", uses="changes snapshot", sql=_TO_THE_CUT)
 def restore_stored(t):
     """All tables of a database, from the stored full and its stored increments."""
     sessions, _ = _stored_runs(t)
     return _listed(runs.restore_tables(sessions, "f", "pk", ["val"], t.changes.schema))
 
 
+@query("restore_consistent_cut", uses="changes snapshot", sql=_TO_THE_CUT)
+def restore_consistent_cut(t):
+    """Tables that were read at four positions come to one: each is rolled forward from its own."""
+    root, path, day = scratch_dir(t.spark, "cut"), _stored(t), datetime(2024, 1, 1)
+    tables, positions = {}, {}
+    for i, (name, base) in enumerate(_by_table(t.snapshot).items()):
+        positions[name] = (2 + i, 404)
+        seen = t.changes.filter(f"db = 'mall' AND tbl = '{name}' AND (log_no < {2 + i} OR (log_no = {2 + i} AND log_pos < 404))")
+        tables[name] = materialize(ops.merge(base, ops.latest_image(seen, "pk", ["val"]), "pk", ["val"]), "state")
+    sessions = runs.take_full(tables, f"{root}/full", "f", (2, 404), day, seq=0, database="mall", positions=positions)
+    for i, upto in enumerate(((3, 304), (8, 504)), 1):
+        sessions = materialize(sessions, "sessions")
+        sessions = sessions.unionByName(runs.take_increment(sessions, "f", path, f"{root}/inc{i}", f"i{i}", day + timedelta(hours=i), upto=upto, seq=i))
+    return _listed(runs.restore_tables(materialize(sessions, "sessions"), "f", "pk", ["val"], t.changes.schema))
+
+
 @query("restore_stored_upto", uses="changes snapshot", sql=f"""
 WITH replayed AS (SELECT * FROM changes WHERE db = 'mall' AND log_no < 5), base AS (SELECT * FROM snapshot WHERE pk % 4 <> 2), {_LATEST}
 SELECT * FROM ({_MERGED_BY_TABLE}) x WHERE tbl <> 't2'""")
@@ -425,7 +444,7 @@ def verify_restore(t):
     return verify_tables(ops.merge(half, rest, "pk", ["val"]), whole)
 
 
-@query("table_diff", uses="orders_v1 orders_v2", sql="""
+_DIFF = """
 WITH both_sides AS (
   SELECT b.o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' ELSE 'changed' END AS change,
          a.o_custkey AS a1, CAST(b.o_custkey AS VARCHAR) AS b1, a.o_orderstatus AS a2, b.o_orderstatus AS b2,
@@ -436,11 +455,23 @@ SELECT o_orderkey, change, 'o_custkey' AS field, b1 AS new_value FROM both_sides
 UNION ALL SELECT o_orderkey, change, 'o_orderstatus', b2 FROM both_sides WHERE a2 IS DISTINCT FROM b2
 UNION ALL SELECT o_orderkey, change, 'o_totalprice', b3 FROM both_sides WHERE CAST(a3 AS VARCHAR) IS DISTINCT FROM b3
 UNION ALL SELECT o_orderkey, change, 'o_orderdate', strftime(b4, '%Y-%m-%d %H:%M:%S') FROM both_sides WHERE a4 IS DISTINCT FROM b4
-UNION ALL SELECT o_orderkey, change, 'o_orderpriority', b5 FROM both_sides WHERE a5 IS DISTINCT FROM b5""")
+UNION ALL SELECT o_orderkey, change, 'o_orderpriority', b5 FROM both_sides WHERE a5 IS DISTINCT FROM b5"""
+
+
+@query("table_diff", uses="orders_v1 orders_v2", sql=_DIFF)
 def table_diff(t):
     return diff.table_diff(t.orders_v1, t.orders_v2, "o_orderkey")
 
 
+@query("table_diff_tree", uses="orders_v1 orders_v2", sql=_DIFF)
+def table_diff_tree(t):
+    """Both versions stored with their digest trees; only leaves that differ are read."""
+    root = scratch_dir(t.spark, "trees")
+    for name, df in (("v1", t.orders_v1), ("v2", t.orders_v2)):
+        digesttree.write_with_tree(df, f"{root}/{name}", "o_orderkey", leaves=64)
+    return digesttree.diff_with_tree(t.spark, f"{root}/v1", f"{root}/v2", "o_orderkey")
+
+
 # rows with arrays, structs and maps; in the second table a null is added or takes a value's place
 def _nested(orders: DataFrame, changed: bool) -> DataFrame:
     key, owner = F.col("o_orderkey"), F.col("o_custkey").cast("int")

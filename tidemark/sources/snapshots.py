@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.select import UNVERSIONED_ENGINE, keep_names_on_restore, select_names
-from tidemark.session import folder_exists, read_text, write_text
+from tidemark.session import folder_exists, materialize, read_text, write_text
 
 # fixed values: tables written at once; drop modes of a restore
 THREADS = 4
 DROP_MODES = ("DROP", "TRUNCATE", "DELETE", "NONE", "FAIL")
 
-_MANIFEST = "name string, phase int, rows long, codec string, schema_json string, tables_include string, tables_exclude string, key_columns string"
+_MANIFEST = "name string, phase int, rows long, codec string, schema_json string, tables_include string, tables_exclude string, key_columns string, start_no int, start_pos long"
 
 
 def write_snapshot(
@@ -42,6 +42,7 @@ def write_snapshot(
     shard_keys: Mapping[str, str] | None = None,
     position: tuple[int, int] | None = None,
     keys: Mapping[str, Sequence[str]] | None = None,
+    positions: Mapping[str, tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Write the selected tables and return the manifest.
 
@@ -49,6 +50,7 @@ def write_snapshot(
     shard_keys: table -> column; shards then hold ranges of it, in order
     position: where the log stood, and so where a chain of increments may begin
     keys: table -> the columns that tell its rows apart, which a typed restore goes by
+    positions: table -> where the log stood when that table was read, if not all at one position
     """
     engines, shard_keys = dict(engines or {}), dict(shard_keys or {})
     names = [n for n in select_names(list(tables), include, exclude) if engines.get(n) not in set(ignore_engines)]
@@ -67,7 +69,7 @@ def write_snapshot(
         if shard_rows:
             writer = writer.option("maxRecordsPerFile", shard_rows)
         writer.parquet(f"{root}/data/{name}")
-        return name, phase_of[name], seen.get["rows"], codec, df.schema.json(), ",".join(include), ",".join(exclude), json.dumps(list(keys[name])) if keys and name in keys else None
+        return name, phase_of[name], seen.get["rows"], codec, df.schema.json(), ",".join(include), ",".join(exclude), json.dumps(list(keys[name])) if keys and name in keys else None, *(positions or {}).get(name, (None, None))
 
     written: list[tuple] = []
     for phase in (1, 2):
@@ -129,6 +131,28 @@ def write_keyed(df: DataFrame, table: str, key: str, buckets: int, path: str) ->
     return df.sparkSession.table(table)
 
 
+def write_exact_shards(df: DataFrame, path: str, key: str | Sequence[str], rows_per_shard: int) -> DataFrame:
+    """Write a table in shards of exactly `rows_per_shard` rows in key order, the last one shorter; returns it with `shard`.
+
+    Rows are sorted in ranges of (key, hash of the row), so that a key of many rows spreads over tasks too. A row's
+    number in the table is its place in its range plus the rows of the ranges before: one number for each task.
+    """
+    spark, keys = df.sparkSession, [key] if isinstance(key, str) else list(key)
+    order = [*keys, F.xxhash64(*df.columns)]
+    laid = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    laid = laid.withColumn("_range", F.shiftright("_at", 33))
+    ranges, before = [], 0
+    for r in laid.groupBy("_range").agg(F.min("_at").alias("first"), F.count("*").alias("n")).orderBy("_range").collect():
+        ranges.append((r["_range"], before - r["first"]))
+        before += r["n"]
+    listed = F.broadcast(spark.createDataFrame(ranges, "_range long, _shift long"))  # a row for each task of the sort
+    numbered = laid.join(listed, "_range").withColumn("_row", F.col("_at") + F.col("_shift")).withColumn("shard", F.expr(f"_row div {rows_per_shard}"))
+    # a shard is in one task, and so one file
+    shards = numbered.repartition("shard").sortWithinPartitions("shard", "_row").select(*df.columns, "shard")
+    shards.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return spark.read.schema(shards.schema).parquet(path)
+
+
 def restore_full(
     spark: SparkSession,
     root: str,
@@ -154,6 +178,11 @@ def read_tables(spark: SparkSession, root: str, include: Sequence[str] = (), exc
     return {row["name"]: _read(spark, root, row["name"], row["schema_json"]) for row in chosen}
 
 
+def read_positions(spark: SparkSession, root: str) -> DataFrame:
+    """(tbl, start_no, start_pos) of the tables that were read at a position of their own."""
+    return read_manifest(spark, root).filter("start_no IS NOT NULL").select(F.col("name").alias("tbl"), "start_no", "start_pos")
+
+
 def read_layouts(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> dict[str, tuple[T.StructType, list[str]]]:
     """Schema and key columns of the tables that a restore's lists choose; a table without a key is an error."""
     chosen = keep_names_on_restore(read_manifest(spark, root), "name", include, exclude).collect()

@@ -1,37 +1,50 @@
-"""The live image of a table, kept equal to its log so far.
+"""The live image of a table, kept equal to its log so far, in tiers by buckets of keys.
 
-Batches are written as small deltas and folded when read, so a trigger costs what it
-brings and not what the table holds. From time to time the deltas are folded into a new
-base. Each row carries the position it comes from and the highest position wins, hence a
-repeated batch, or one out of order, changes nothing.
+Batches are written as small deltas and folded when read, so a trigger costs what it brings and not
+what the table holds. From time to time the deltas are folded, and only the buckets that they touch:
+first into a tier of the bucket, and when that has grown to a share of the bucket's base, into a new
+base for it. Buckets that nothing touches keep their files. Each row carries the position it comes
+from and the highest position wins, hence a repeated batch, or one out of order, changes nothing.
 
-    <root>/delta/batch=<id>    the last event per key of one batch
-    <root>/base/upto=<id>      everything up to that batch, folded
+    <root>/delta/batch=<id>/bucket=<b>   the last event per key of one batch
+    <root>/tier/upto=<id>/bucket=<b>     events since the bucket's base, folded
+    <root>/base/upto=<id>/bucket=<b>     the bucket's rows, folded
+    <root>/state/upto=<id>/state.json    which of these make up the image; one entry for each bucket
+
+What a fold replaces is removed at the fold after it, so that a reader of the state before is served.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.operators.ordered import plan_bytes
-from tidemark.operators.restore import BROADCAST_BYTES, latest_events
+from tidemark.operators.restore import BROADCAST_BYTES, BROADCAST_KEYS, Key, key_columns, latest_events
+from tidemark.session import delete_folder, partition_values, read_text, write_text
 from tidemark.streaming.versions import finished
 
+# a tier of so many rows for each row of its base is folded into it
+FOLD_SHARE = 0.1
+
 
 class LiveImage:
-    def __init__(self, spark: SparkSession, root: str, key: str, payload: Sequence[str], compact_every: int = 20):
-        self.spark, self.root, self.key = spark, root, key
-        self.payload, self.compact_every = list(payload), compact_every
+    def __init__(self, spark: SparkSession, root: str, key: Key, payload: Sequence[str], compact_every: int = 20, buckets: int = 64):
+        """`buckets` counts for a new image; one that is there keeps its own number."""
+        self.spark, self.root, self.keys = spark, root, key_columns(key)
+        self.payload, self.compact_every, self.buckets = list(payload), compact_every, buckets
 
     def load_base(self, snapshot: DataFrame) -> None:
         """Begin from a snapshot; its rows come before any event."""
         zero = {"log_no": F.lit(0), "log_pos": F.lit(0).cast("long"), "sub": F.lit(0), "op": F.lit("I")}
-        rows = snapshot.select(self.key, *self.payload).withColumns(zero)
-        rows.write.mode("overwrite").parquet(f"{self.root}/base/upto=-1")
+        rows = snapshot.select(*self.keys, *self.payload).withColumns(zero)
+        base = {b: [-1, n] for b, n in self._write(rows, "base", -1).items()}
+        self._keep({"upto": -1, "buckets": self.buckets, "schema": rows.schema.json(), "base": base, "tier": {}, "stale": []})
 
     def start(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
         return (
@@ -40,43 +53,110 @@ class LiveImage:
         )
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        latest_events(batch, self.key, self.payload).write.mode("overwrite").parquet(f"{self.root}/delta/batch={batch_id}")
+        events = latest_events(batch, self.keys, self.payload)
+        if self._state() is None:
+            self._keep({"upto": -1, "buckets": self.buckets, "schema": events.schema.json(), "base": {}, "tier": {}, "stale": []})
+        events.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/delta/batch={batch_id}")
         if (batch_id + 1) % self.compact_every == 0:
             self.compact(batch_id)
 
     def compact(self, upto: int) -> None:
-        """Fold all up to a batch into a new base; deletes stay, so that an older event
-        arriving later cannot bring a row back."""
-        self._events(upto).write.mode("overwrite").parquet(f"{self.root}/base/upto={upto}")
+        """Fold the deltas up to a batch; deletes stay, so that an older event arriving later cannot bring a row back."""
+        state = self._state()
+        if state is None or upto <= state["upto"]:
+            return
+        deltas = self._deltas(state, upto)
+        touched = sorted({b for own in deltas.values() for b in own})
+        base, tier, stale = dict(state["base"]), dict(state["tier"]), [f"delta/batch={n}" for n in deltas]
+        if touched:
+            new = self._read(self._delta_paths(deltas) + self._paths("tier", tier, touched), state)
+            counts = self._write(self._fold(new), "tier", upto)
+            stale += [f"tier/upto={tier[b][0]}/bucket={b}" for b in touched if b in tier]
+            tier |= {b: [upto, n] for b, n in counts.items()}
+            grown = [b for b in touched if tier[b][1] >= FOLD_SHARE * base.get(b, [0, 0])[1]]
+            if grown:
+                rows = self._read(self._paths("base", base, grown) + self._paths("tier", tier, grown), state)
+                counts = self._write(self._fold(rows), "base", upto)
+                stale += [f"base/upto={base[b][0]}/bucket={b}" for b in grown if b in base] + [f"tier/upto={upto}/bucket={b}" for b in grown]
+                base |= {b: [upto, n] for b, n in counts.items()}
+                tier = {b: v for b, v in tier.items() if b not in grown}
+        self._keep(state | {"upto": upto, "base": base, "tier": tier, "stale": stale})
+        for path in [*state["stale"], f"state/upto={state['upto']}"]:
+            delete_folder(self.spark, f"{self.root}/{path}")
 
     def read(self) -> DataFrame:
-        return self._events().filter(F.col("op") != "D").select(self.key, *self.payload)
+        return self._events().filter(F.col("op") != "D").select(*self.keys, *self.payload)
 
-    def _events(self, upto: int | None = None) -> DataFrame:
-        def wanted(numbers: list[int], above: int) -> list[int]:
-            return [n for n in numbers if n > above and (upto is None or n <= upto)]
-
-        bases = wanted(finished(self.spark, f"{self.root}/base/upto"), -2)
-        base = max(bases, default=-2)
-        folders = [f"{self.root}/delta/batch={n}" for n in wanted(finished(self.spark, f"{self.root}/delta/batch"), base)]
-        if not bases and not folders:
+    def _events(self) -> DataFrame:
+        """Buckets without news as they are, and the others with theirs laid over them."""
+        state = self._state()
+        if state is None:
             raise ValueError("neither a base nor a batch has been written")
-        old = self.spark.read.parquet(f"{self.root}/base/upto={base}") if bases else None
-        if not folders:
-            return old
-        new = self.spark.read.parquet(*folders)
-        return self._fold(new) if old is None else self._lay_over(old, new)
+        deltas = self._deltas(state)
+        touched = {b for own in deltas.values() for b in own} | set(state["tier"])
+        quiet = self._paths("base", state["base"], set(state["base"]) - touched)
+        old, new = self._paths("base", state["base"], touched), self._delta_paths(deltas) + self._paths("tier", state["tier"], touched)
+        if not new:
+            return self._read(quiet, state)
+        fresh = self._read(new, state)
+        rows = self._lay_over(self._read(old, state), fresh) if old else self._fold(fresh)
+        return rows.unionByName(self._read(quiet, state)) if quiet else rows
 
     def _fold(self, events: DataFrame) -> DataFrame:
-        return latest_events(events, self.key, self.payload)
+        return latest_events(events, self.keys, self.payload)
 
     def _lay_over(self, old: DataFrame, new: DataFrame) -> DataFrame:
-        """Few changed keys are broadcast, and the rows they do not touch stay where they
+        """Few changed keys, counted, are broadcast, and the rows they do not touch stay where they
         are; otherwise all rows meet in one aggregate."""
-        keys = new.select(self.key).distinct()
-        if plan_bytes(keys) > BROADCAST_BYTES:
+        keys = new.select(*self.keys).distinct()
+        if plan_bytes(keys) > BROADCAST_BYTES or keys.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
             return self._fold(old.unionByName(new))
         keys = F.broadcast(keys)
-        touched = old.join(keys, self.key, "left_semi")
-        untouched = old.join(keys, self.key, "left_anti")
+        touched = old.join(keys, self.keys, "left_semi")
+        untouched = old.join(keys, self.keys, "left_anti")
         return untouched.unionByName(self._fold(touched.select(new.columns).unionByName(new)))
+
+    # ---- files
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.hash(*self.keys), F.lit(self.buckets))
+
+    def _write(self, rows: DataFrame, tier: str, upto: int) -> dict[str, int]:
+        """Write rows by bucket; the rows of each bucket that has some."""
+        path = f"{self.root}/{tier}/upto={upto}"
+        writer = rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
+        for key in self.keys:  # a look-up of one key then skips most files
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer.parquet(path)
+        stored = self.spark.read.schema(StructType([*rows.schema.fields, StructField("bucket", IntegerType())])).parquet(path)
+        return {str(r["bucket"]): r["count"] for r in stored.groupBy("bucket").count().collect()}
+
+    def _read(self, paths: Iterable[str], state: dict) -> DataFrame:
+        schema = StructType.fromJson(json.loads(state["schema"]))
+        paths = list(paths)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _paths(self, tier: str, held: dict[str, list[int]], buckets: Iterable[str]) -> list[str]:
+        return [f"{self.root}/{tier}/upto={held[b][0]}/bucket={b}" for b in sorted(buckets) if b in held]
+
+    def _delta_paths(self, deltas: dict[int, list[str]]) -> list[str]:
+        return [f"{self.root}/delta/batch={n}/bucket={b}" for n, own in deltas.items() for b in own]
+
+    def _deltas(self, state: dict, upto: int | None = None) -> dict[int, list[str]]:
+        """The buckets of each delta that is not folded yet."""
+        numbers = [n for n in finished(self.spark, f"{self.root}/delta/batch") if n > state["upto"] and (upto is None or n <= upto)]
+        return {n: partition_values(self.spark, f"{self.root}/delta/batch={n}", "bucket") for n in numbers}
+
+    def _state(self) -> dict | None:
+        there = finished(self.spark, f"{self.root}/state/upto")
+        if not there:
+            return None
+        state = json.loads(read_text(self.spark, f"{self.root}/state/upto={there[-1]}/state.json"))
+        self.buckets = state["buckets"]
+        return state
+
+    def _keep(self, state: dict) -> None:
+        """The state, and then the marker that it is whole."""
+        path = f"{self.root}/state/upto={state['upto']}"
+        write_text(self.spark, f"{path}/state.json", json.dumps(state))
+        write_text(self.spark, f"{path}/_SUCCESS", "")
