@@ -1,6 +1,8 @@
 """The quality classifier: held-out accuracy, sums against a plain dot product, and odd inputs."""
 
+import math
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -72,3 +74,28 @@ def test_odd_inputs(spark):
     rows = Q.classify(docs, spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, None, 0), (None, 1, 0), (3, 0, 0)], labels)).collect()
     assert len(rows) == 4 and len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
     assert Q.classify(docs.limit(0), spark.createDataFrame([(1, 1, 0)], labels)).collect() == []
+
+
+def test_the_leaders_update():
+    """One shard against the update written out, slot by slot."""
+    rnd = np.random.default_rng(3)
+    bias = 1 << Q.BITS
+    slots = [np.append(np.sort(rnd.choice(40, size=rnd.integers(1, 6), replace=False)), bias) for _ in range(60)]
+    values = [np.append(3 * rnd.random(len(s) - 1), 1.0) for s in slots]
+    labels = rnd.integers(0, 2, 60).astype(float)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= Q.L1 else -(z[i] - math.copysign(Q.L1, z[i])) / ((Q.BETA + math.sqrt(n[i])) / Q.ALPHA + Q.L2)
+
+    for _ in range(3):
+        for at, x, y in zip(slots, values, labels, strict=True):
+            own = {i: weight(i) for i in at}
+            p = 1 / (1 + math.exp(-sum(own[i] * v for i, v in zip(at, x, strict=True))))
+            for i, v in zip(at, x, strict=True):
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / Q.ALPHA * own[i]
+                n[i] += g * g
+    weights, found = Q.fit_shard(slots, values, labels, epochs=3)
+    assert found == pytest.approx(weight(bias)) and any(weights)
+    assert {i: weights[i] for i in np.flatnonzero(weights)} == pytest.approx({i: weight(i) for i in list(z) if i != bias and weight(i)})
