@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import hardneg
 from tidemark.llm.hardneg import Walk, build_index, clean, mine, multi_sequence, scores
+from tidemark.operators.ordered import plan_bytes
 
 SCHEMA = "vec_id long, label int, embedding array<float>"
 
@@ -105,6 +106,22 @@ def test_bounds_hold(spark, monkeypatch):
         assert len(walk.cells([(floor, 2**62)], skip=set(), limit=1)) <= 1
 
 
+@pytest.mark.parametrize("same_label", [True, False])
+def test_visits_are_never_broadcast(spark, same_label):
+    rows = clean(spark.createDataFrame(odd_rows(5), SCHEMA), "vec_id", "label", "embedding")
+    index, blocks, placed = build_index(rows)
+    far = F.array(F.lit(-(2**62))), F.array(F.lit(2**62))
+    anchors = placed.where("id = 0").select(F.lit(0).cast("long").alias("anchor"), "id", "label", "vector", far[0].alias("lows"), far[1].alias("highs"), far[0].alias("floors"))
+    search = hardneg.Search(index, same_label, 3)
+    visits = hardneg._visits(search, anchors, False)
+    # by their estimate both sides would be sent to the driver, however many blocks each anchor meets
+    assert max(map(plan_bytes, (visits, blocks))) < int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b"))
+    met = hardneg._meet(search, visits, blocks)
+    assert met.count() == 3
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_large_components_are_exact():
     b = np.array([[2**27, 1], [2**27 - 1, 2**26 + 1]], np.int64)
     assert scores(b, b).tolist() == [[x * x2 + y * y2 for x2, y2 in b.tolist()] for x, y in b.tolist()]

@@ -361,7 +361,8 @@ def _meet(search: Search, visits: DataFrame, blocks: DataFrame) -> DataFrame:
         best.parts, best.held = [], 0
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(window.astype(np.int32)), pa.array(score_), pa.array(ids)], names=["anchor", "window", "score", "id"])
 
-    met = visits.join(blocks, ["c1", "c2", "block"])
+    # visits come from few anchors but name every block these meet: their estimate is far too low to broadcast by
+    met = visits.hint("merge").join(blocks, ["c1", "c2", "block"])
     return met.mapInArrow(score, _FOUND)
 
 
