@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -267,3 +268,18 @@ def test_form_is_decided_for_each_file(spark, tmp_path):
     (tmp_path / "blank").write_text(" \n")
     rows = store.read_store(spark, str(tmp_path)).collect()
     assert sorted(r["job_id"] or "" for r in rows) == ["", "a", "b", "c", "d"]
+
+
+@pytest.mark.parametrize("pieces", [1, 3, 1 << 14])
+def test_runs_of_a_split_are_summed_one_by_one(spark, tmp_path, monkeypatch, pieces):
+    monkeypatch.setattr(store, "RUN_PIECES", pieces)
+    values = [["a,b", {"k": ["]", i, [1, 2], '\\"['], "t": "x,,y" * (i % 5)}, i, None, "[", '"', list(range(i % 9))] for i in range(60)]
+    for name, value in (("one", values), ("two", values[::-1]), ("flat", values[3])):
+        (tmp_path / name).write_text(json.dumps(value))
+    cut = store.list_elements(spark, str(tmp_path))
+    told = sorted(json.dumps(x) for value in (values, values, values[3]) for x in value)
+    assert sorted(json.dumps(json.loads(r["value"])) for r in cut.collect()) == told
+    # a window over pieces holds a run of them, and not a whole split
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    over = set(re.findall(r"windowspecdefinition\((.*?), at#\d+L ASC", plan))
+    assert over and all(re.fullmatch(r"file#\d+, block#\d+L, run#\d+L", spec) for spec in over)

@@ -15,6 +15,9 @@ TEXT_FIELDS = (
 )
 NUMBER_FIELDS = ("binlog_start_pos", "binlog_end_pos", "size", "lastExitCode")
 
+#: pieces of a list that are summed up in one window, which holds them all at once
+RUN_PIECES = 1 << 14
+
 
 def read_store(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Records as text fields; anything that is not an object is left out, and only that.
@@ -49,7 +52,7 @@ def list_elements(spark: SparkSession, path: str, files: DataFrame | None = None
     Files are read in pieces that end at a comma. A comma parts elements where it stands in no string and one
     bracket deep. Both are running sums over a file's pieces: quotes make every other stretch a string, and
     brackets count outside of strings only, so a piece has two depths, for either state it may begin in. Sums run
-    within a split of the file; what comes before a split is one row for each.
+    within runs of `RUN_PIECES` pieces, whatever the size of a split; what comes before a run is one row for each.
     """
     pieces = spark.read.option("lineSep", ",").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"),
@@ -64,7 +67,8 @@ def list_elements(spark: SparkSession, path: str, files: DataFrame | None = None
         outside = F.array_join(F.filter(inner, lambda _, i: i % 2 == state), "")
         return (2 * F.length(F.regexp_replace(outside, r"[\]}]", "")) - F.length(outside)).cast("long")
 
-    pieces = pieces.select("*", (F.size(inner) - 1).cast("long").alias("quotes"), depth(0).alias("deeper"), depth(1).alias("deeper_inside"))
+    run = F.expr(f"at div {RUN_PIECES}").alias("run")
+    pieces = pieces.select("*", run, (F.size(inner) - 1).cast("long").alias("quotes"), depth(0).alias("deeper"), depth(1).alias("deeper_inside"))
     pieces = _running(materialize(pieces, "pieces"), "quotes", "quotes_so_far")
     inside = (F.col("quotes_so_far") - F.col("quotes")) % 2 == 1
     pieces = _running(pieces.withColumn("deeper", F.when(inside, F.col("deeper_inside")).otherwise(F.col("deeper"))), "deeper", "depth")
@@ -78,11 +82,12 @@ def list_elements(spark: SparkSession, path: str, files: DataFrame | None = None
 
 
 def _running(pieces: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the sum of a column up to each piece of its file: within its split, and over the splits before."""
-    within = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = pieces.groupBy("file", "block").agg(F.sum(column).alias("_n")).select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return pieces.withColumn(name, F.sum(column).over(within)).join(splits, ["file", "block"]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+    """Adds the sum of a column up to each piece of its file: within its run, and over the runs before."""
+    run = ["file", "block", "run"]
+    within = Window.partitionBy(*run).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("file").orderBy("block", "run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = pieces.groupBy(*run).agg(F.sum(column).alias("_n")).select(*run, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return pieces.withColumn(name, F.sum(column).over(within)).join(runs, run).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
 def _records(texts: DataFrame) -> DataFrame:
