@@ -135,6 +135,67 @@ def test_folds_leave_untouched_buckets_alone(spark, monkeypatch):
     assert empty.read().collect() == []
 
 
+def events_of(spark, n, ids, op="U"):
+    return spark.createDataFrame([(i, f"v{n}", op, 1, 10 * n, 0) for i in ids], "pk long, val string, op string, log_no int, log_pos long, sub int")
+
+
+def stored(root, folder):
+    return sorted(str(p.relative_to(root)) for p in pathlib.Path(root, folder).rglob("*.parquet"))
+
+
+def test_triggers_write_few_files_whatever_the_buckets(spark):
+    root = scratch_dir(spark, "image")
+    image = LiveImage(spark, root, "pk", ["val"], compact_every=2, buckets=32)
+    image.load_base(spark.range(6400).select(F.col("id").alias("pk"), F.lit("base").alias("val")))
+    image.apply(events_of(spark, 1, range(300)), 0)
+    assert len(stored(root, "delta/batch=0")) == 1
+    image.apply(events_of(spark, 2, range(100, 350)), 1)
+    assert len(stored(root, "delta/batch=1")) == 1 and len(stored(root, "tier/upto=1")) == 1
+    image.apply(events_of(spark, 3, range(20), "D"), 2)
+    told = {i: "base" for i in range(6400)} | {i: "v1" for i in range(300)} | {i: "v2" for i in range(100, 350)}
+    assert dict(image_rows(image.read())) == {i: v for i, v in told.items() if i >= 20}
+
+
+def test_tiers_that_are_mostly_dead_are_written_anew(spark):
+    root = scratch_dir(spark, "image")
+    image = LiveImage(spark, root, "pk", ["val"], compact_every=1, buckets=8)
+    rows = spark.range(4000).select(F.col("id").alias("pk"), F.lit("base").alias("val"))
+    image.load_base(rows)
+    ids, told = {}, {i: "base" for i in range(4000)}
+    for r in rows.withColumn("bucket", image._bucket()).collect():
+        ids.setdefault(str(r["bucket"]), []).append(r["pk"])
+    some = sorted(ids)
+    image.apply(events_of(spark, 1, [ids[b][0] for b in some]), 0)
+    told |= {ids[b][0]: "v1" for b in some}
+    for n, b in enumerate(some[:5], 1):  # the first tier keeps 7, 6, 5, 4 and 3 of its 8 buckets
+        assert stored(root, "tier/upto=0") and image._state()["wide"]["0"] == 8
+        image.apply(events_of(spark, n + 1, [ids[b][1]]), n)
+        told[ids[b][1]] = f"v{n + 1}"
+        assert dict(image_rows(image.read())) == told
+    image.apply(events_of(spark, 9, [ids[some[0]][0]], "D"), 6)  # and the last three go along
+    del told[ids[some[0]][0]]
+    tier = image._state()["tier"]
+    assert {b for b, (upto, _) in tier.items() if upto == 6} >= {some[0], *some[5:]} and set(tier) == set(some)
+    assert dict(image_rows(image.read())) == told
+    image.apply(events_of(spark, 10, [ids[some[1]][2]]), 7)
+    told[ids[some[1]][2]] = "v10"
+    assert dict(image_rows(image.read())) == told and not stored(root, "tier/upto=0")
+
+
+def test_images_with_a_folder_for_each_bucket_go_on(spark):
+    root = scratch_dir(spark, "image")
+    image = LiveImage(spark, root, "pk", ["val"], compact_every=2, buckets=4)
+    image.load_base(spark.range(400).select(F.col("id").alias("pk"), F.lit("base").alias("val")))
+    for folder, n, ids in (("tier/upto=1", 1, range(30)), ("delta/batch=2", 3, range(10, 40))):
+        events_of(spark, n, ids).withColumn("bucket", image._bucket()).write.partitionBy("bucket").parquet(f"{root}/{folder}")
+    held = {str(r["bucket"]): r["count"] for r in events_of(spark, 1, range(30)).withColumn("bucket", image._bucket()).groupBy("bucket").count().collect()}
+    image._keep(image._state() | {"upto": 1, "tier": {b: [1, n] for b, n in held.items()}})
+    told = {i: "base" for i in range(400)} | {i: "v1" for i in range(10)} | {i: "v3" for i in range(10, 40)}
+    assert dict(image_rows(image.read())) == told
+    image.apply(events_of(spark, 4, [5, 399]), 3)
+    assert dict(image_rows(image.read())) == told | {5: "v4", 399: "v4"}
+
+
 @pytest.mark.parametrize("stable,poll,rounds", [(2, 0.5, 4), (2, 3, 2), (5, 2, 3), (0, 1, 2)])
 def test_stable_rounds(stable, poll, rounds):
     assert completion.stable_rounds(stable, poll) == rounds
